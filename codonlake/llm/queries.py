@@ -17,6 +17,18 @@ def op1_sharding(spark, sf_dir):
     return vector_shards(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark, sf_dir):
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language(spark, sf_dir):
+    from .language import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     from .packing import pack
 
