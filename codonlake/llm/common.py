@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch that goes to a Python worker; a text has some KB, so a batch has some MB.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
@@ -70,3 +71,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 def fold(key, parts: int):
     """A bucket from 0 to parts - 1 of a Spark column."""
     return F.pmod(F.xxhash64(key), F.lit(parts))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root for the links (a, b) of longs: nodes with the same root are connected.
+
+    Rounds of contraction: each node moves to the neighbour of least hash (twice along the chain), links
+    between moved nodes remain. Hashes differ by round, so chains are short and the links shrink by a
+    constant factor. A node with very many links is only summed up and joined to, never gathered.
+    """
+    left = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
+    moves = []
+    while left.limit(1).count():
+        salt = F.lit(len(moves))
+        least = left.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", salt).alias("h"), "b")).alias("m"))
+        step = least.select(F.col("a").alias("node"), F.when(F.struct(F.xxhash64("a", salt), "a") <= F.col("m"), F.col("a")).otherwise(F.col("m.b")).alias("to"))
+        step = written(step, "moves")
+        for _ in range(2):
+            nxt = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            step = step.join(nxt, "to").select("node", F.col("next").alias("to"))
+        step = written(step, "moves")
+        moves.append(step)
+        a, b = step.select(F.col("node").alias("a"), F.col("to").alias("ta")), step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        left = written(left.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct(), "links")
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).where("false")
+    found = moves[0].select("node", F.col("to").alias("root"))
+    for step in moves[1:]:
+        found = found.join(step.select(F.col("node").alias("root"), F.col("to").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return written(found, "roots")

@@ -29,6 +29,12 @@ def op5_language(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark, sf_dir):
+    from .jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     from .packing import pack
 
