@@ -23,6 +23,18 @@ def op2_quality(spark, sf_dir):
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_embeddings(spark, sf_dir):
+    from .multiindex import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_fingerprints(spark, sf_dir):
+    from .spotsigs import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark, sf_dir):
     from .language import language_id
 
