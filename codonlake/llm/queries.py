@@ -23,6 +23,13 @@ def op2_quality(spark, sf_dir):
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_chat(spark, sf_dir):
+    from .chat import perspectives, spans_text
+
+    out = perspectives(table(spark, sf_dir, "conversations"))
+    return out.withColumn("mask", spans_text("spans")).drop("spans")
+
+
 def op4_embeddings(spark, sf_dir):
     from .multiindex import near_vectors
 
@@ -41,12 +48,31 @@ def op5_language(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_nbest(spark, sf_dir):
+    """Digests of the three best segmentations of each message of `conversations`."""
+    from pyspark.sql import functions as F
+
+    from .nbest import nbest
+
+    source = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("message"))
+    out = nbest(source.select("conv_id", "turn", "message"), tokenizer_path("piece_bpe_32k.model"), 3, ["conv_id", "turn", "message"], "message")
+    ids = F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"))
+    return out.select("conv_id", "turn", "rank", "score", F.size("ids").alias("n_pieces"), ids.alias("ids_crc32"), (F.col("decoded") == F.col("message")).alias("round_trip"))
+
+
 def op8_jaccard(spark, sf_dir):
     from .jaccard import jaccard_join
 
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_urls(spark, sf_dir):
+    from .urls import dated_captures, dated_entries, temporal_verdicts
+
+    pages = table(spark, sf_dir, "pages")
+    return temporal_verdicts(dated_captures(pages), dated_entries(pages))
+
+
 def op10_packing(spark, sf_dir):
     from .packing import pack
 
@@ -58,4 +84,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from . import chat, urls
+
+    return {"op3_chat": chat.SQL, "op9_urls": urls.SQL}
