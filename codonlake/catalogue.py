@@ -1,11 +1,222 @@
-"""The registered queries over the test tables and their SQL."""
+"""The registered queries over the test tables and their SQL.
+
+The tables hold no proteins, so sequences follow from their keys and texts: `dna` is the md5 of a key with
+its hex digits as nucleotides (32), a peptide of k residues is the translation of its first 3k, a document's
+protein is what its text has of residue letters.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import sequence as S
+from .operators import rules as R
+from .operators.space import SpaceSpec
+from .plans import batch as B
+from .sources import genetic_code, sites, usage
+from .sources.genetic_code import TranslationTable
+from .sources.usage import CodonWeights
+
+HEX, NTS = "0123456789abcdef", "ACGTACGTACGTACGT"
+PEPTIDE, LONG = 4, 10
+CONTEXT_L, CONTEXT_R = "AAGGA", "TTCCT"
+MOTIFS = ["GAAT", "TCT", "AAAC"]
+RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def dna(key: str):
+    return F.translate(F.md5(F.col(key).cast("string").cast("binary")), HEX, NTS)
+
+
+def table(spark, sf_dir, name) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def order_dna(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", dna("o_orderkey").alias("dna"))
+
+
+def order_cds(spark, sf_dir):
+    return order_dna(spark, sf_dir).select("o_orderkey", F.substring("dna", 1, 3 * LONG).alias("cds"))
+
+
+def peptides(spark, sf_dir):
+    ref = F.substring(dna("p_partkey"), 1, 3 * PEPTIDE)
+    return table(spark, sf_dir, "part").select("p_partkey", ref.alias("ref"), S.translate(ref).alias("aa_seq"))
+
+
+def variants(spark, sf_dir, pins=None):
+    return B.enumerate_native(peptides(spark, sf_dir), PEPTIDE, pins=pins)
+
+
+def proteins(spark, sf_dir):
+    letters = RESIDUES + RESIDUES.lower()
+    return table(spark, sf_dir, "documents").select("doc_id", F.upper(F.regexp_replace("text", f"[^{letters}]", "")).alias("aa_seq"))
+
+
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+_T = TranslationTable()
+CODE = "code(codon, aa) AS " + _values(_T.codons_to_aa.items())
+DEG = "deg(aa, k) AS (SELECT aa, count(*) FROM code GROUP BY aa)"
+ORDERS = f"o AS (SELECT o_orderkey, translate(md5(o_orderkey::VARCHAR), '{HEX}', '{NTS}') AS dna FROM orders), c AS (SELECT o_orderkey, substr(dna, 1, {3 * LONG}) AS cds FROM o)"
+PEP = f"r AS (SELECT p_partkey, substr(translate(md5(p_partkey::VARCHAR), '{HEX}', '{NTS}'), 1, {3 * PEPTIDE}) AS ref FROM part), p AS (SELECT p_partkey, ref, " + " || ".join(f"c{i}.aa" for i in range(PEPTIDE)) + " AS aa_seq FROM r" + "".join(f" JOIN code c{i} ON c{i}.codon = substr(ref, {3 * i + 1}, 3)" for i in range(PEPTIDE)) + ")"
+ENUM = "e AS (SELECT p.*, " + " || ".join(f"c{i}.codon" for i in range(PEPTIDE)) + " AS cds FROM p" + "".join(f" JOIN code c{i} ON c{i}.aa = substr(aa_seq, {i + 1}, 1)" for i in range(PEPTIDE)) + ")"
+FULL = f"'{CONTEXT_L}' || cds || '{CONTEXT_R}'"
+
+
+def sql_repeat(s: str, length: int, lo: int, hi: int | None, inverted: bool) -> str:
+    w = f"substr({s}, i::INT, {length})"
+    w = f"reverse(translate({w}, 'ACGT', 'TGCA'))" if inverted else w
+    rest = f"substr({s}, i::INT + {length + lo})" if hi is None else f"substr({s}, i::INT + {length + lo}, {hi - lo + length})"
+    return f"len(list_filter(range(1, length({s}) - {2 * length + lo} + 2), lambda i: contains({rest}, {w}))) > 0"
+
+
+def sql_tandem(s: str, unit: int, copies: int) -> str:
+    return f"len(list_filter(range(1, length({s}) - {unit * copies} + 2), lambda i: substr({s}, i::INT, {unit * (copies - 1)}) = substr({s}, i::INT + {unit}, {unit * (copies - 1)}))) > 0"
+
+
+def sql_any(s: str, words) -> str:
+    return "(" + " OR ".join(f"contains({s}, '{w}')" for w in words) + ")"
+
+
+RUNS = lambda k: [c * (k + 1) for c in "ACGT"]
+NT = "hamming(cds, ref)"
+CODONS = "(" + " + ".join(f"(substr(cds, {3 * i + 1}, 3) <> substr(ref, {3 * i + 1}, 3))::INT" for i in range(PEPTIDE)) + ")"
+GC = "length(cds) - length(replace(replace(cds, 'G', ''), 'C', ''))"
+GC3 = lambda n: "(" + " + ".join(f"(substr(cds, {3 * i + 3}, 1) IN ('G', 'C'))::INT" for i in range(n)) + ")"
+
+#: name -> (rule, SQL for "the rule is broken by {s}")
+RULES = {
+    "motifs": (R.ForbiddenMotifs(MOTIFS), lambda s: sql_any(s, MOTIFS)),
+    "homopolymer": (R.MaxHomopolymer(2), lambda s: sql_any(s, RUNS(2))),
+    "tandem": (R.TandemRepeats(2, 2), lambda s: sql_tandem(s, 2, 2)),
+    "direct": (R.DirectRepeats(3, 0, 6), lambda s: sql_repeat(s, 3, 0, 6, False)),
+    "inverted": (R.InvertedRepeats(3, 1, 8), lambda s: sql_repeat(s, 3, 1, 8, True)),
+    "hairpin": (R.Hairpins(3, 3), lambda s: sql_repeat(s, 3, 3, None, True)),
+}
+SCREENS = {
+    "homopolymer": (R.MaxHomopolymer(3), lambda s: sql_any(s, RUNS(3))),
+    "tandem": (R.TandemRepeats(2, 3), lambda s: sql_tandem(s, 2, 3)),
+    "direct_repeat": (R.DirectRepeats(5, 0, None), lambda s: sql_repeat(s, 5, 0, None, False)),
+    "inverted_repeat": (R.InvertedRepeats(4, 3, 8), lambda s: sql_repeat(s, 4, 3, 8, True)),
+    "hairpin": (R.Hairpins(4, 3, 8), lambda s: sql_repeat(s, 4, 3, 8, True)),
+}
+GC_RULE, GC3_RULE = R.GCContent(min_perc=40, max_perc=60), R.GC3Content(min_frac=0.25, max_frac=0.75)
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, fn, sql: str | None) -> None:
+    _Q[name] = fn
+    if sql:
+        _SQL[name] = sql
+
+
+_add("codon_table", lambda s, d: genetic_code.all_codes(s), "SELECT * FROM " + _values((k, genetic_code.NCBI_CODES[k][0], c, a, a == "*", t.aa_to_codons[a].index(c)) for k in genetic_code.NCBI_CODES for t in [TranslationTable(k)] for c, a in t.codons_to_aa.items()) + " t(table_id, name, codon, aa, is_stop, codon_ord)")
+_add("restriction_sites", lambda s, d: sites.sites_frame(s).select("name", "forward", "reverse", F.size("motifs").alias("n_motifs")), "SELECT name, forward, reverse(translate(forward, 'ACGT', 'TGCA')) AS reverse, CASE WHEN forward = reverse(translate(forward, 'ACGT', 'TGCA')) THEN 1 ELSE 2 END AS n_motifs FROM " + _values((x.name, x.value) for x in sites.RestrictionSite) + " t(name, forward)")
+_add("translate_cds", lambda s, d: order_cds(s, d).select("o_orderkey", S.translate("cds").alias("protein")), f"WITH {CODE}, {ORDERS} SELECT o_orderkey, string_agg(aa, '' ORDER BY i) AS protein FROM c, range({LONG}) t(i) JOIN code ON codon = substr(cds, (3 * i + 1)::INT, 3) GROUP BY o_orderkey")
+_add("reverse_complement", lambda s, d: order_dna(s, d).select("o_orderkey", S.reverse_complement("dna").alias("rc")), f"WITH {ORDERS} SELECT o_orderkey, reverse(translate(dna, 'ACGT', 'TGCA')) AS rc FROM o")
+_add("normalise_rna", lambda s, d: order_dna(s, d).select("o_orderkey", S.normalise(F.concat(F.lower("dna"), F.lit(" t")), True).alias("rna")), f"WITH {ORDERS} SELECT o_orderkey, replace(upper(dna || 't'), 'T', 'U') AS rna FROM o")
+_add("count_unconstrained", lambda s, d: order_cds(s, d).select("o_orderkey", B.exact_count(S.translate("cds")).cast("long").alias("n_valid")), f"WITH {CODE}, {DEG}, {ORDERS} SELECT o_orderkey, product(k)::BIGINT AS n_valid FROM c, range({LONG}) t(i) JOIN code ON codon = substr(cds, (3 * i + 1)::INT, 3) JOIN deg USING (aa) GROUP BY o_orderkey")
+_add("log10_count", lambda s, d: proteins(s, d).select("doc_id", F.round(B.log10_count("aa_seq"), 4).alias("log10_valid"), F.length("aa_seq").alias("n_residues")), f"WITH {CODE}, {DEG}, x AS (SELECT doc_id, upper(regexp_replace(text, '[^{RESIDUES}{RESIDUES.lower()}]', '', 'g')) AS aa_seq FROM documents) SELECT doc_id, round(0.0 + " + " + ".join(f"(length(aa_seq) - length(replace(aa_seq, '{a}', ''))) * (SELECT log10(k) FROM deg WHERE aa = '{a}')" for a in RESIDUES) + ", 4) AS log10_valid, length(aa_seq)::INT AS n_residues FROM x")
+_add("codon_options", lambda s, d: B.codon_positions(peptides(s, d), _T).groupBy("p_partkey", "pos").agg(F.array_join(F.sort_array(F.collect_list("codon")), " ").alias("codons")), f"WITH {CODE}, {PEP} SELECT p_partkey, (i + 1)::INT AS pos, string_agg(codon, ' ' ORDER BY codon) AS codons FROM p, range({PEPTIDE}) t(i) JOIN code ON aa = substr(aa_seq, (i + 1)::INT, 1) GROUP BY p_partkey, i")
+_add("enumerate_small", lambda s, d: variants(s, d).select("p_partkey", "cds"), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, cds FROM e")
+_rank = lambda: F.row_number().over(Window.partitionBy("p_partkey").orderBy("cds")) - 1
+_add("slice_small", lambda s, d: variants(s, d).select("p_partkey", _rank().alias("idx"), "cds").where("idx BETWEEN 2 AND 6"), f"WITH {CODE}, {PEP}, {ENUM} SELECT * FROM (SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY cds) - 1)::INT AS idx, cds FROM e) WHERE idx BETWEEN 2 AND 6")
+_add("enumerate_range", lambda s, d: B.enumerate_spaces(peptides(s, d), B.from_columns(), ["p_partkey"], 2, 7).withColumn("idx", F.col("idx").cast("int")), _SQL["slice_small"])
+_add("fixed_codons", lambda s, d: B.count_spaces(peptides(s, d), lambda row: SpaceSpec.make(row["aa_seq"], _T, None, {2: row["ref"][3:6]}), ["p_partkey"]).select("p_partkey", F.col("n_valid").cast("long").alias("n_valid")), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, count(*) AS n_valid FROM e WHERE substr(cds, 4, 3) = substr(ref, 4, 3) GROUP BY p_partkey")
+
+
+def _pinned(row):
+    from dataclasses import replace
+
+    spec = SpaceSpec.make(row["aa_seq"], _T)
+    return replace(spec, pins=spec.checked({1: row["ref"][:3], 3: row["ref"][6:9]}))
+
+
+_add("pinned_codons", lambda s, d: B.enumerate_spaces(peptides(s, d), _pinned, ["p_partkey"]).select("p_partkey", "cds"), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, cds FROM e WHERE substr(cds, 1, 3) = substr(ref, 1, 3) AND substr(cds, 7, 3) = substr(ref, 7, 3)")
+_add("restriction_sites_screen", lambda s, d: order_dna(s, d).join(F.broadcast(sites.sites_frame(s).select("name", F.explode("motifs").alias("motif"))), F.contains(F.col("dna"), F.substring("motif", 1, 4))).select("o_orderkey", "name", "motif").distinct(), f"WITH {ORDERS}, s AS (SELECT name, forward AS motif FROM " + _values((x.name, x.value) for x in sites.RestrictionSite) + " t(name, forward) UNION SELECT name, reverse(translate(forward, 'ACGT', 'TGCA')) FROM " + _values((x.name, x.value) for x in sites.RestrictionSite) + " t(name, forward)) SELECT DISTINCT o_orderkey, name, motif FROM o JOIN s ON contains(dna, substr(motif, 1, 4))")
+for _name, (_rule, _sql) in SCREENS.items():
+    _add(f"{_name}_screen", lambda s, d, r=_rule: order_dna(s, d).select("o_orderkey", (~B.satisfies("dna", [r])).alias("found")), f"WITH {ORDERS} SELECT o_orderkey, {_sql('dna')} AS found FROM o")
+for _name, (_rule, _sql) in RULES.items():
+    _want = f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, count(*) FILTER (WHERE NOT ({_sql(FULL)})) AS n_valid FROM e GROUP BY p_partkey"
+    _add(f"{_name}_count", lambda s, d, r=_rule: variants(s, d).groupBy("p_partkey").agg(F.sum(B.satisfies("cds", [r], CONTEXT_L, CONTEXT_R).cast("long")).alias("n_valid")), _want)
+    _add(f"kernel_{_name}", lambda s, d, r=_rule: B.count_spaces(B.spread(peptides(s, d)), B.from_columns([r], None, CONTEXT_L, CONTEXT_R), ["p_partkey"]).select("p_partkey", F.col("n_valid").cast("long").alias("n_valid")), _want)
+_all = " OR ".join(f"({q(FULL)})" for q in (RULES[k][1] for k in ("motifs", "homopolymer", "direct")))
+_add("kernel_stack", lambda s, d: B.count_spaces(B.spread(peptides(s, d)), B.from_columns([RULES[k][0] for k in ("motifs", "homopolymer", "direct")], None, CONTEXT_L, CONTEXT_R), ["p_partkey"]).select("p_partkey", F.col("n_valid").cast("long").alias("n_valid")), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, count(*) FILTER (WHERE NOT ({_all})) AS n_valid FROM e GROUP BY p_partkey")
+_add("gc_between", lambda s, d: order_cds(s, d).select("o_orderkey", S.gc_count("cds").alias("gc"), GC_RULE.holds(F.col("cds"), F.col("cds")).alias("ok")), f"WITH {ORDERS} SELECT o_orderkey, ({GC})::INT AS gc, {GC} BETWEEN 12 AND 18 AS ok FROM c")
+_add("gc3_between", lambda s, d: order_cds(s, d).select("o_orderkey", S.gc3_count("cds").alias("gc3"), GC3_RULE.holds(F.col("cds"), F.col("cds")).alias("ok")), f"WITH {ORDERS} SELECT o_orderkey, {GC3(LONG)} AS gc3, {GC3(LONG)} BETWEEN 3 AND 7 AS ok FROM c")
+_add("kernel_gc", lambda s, d: B.count_spaces(B.spread(peptides(s, d)), B.from_columns([GC_RULE, GC3_RULE]), ["p_partkey"]).select("p_partkey", F.col("n_valid").cast("long").alias("n_valid")), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, count(*) FILTER (WHERE {GC} BETWEEN 5 AND 7 AND {GC3(PEPTIDE)} BETWEEN 1 AND 3) AS n_valid FROM e GROUP BY p_partkey")
+
+
+def _near(free=None, **bounds):
+    def build(row):
+        from dataclasses import replace
+
+        spec = SpaceSpec.make(row["aa_seq"], _T, rules=[R.MutationDistance(row["ref"], **bounds)] if bounds else ())
+        return spec if free is None else replace(spec, pins=spec.checked({p: row["ref"][3 * p - 3 : 3 * p] for p in range(1, PEPTIDE + 1) if p not in free}))
+
+    return build
+
+
+_add("mutants_nt", lambda s, d: variants(s, d).where(S.nt_distance("cds", "ref").between(1, 2)).select("p_partkey", "cds"), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, cds FROM e WHERE {NT} BETWEEN 1 AND 2")
+_add("kernel_mutants_nt", lambda s, d: B.enumerate_spaces(B.spread(peptides(s, d)), _near(min_nts=1, max_nts=2), ["p_partkey"]).select("p_partkey", "cds"), _SQL["mutants_nt"])
+_add("mutants_codon", lambda s, d: variants(s, d).where(S.codon_distance("cds", "ref") == 2).groupBy("p_partkey").agg(F.count("*").alias("n_valid")), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, count(*) AS n_valid FROM e WHERE {CODONS} = 2 GROUP BY p_partkey")
+_add("kernel_mutants_codon", lambda s, d: B.count_spaces(B.spread(peptides(s, d)), _near(min_codons=2, max_codons=2), ["p_partkey"]).select("p_partkey", F.col("n_valid").cast("long").alias("n_valid")).where("n_valid > 0"), _SQL["mutants_codon"])
+_add("mutants_free_positions", lambda s, d: B.enumerate_spaces(B.spread(peptides(s, d)), _near(free=(2, 3), max_nts=3), ["p_partkey"]).select("p_partkey", "cds"), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, cds FROM e WHERE substr(cds, 1, 3) = substr(ref, 1, 3) AND substr(cds, 10, 3) = substr(ref, 10, 3) AND {NT} <= 3")
+_add("contains_membership", lambda s, d: order_cds(s, d).select("o_orderkey", B.is_member("cds", S.translate("cds"), [R.ForbiddenMotifs(MOTIFS), R.MaxHomopolymer(3)]).alias("is_valid")), f"WITH {ORDERS} SELECT o_orderkey, NOT ({sql_any('cds', MOTIFS)} OR {sql_any('cds', RUNS(3))}) AS is_valid FROM c")
+_add("kernel_contains", lambda s, d: B.contains_spaces(B.spread(peptides(s, d)), B.from_columns([R.ForbiddenMotifs(MOTIFS)]), ["p_partkey"], "ref").select("p_partkey", "is_valid"), f"WITH {CODE}, {PEP} SELECT p_partkey, NOT {sql_any('ref', MOTIFS)} AS is_valid FROM p")
+_add("rank_of_reference", lambda s, d: B.contains_spaces(B.spread(peptides(s, d)), B.from_columns(), ["p_partkey"], "ref").select("p_partkey", F.col("rank").cast("long").alias("rank")), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, count(*) FILTER (WHERE cds < ref) AS rank FROM e GROUP BY p_partkey")
+
+
+def _last(s, d):
+    def fn(row):
+        c = B.counted(SpaceSpec.make(row["aa_seq"], _T))
+        yield {"cds": c.at(c.total - 1)}
+
+    return B._kernel(peptides(s, d), fn, ["p_partkey"], "cds string")
+
+
+_add("unrank_index", _last, f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, max(cds) AS cds FROM e GROUP BY p_partkey")
+_add("compiled_edges", lambda s, d: B.edges(B.spread(peptides(s, d)), B.from_columns(), ["p_partkey"]).select("p_partkey", "pos", "codon", F.col("n_desc").cast("long").alias("n_desc"), F.round(F.exp("log_mass"), 6).alias("mass")), f"WITH {CODE}, {DEG}, {PEP} SELECT p_partkey, (i + 1)::INT AS pos, codon, (SELECT coalesce(product(k), 1)::BIGINT FROM range({PEPTIDE}) u(j) JOIN deg d2 ON d2.aa = substr(aa_seq, (j + 1)::INT, 1) WHERE j > i) AS n_desc, round(1.0 / deg.k, 6) AS mass FROM p, range({PEPTIDE}) t(i) JOIN code ON code.aa = substr(aa_seq, (i + 1)::INT, 1) JOIN deg ON deg.aa = code.aa")
+_add("sample_valid", lambda s, d: B.sample_spaces(B.spread(peptides(s, d)), B.from_columns([R.MaxHomopolymer(3)], weights=CodonWeights.ecoli()), ["p_partkey"], 3, 7), None)
+_add("sample_is_valid", lambda s, d: B.sample_spaces(B.spread(peptides(s, d)), B.from_columns([R.MaxHomopolymer(3)]), ["p_partkey", "aa_seq"], 3, 7).groupBy("p_partkey").agg(F.count("*").alias("n"), F.min(B.is_member("cds", "aa_seq", [R.MaxHomopolymer(3)])).alias("all_valid")), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, 3::BIGINT AS n, true AS all_valid FROM e WHERE NOT {sql_any('cds', RUNS(3))} GROUP BY p_partkey")
+_counts = "w(organism, aa, codon, raw) AS " + _values((o, a, c, n) for o in usage.COUNTS for a, x in usage.counts_of(o).items() for c, n in x.items())
+_norm = "n AS (SELECT organism, aa, codon, raw / sum(raw) OVER (PARTITION BY organism, aa) AS weight FROM w)"
+_cut = "t AS (SELECT organism, aa, codon, CASE WHEN weight < 0.15 THEN 0 ELSE weight END AS v FROM n), u AS (SELECT organism, aa, codon, v / sum(v) OVER (PARTITION BY organism, aa) AS weight FROM t)"
+_add("weights_normalised", lambda s, d: usage.usage_frame(s).select("organism", "aa", "codon", F.round("weight", 9).alias("weight")), f"WITH {_counts}, {_norm} SELECT organism, aa, codon, round(weight, 9) AS weight FROM n")
+_add("weights_threshold", lambda s, d: usage.thresholded(usage.usage_frame(s).drop("raw"), 0.15).select("organism", "aa", "codon", F.round("weight", 9).alias("weight")), f"WITH {_counts}, {_norm}, {_cut} SELECT organism, aa, codon, round(weight, 9) AS weight FROM u")
+_add("weights_restrict", lambda s, d: usage.thresholded(usage.usage_frame(s).drop("raw"), 0.15).where("weight > 0").groupBy("organism", "aa").agg(F.count("*").alias("n_codons")), f"WITH {_counts}, {_norm}, {_cut} SELECT organism, aa, count(*) AS n_codons FROM u WHERE weight > 0 GROUP BY organism, aa")
+_add("codon_usage", lambda s, d: order_cds(s, d).select(F.explode(S.codons("cds")).alias("codon")).groupBy("codon").agg(F.count("*").alias("n")), f"WITH {ORDERS} SELECT substr(cds, (3 * i + 1)::INT, 3) AS codon, count(*) AS n FROM c, range({LONG}) t(i) GROUP BY 1")
+_add("library_adaptation", lambda s, d: _adaptation(s, d), f"WITH {_counts}, {_norm}, {ORDERS} SELECT o_orderkey, round(avg(ln(weight)), 6) AS mean_log_weight FROM c, range({LONG}) t(i) JOIN n ON organism = 'ecoli' AND codon = substr(cds, (3 * i + 1)::INT, 3) GROUP BY o_orderkey")
+_add("nt_masks", lambda s, d: B.codon_positions(peptides(s, d), _T).groupBy("p_partkey", "pos").agg(F.array_join(S.choice_masks(F.sort_array(F.collect_list("codon"))).cast("array<string>"), ",").alias("masks")), f"WITH {CODE}, {PEP}, m AS (SELECT p_partkey, (i + 1)::INT AS pos, j, bit_or(CASE substr(codon, (j + 1)::INT, 1) WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END) AS mask FROM p, range({PEPTIDE}) t(i) JOIN code ON aa = substr(aa_seq, (i + 1)::INT, 1), range(3) u(j) GROUP BY ALL) SELECT p_partkey, pos, string_agg(mask::VARCHAR, ',' ORDER BY j) AS masks FROM m GROUP BY p_partkey, pos")
+_add("format_count", lambda s, d: table(s, d, "orders").select("o_orderkey", S.format_count(F.col("o_orderkey") * F.col("o_orderkey")).alias("shown")).where("shown not like '%×%'"), "SELECT o_orderkey, format('{:,}', o_orderkey * o_orderkey) AS shown FROM orders WHERE o_orderkey * o_orderkey < 1000000000")
+_add("format_positions", lambda s, d: _islands(s, d), "WITH m AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), g AS (SELECT *, l_suppkey - row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS island FROM m), r AS (SELECT l_partkey, min(l_suppkey) AS a, max(l_suppkey) AS b FROM g GROUP BY l_partkey, island) SELECT l_partkey, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a::VARCHAR || '-' || b::VARCHAR END, ', ' ORDER BY a) AS positions FROM r GROUP BY l_partkey")
+
+
+def _adaptation(s, d):
+    w = usage.usage_frame(s, ("ecoli",)).select("codon", "weight")
+    rows = order_cds(s, d).select("o_orderkey", F.explode(S.codons("cds")).alias("codon"))
+    return rows.join(F.broadcast(w), "codon").groupBy("o_orderkey").agg(F.round(F.avg(F.log("weight")), 6).alias("mean_log_weight"))
+
+
+def _islands(s, d):
+    m = table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    island = F.col("l_suppkey") - F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_suppkey"))
+    r = m.withColumn("island", island).groupBy("l_partkey", "island").agg(F.min("l_suppkey").alias("a"), F.max("l_suppkey").alias("b"))
+    shown = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat(F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string")))
+    return r.groupBy("l_partkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", shown.alias("t")))), lambda x: x["t"]), ", ").alias("positions"))
+
 
 def queries():
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
