@@ -122,7 +122,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     least = -(1 << 63)
     src = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("at"))
     total = src.count()
-    parts = int(min(MOST_BUCKETS, max(1, total // 500, 0), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    parts = int(min(MOST_BUCKETS, max(1, total // 500), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = sorted({math.ceil(q) for q in src.approxQuantile("at", [k / parts for k in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
     bucketed = src.withColumn("bucket", F.lit(len(cuts)) - _tree(cuts, F.col("at")))  # 0 has the largest doc_ids
     tops = {r["bucket"]: r["top"] for r in bucketed.drop("text").groupBy("bucket").agg(F.max("at").alias("top")).collect()}
@@ -132,7 +132,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     own = bucketed.select("bucket", F.lit(0).alias("extra"), "at", "doc_id", "text")
     copies = bucketed.join(heads, ["bucket", "at"]).select(F.col("before").alias("bucket"), F.lit(1).alias("extra"), "at", "doc_id", "text")
     dealt = own.union(copies).withColumn("tie", F.xxhash64("text"))
-    dealt = dealt.repartition(max(parts, 1), "bucket").sortWithinPartitions("bucket", "extra", F.desc("at"), "tie").drop("tie", "at")
+    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", F.desc("at"), "tie").drop("tie", "at")
 
     def run(batches):
         names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
