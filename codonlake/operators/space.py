@@ -256,7 +256,9 @@ class CodingSpace(_Space):
     extended where rules are added.
     """
 
-    def __init__(self, aa_seq: str, *, translation_table=None, rna: bool | None = None, fixed_codons: Codons | None = None, constraints=(), context_l: str = "", context_r: str = "", codon_weights: CodonWeights | None = None, seed=None):
+    def __init__(self, aa_seq: str, *, translation_table=None, rna: bool | None = None, fixed_codons: Codons | None = None, constraints=(), context_l: str = "", context_r: str = "", codon_weights: CodonWeights | None = None, seed=None, compiler: str = "flat"):
+        if compiler != "flat":
+            raise ValueError(f"Unknown compiler {compiler!r}.")
         super().__init__(SpaceSpec.make(aa_seq, translation_table, rna, fixed_codons, constraints, context_l, context_r, codon_weights), seed)
 
     def pin_codons(self, pins: Codons) -> None:

@@ -5,6 +5,7 @@ import pytest
 
 from codonlake import CodonWeights, RestrictionSite, TranslationTable
 from codonlake.functions import display as D
+from codonlake.functions import tools as T
 from codonlake.sources.genetic_code import NCBI_CODES
 
 
@@ -73,3 +74,22 @@ def test_display():
     assert D.format_distance(None, 3) == "up to 3" and D.format_distance(2, None) == "at least 2" and D.format_distance(2, 2) == "2"
     assert D.format_restrictions({i: "AAA" for i in range(6)}, max_lines=2)[-1].endswith("4 more")
     assert D.format_forbidden_motifs(["ACU", RestrictionSite.EcoRI]) == "ACT, EcoRI (GAATTC)"
+
+
+def test_tools():
+    import itertools
+
+    from test_space import repeat
+
+    for t in map("".join, itertools.product("ACGT", repeat=6)):
+        for length, lo, hi in ((2, 0, None), (2, 1, 2), (3, 0, None)):
+            assert T.contains_direct_repeat(t, length, lo, hi) == repeat(t, length, lo, hi, False)
+            assert T.contains_inverted_repeat(t.lower().replace("t", "u"), length, lo, hi) == T.contains_hairpin(t, length, lo, hi) == repeat(t, length, lo, hi, True)
+    assert T.choice_masks(["ATG", "CUG"]) == [3, 8, 4] and T.pack_masks([1, 2, 8]) == 0x821 and T.sequence_masks("acgu") == [1, 2, 4, 8]
+    with pytest.raises(ValueError):
+        T.choice_masks(["A", "AC"])
+    draws = T.Sampler("abc", [1, 0, 3], seed=1).sample(4000)
+    assert "b" not in draws and abs(draws.count("c") / 4000 - 0.75) < 0.05 and T.Sampler("x").sample() == "x"
+    for bad in ((), None), ("ab", [0, 0]), ("ab", [1]):
+        with pytest.raises(ValueError):
+            T.Sampler(*bad)
