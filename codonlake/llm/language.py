@@ -173,25 +173,25 @@ def train(docs: DataFrame) -> Network | None:
 
 
 def identify(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
-    """The columns to keep, lang_pred and lang_score of each row's whole text.
+    """The columns to keep, __lang and __score of each row's whole text.
 
     `und` with score 0 where text is null or has no letter, and everywhere without a network.
     """
     if net is None:
-        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
+        return docs.select(*keep, F.lit(UNKNOWN).alias("__lang"), F.lit(0.0).alias("__score"))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 100 KB
 
     def run(batches):
         compiled = shared.value.compiled()
         for b in batches:
             langs, score = predict(shared.value, compiled, b.column("text").to_pylist())
-            yield {c: b.column(c) for c in keep} | {"lang_pred": langs, "lang_score": score}
+            yield {c: b.column(c) for c in keep} | {"__lang": langs, "__score": score}
 
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{ddl}, lang_pred string, lang_score double")
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{ddl}, __lang string, __score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang; others are ignored)."""
     out = identify(docs, train(docs), ["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))

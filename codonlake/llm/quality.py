@@ -192,23 +192,23 @@ def held_out(doc_id):
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns to keep and quality_score (0 to 1) of each row's whole text.
+    """The columns to keep and __quality (0 to 1) of each row's whole text.
 
     A null or empty text is scored like any other; without a model each score is 0.5.
     """
     if model is None:
-        return docs.select(*keep, F.lit(0.5).alias("quality_score"))
+        return docs.select(*keep, F.lit(0.5).alias("__quality"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 50 KB
 
     def run(batches):
         for b in batches:
-            yield {c: b.column(c) for c in keep} | {"quality_score": shared.value.score(b.column("text").to_pylist())}
+            yield {c: b.column(c) for c in keep} | {"__quality": shared.value.score(b.column("text").to_pylist())}
 
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{ddl}, quality_score double")
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{ddl}, __quality double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text; others are ignored)."""
     out = score(docs, train(docs, labels), ["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= REJECT).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__quality").alias("score"), (F.col("__quality") >= REJECT).cast("int").alias("predicted"))

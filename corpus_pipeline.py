@@ -21,13 +21,13 @@ ORACLE_SQL = None
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier scores 0.3 or more."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, docs.columns).where(F.col("quality_score") >= quality.REJECT).select(*docs.columns)
+    return quality.score(docs, model, docs.columns).where(F.col("__quality") >= quality.REJECT).select(*docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the byte network knows: not `und`, and with a score of 0.4 or more."""
     out = language.identify(docs, language.train(docs), docs.columns)
-    return out.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= language.REJECT)).select(*docs.columns)
+    return out.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= language.REJECT)).select(*docs.columns)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
