@@ -16,6 +16,12 @@ GROUP_TOKENS, GROUP_SETS = 300_000, 1024
 #: from FREQUENT on a shingle counts as frequent; so many of them, the most frequent, are sent to the tasks.
 #: None of these changes the result: they only order the shingles.
 COUNTED, MET, FREQUENT, MOST_FREQUENT = 3_000_000, 2, 12, 400_000
+#: Buckets of the counts that bound the overlap of two sets; prefix shingles that one task of the matrix gets.
+SKETCH, BUCKET_TOKENS = 128, 1_000_000
+#: Sets of a group up to which the bound is taken for each pair within it.
+PAIRED = 64
+#: Hash values of doc_id that mark candidates' rows.
+FLAGS = 1 << 20
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -91,10 +97,12 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """rid, doc_id, text_hash, n_shingles, sig_a, sig_b and prefix of every row.
+    """rid, doc_id, text_hash, n_shingles, sig_a, sig_b, first, prefix and sketch of every row.
 
     The prefix has the n - ceil(percent * n / 100) + 1 first shingles in one order of all shingles, rare
-    ones first: two sets that link share at least one shingle of their prefixes.
+    ones first: two sets that link share at least one shingle of their prefixes. `first` is its first
+    shingle. The sketch counts the set's shingles by bucket of their hash, one byte each; it is empty if a
+    count needs more.
     """
     token, level = frequent(docs, n)
     shared = docs.sparkSession.sparkContext.broadcast((token, level))  # 16 bytes for each of at most MOST_FREQUENT
@@ -102,7 +110,7 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches):
         token, level = shared.value
         for b in batches:
-            out = {k: [] for k in ("n_shingles", "sig_a", "sig_b", "prefix")}
+            out = {k: [] for k in ("n_shingles", "sig_a", "sig_b", "first", "prefix", "sketch")}
             for text in b.column("text").to_pylist():
                 s = shingles(text, n)
                 size = len(s)
@@ -118,54 +126,147 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 out["n_shingles"].append(size)
                 out["sig_a"].append(int.from_bytes(d[:8], "little", signed=True))
                 out["sig_b"].append(int.from_bytes(d[8:], "little", signed=True))
+                out["first"].append(int(key[:1].view(np.int64)[0]) if size else 0)
                 out["prefix"].append(key.tobytes())
+                counts = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                out["sketch"].append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"")
             yield {"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash")} | out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, f"doc_id {kind}, text_hash long, n_shingles long, sig_a long, sig_b long, prefix binary")
+    rows = map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, f"doc_id {kind}, text_hash long, n_shingles long, sig_a long, sig_b long, first long, prefix binary, sketch binary")
     return written(rows.withColumn("rid", F.monotonically_increasing_id()), "described")
 
 
 def grouped(classes: DataFrame) -> DataFrame:
-    """Adds `first` (the first shingle of the order) and `grp`: sets with the same first shingle are a group, unless that is too large."""
+    """Adds grp: classes with the same first shingle are a group, unless that is too large."""
+    large = classes.groupBy("first").agg(F.sum("n").alias("t"), F.count("*").alias("c")).withColumn("parts", F.ceil(F.greatest(F.col("t") / GROUP_TOKENS, F.col("c") / GROUP_SETS)).cast("int")).where("parts > 1").select("first", "parts")
+    part = F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1)))
+    return classes.join(large, "first", "left").withColumn("grp", F.xxhash64("first", part)).drop("parts", "first")
 
-    def run(batches):
+
+def group_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """g1, g2 (g1 < g2): groups that share a shingle in the prefixes of sets whose sizes allow a link.
+
+    The token-group matrix over prefixes: each task turns its sets into (shingle, group, least and largest
+    set) and packs them by bucket of the shingle; a bucket is sorted, and groups that meet at a shingle
+    are paired.
+    """
+    spark = rows.sparkSession
+    total = classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
+    buckets = int(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_TOKENS))
+    entries = rows.select("rid", "prefix").join(classes.select(F.col("cid").alias("rid"), "grp", "n"), "rid")
+
+    def pack(batches):
         for b in batches:
-            first = np.array([int.from_bytes(p[:8], "little", signed=True) for p in b.column("prefix").to_pylist()], dtype=np.int64)
-            yield {c: b.column(c) for c in ("cid", "doc_id", "n", "sig_a", "sig_b", "prefix")} | {"first": pa.array(first)}
+            p = b.column("prefix").to_pylist()
+            k = np.array([len(x) // 8 for x in p], dtype=np.int64)
+            token = np.frombuffer(b"".join(p), dtype=np.uint64)
+            grp, n = (np.repeat(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64), k) for c in ("grp", "n"))
+            bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((grp, token, bucket))
+            token, grp, n, bucket = token[order], grp[order], n[order], bucket[order]
+            head = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (grp[1:] != grp[:-1])])) if len(token) else np.zeros(0, dtype=np.int64)
+            out = {c: [] for c in ("bucket", "token", "grp", "lo", "hi")}
+            if len(head):
+                lo, hi = np.minimum.reduceat(n, head).astype(np.int32), np.maximum.reduceat(n, head).astype(np.int32)
+                token, grp, bucket = token[head], grp[head], bucket[head]
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+                for x, y in zip(cuts[:-1], cuts[1:]):
+                    for c, v in zip(out, (int(bucket[x]), token[x:y].tobytes(), grp[x:y].tobytes(), lo[x:y].tobytes(), hi[x:y].tobytes())):
+                        out[c].append(v)
+            yield out
 
-    kind = classes.schema["doc_id"].dataType.simpleString()
-    with_first = written(map_batches(classes.select("cid", "doc_id", "n", "sig_a", "sig_b", "prefix"), run, f"cid long, doc_id {kind}, n long, sig_a long, sig_b long, prefix binary, first long"), "classes")
-    large = with_first.groupBy("first").agg(F.sum("n").alias("t"), F.count("*").alias("c")).withColumn("parts", F.ceil(F.greatest(F.col("t") / GROUP_TOKENS, F.col("c") / GROUP_SETS)).cast("int")).where("parts > 1").select("first", "parts")
-    part = F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1)))
-    return with_first.join(large, "first", "left").withColumn("grp", F.xxhash64("first", part)).drop("parts", "first")
+    def meet(t: pa.Table) -> pa.Table:
+        token, grp, lo, hi = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=d) for c, d in (("token", np.uint64), ("grp", np.int64), ("lo", np.int32), ("hi", np.int32)))
+        order = np.lexsort((grp, token))
+        token, grp, lo, hi = token[order], grp[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+        ends = np.searchsorted(token, token, side="right")
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        size, step = 0, 1
+        at = np.arange(len(token))
+        while len(at := at[at + step < ends[at]]):
+            u, v = at, at + step
+            ok = (grp[u] != grp[v]) & (hi[u] * 100 >= lo[v] * percent) & (hi[v] * 100 >= lo[u] * percent)
+            found.append(np.stack([grp[u[ok]], grp[v[ok]]], axis=1))
+            size += len(found[-1])
+            if size > 1_000_000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                size = 0
+            step += 1
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.table({"g1": pa.array(pairs[:, 0]), "g2": pa.array(pairs[:, 1])})
+
+    packed = map_batches(entries.select("prefix", "grp", "n"), pack, "bucket int, token binary, grp binary, lo binary, hi binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "g1 long, g2 long").distinct()
+
+
+def bounded_pairs(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs of groups, and the groups paired with themselves, that the overlap bound leaves.
+
+    The sum over buckets of the lesser count bounds the overlap of two sets; for groups each bucket has
+    the largest count of its sets, so it bounds the overlap of any two sets of the groups.
+    """
+    wanted = pairs.select(F.col("g1").alias("grp")).union(pairs.select(F.col("g2").alias("grp"))).distinct()
+    several = classes.groupBy("grp").count().where("count > 1").select("grp")
+    own = classes.join(wanted.union(several).distinct(), "grp", "left_semi").select(F.col("cid").alias("rid"), "grp", "n")
+    sketches = rows.select("rid", "sketch").join(own, "rid").groupBy("grp").agg(F.collect_list(F.struct("n", "sketch")).alias("sets"))  # a group is bounded
 
+    def summed(batches):
+        for b in batches:
+            out = {k: [] for k in ("grp", "lo", "most", "within")}
+            for grp, sets in zip(b.column("grp").to_pylist(), b.column("sets").to_pylist()):
+                n = np.array([x["n"] for x in sets])
+                full = all(x["sketch"] for x in sets)
+                c = np.frombuffer(b"".join(x["sketch"] for x in sets), dtype=np.uint8).reshape(-1, SKETCH) if full else None
+                within = len(sets) > 1
+                if within and full and len(sets) <= PAIRED:
+                    both = np.minimum(c[:, None], c[None]).sum(axis=2, dtype=np.int64)
+                    large = np.maximum(n[:, None], n[None])
+                    ok = (both * 100 >= large * percent) & (np.minimum(n[:, None], n[None]) * 100 >= large * percent)
+                    np.fill_diagonal(ok, False)
+                    within = bool(ok.any())
+                for k, v in zip(out, (grp, int(n.min()), c.max(axis=0).tobytes() if full else b"", within)):
+                    out[k].append(v)
+            yield out
 
-def matrix(classes: DataFrame) -> DataFrame:
-    """The token-group matrix over prefixes: token, grp, and the least and largest set of the group that has the token in its prefix."""
+    groups = written(map_batches(sketches, summed, "grp long, lo long, most binary, within boolean"), "sketches")
+    side = lambda k: groups.select(F.col("grp").alias(f"g{k}"), F.col("lo").alias(f"lo{k}"), F.col("most").alias(f"m{k}"))
+    both = pairs.join(side(1), "g1").join(side(2), "g2")
 
-    def run(batches):
+    def bound(batches):
         for b in batches:
-            p = b.column("prefix").to_pylist()
-            k = np.array([len(x) // 8 for x in p])
-            token = np.frombuffer(b"".join(p), dtype=np.int64)
-            rep = lambda c: pa.array(np.repeat(b.column(c).to_numpy(zero_copy_only=False), k))
-            yield {"token": pa.array(token), "grp": rep("grp"), "n": rep("n")}
+            m1, m2 = b.column("m1").to_pylist(), b.column("m2").to_pylist()
+            least = np.maximum(b.column("lo1").to_numpy(zero_copy_only=False), b.column("lo2").to_numpy(zero_copy_only=False))
+            known = np.array([bool(x and y) for x, y in zip(m1, m2)], dtype=bool)
+            keep = ~known
+            if known.any():
+                x, y = (np.frombuffer(b"".join(v for v, k in zip(m, known) if k), dtype=np.uint8).reshape(-1, SKETCH) for m in (m1, m2))
+                keep[known] = np.minimum(x, y).sum(axis=1, dtype=np.int64) * 100 >= least[known] * percent
+            at = pa.array(np.flatnonzero(keep))
+            yield {"g1": b.column("g1").take(at), "g2": b.column("g2").take(at)}
 
-    return map_batches(classes.select("grp", "n", "prefix"), run, "token long, grp long, n long").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    across = map_batches(both, bound, "g1 long, g2 long")
+    return written(across.union(groups.where("within").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))), "pairs")
 
 
-def verify(own: list[tuple[int, np.ndarray]], other: list[tuple[int, np.ndarray]], percent: int, same: bool) -> list[tuple[int, int]]:
+class Opened:
+    """A group's token union and, for each of its sets, the places of its tokens in the union."""
+
+    def __init__(self, sets: list[tuple[int, np.ndarray]]):
+        self.cids = [c for c, _ in sets]
+        self.lens = np.array([len(t) for _, t in sets])
+        self.start = np.concatenate([[0], np.cumsum(self.lens)])
+        self.union, self.idx = np.unique(np.concatenate([t for _, t in sets]), return_inverse=True)
+
+
+def verify(own: list[tuple[int, np.ndarray]], other: Opened, percent: int, same: bool) -> list[tuple[int, int]]:
     """Links between sets of two groups (or within one) that connect all that link there.
 
     A set opens the other group only if its overlap with the group's token union allows a link to some
     set of it; then sets of fitting size that are not connected yet are compared exactly.
     """
-    lens = np.array([len(s) for _, s in other])
-    flat = np.concatenate([s for _, s in other])
-    union, idx = np.unique(flat, return_inverse=True)
-    start = np.concatenate([[0], np.cumsum(lens)])
-    parent = list(range(len(own) + len(other)))
+    lens, start, union, idx = other.lens, other.start, other.union, other.idx
+    parent = list(range(len(own) + len(lens)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -196,55 +297,86 @@ def verify(own: list[tuple[int, np.ndarray]], other: list[tuple[int, np.ndarray]
                     a, b = root(i), root(node_of(j))
                     if a != b:
                         parent[b] = a
-                        links.append((cid, other[j][0]))
+                        links.append((cid, other.cids[j]))
             todo = todo[step:]
             step *= 4
         flag[hit] = False
     return links
 
 
-def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: links between classes of equal sets that connect all classes that are connected."""
+def packed(sets: list[tuple[int, np.ndarray]]) -> bytes:
+    head = np.array([len(sets), *(c for c, _ in sets), *(len(t) for _, t in sets)], dtype=np.int64)
+    return head.tobytes() + b"".join(t.tobytes() for _, t in sets)
+
+
+def opened(raw: bytes) -> list[tuple[int, np.ndarray]]:
+    n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
+    head = np.frombuffer(raw, dtype=np.int64, count=2 * n, offset=8)
+    tokens = np.frombuffer(raw, dtype=np.uint64, offset=8 * (2 * n + 1))
+    return list(zip(head[:n].tolist(), np.split(tokens, np.cumsum(head[n:])[:-1])))
+
+
+def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: links between classes of equal sets that connect all classes that are connected.
+
+    Only the texts of candidates are read again: a broadcast of at most FLAGS hash values of doc_id keeps
+    most others from the shuffle. A group verifies its own sets where it is gathered; of two groups the
+    smaller one is sent to the larger.
+    """
     classes = written(grouped(classes), "groups")
-    m = matrix(classes)
-    l, r = m.select("token", F.col("grp").alias("g1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), m.select("token", F.col("grp").alias("g2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    sized = (F.col("hi1") * 100 >= F.col("lo2") * percent) & (F.col("hi2") * 100 >= F.col("lo1") * percent)
-    across = l.join(r, "token").where((F.col("g1") < F.col("g2")) & sized).select("g1", "g2").distinct()
-    within = classes.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))
-    pairs = written(across.union(within), "pairs")
-    wanted = pairs.select(F.col("g1").alias("grp")).union(pairs.select(F.col("g2").alias("grp"))).distinct()
-    members = classes.select("cid", "doc_id", "sig_a", "sig_b", "grp").join(wanted, "grp", "left_semi").withColumnRenamed("doc_id", "rep")
-    texts = docs.select("doc_id", "text").join(members, F.col("doc_id").eqNullSafe(F.col("rep")))
+    pairs = bounded_pairs(rows, classes, written(group_pairs(rows, classes, percent), "meeting"), percent)
+    ends = pairs.select(F.col("g1").alias("grp"), (F.col("g1") != F.col("g2")).alias("cross")).union(pairs.select("g2", F.col("g1") != F.col("g2")))
+    wanted = ends.groupBy("grp").agg(F.max("cross").alias("cross"), F.max(~F.col("cross")).alias("within"))
+    members = written(classes.select("cid", "doc_id", "sig_a", "sig_b", "grp").join(wanted, "grp").withColumnRenamed("doc_id", "rep"), "members")
+    flag = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAGS))
+    flags = F.broadcast(members.select(flag("rep").alias("flag")).distinct())
+    texts = docs.select("doc_id", "text").withColumn("flag", flag("doc_id")).join(flags, "flag", "left_semi").drop("flag").join(members, F.col("doc_id").eqNullSafe(F.col("rep")))
 
     def sets(batches):
         for b in batches:
-            out = {k: [] for k in ("grp", "cid", "tokens")}
-            for grp, cid, sa, sb, text in zip(*(b.column(c).to_pylist() for c in ("grp", "cid", "sig_a", "sig_b", "text"))):
+            names = ("grp", "cross", "within", "cid", "tokens")
+            out = {k: [] for k in names}
+            for grp, cross, within, cid, sa, sb, text in zip(*(b.column(c).to_pylist() for c in ("grp", "cross", "within", "cid", "sig_a", "sig_b", "text"))):
                 raw = shingles(text, n).tobytes()
                 d = xxhash.xxh3_128_digest(raw)
                 if int.from_bytes(d[:8], "little", signed=True) == sa and int.from_bytes(d[8:], "little", signed=True) == sb:
-                    for k, v in zip(out, (grp, cid, raw)):
+                    for k, v in zip(names, (grp, cross, within, cid, raw)):
                         out[k].append(v)
             yield out
 
-    full = map_batches(texts.select("grp", "cid", "sig_a", "sig_b", "text"), sets, "grp long, cid long, tokens binary")
-    packed = written(full.groupBy("grp").agg(F.collect_list(F.struct("cid", "tokens")).alias("sets")), "sets")  # a group is bounded
-    both = pairs.join(packed.select(F.col("grp").alias("g1"), F.col("sets").alias("s1")), "g1").join(packed.select(F.col("grp").alias("g2"), F.col("sets").alias("s2")), "g2")
-
-    def opened(x) -> list[tuple[int, np.ndarray]]:
-        once = {e["cid"]: e["tokens"] for e in x}  # a repeated row gives its set again
-        return [(c, np.frombuffer(t, dtype=np.uint64)) for c, t in sorted(once.items())]
+    full = map_batches(texts.select("grp", "cross", "within", "cid", "sig_a", "sig_b", "text"), sets, "grp long, cross boolean, within boolean, cid long, tokens binary")
+    gathered = full.groupBy("grp").agg(F.first("cross").alias("cross"), F.first("within").alias("within"), F.collect_list(F.struct("cid", "tokens")).alias("sets"))  # a group is bounded
 
-    def run(batches):
+    def settle(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                once = {e["cid"]: e["tokens"] for e in b.column("sets")[i].as_py()}  # a repeated row gives its set again
+                own = [(c, np.frombuffer(t, dtype=np.uint64)) for c, t in sorted(once.items())]
+                found = verify(own, Opened(own), percent, True) if b.column("within")[i].as_py() else []
+                keep = packed(own) if b.column("cross")[i].as_py() else None
+                yield {"grp": [b.column("grp")[i].as_py()], "size": [sum(len(t) for _, t in own)], "sets": [keep], "a": [[x for x, _ in found]], "b": [[x for _, x in found]]}
+
+    settled = written(map_batches(gathered, settle, "grp long, size long, sets binary, a array<long>, b array<long>"), "sets")
+    size = lambda k: settled.where("sets is not null").select(F.col("grp").alias(f"g{k}"), F.col("size").alias(f"size{k}"))
+    sized = pairs.where("g1 <> g2").join(size(1), "g1").join(size(2), "g2")
+    first = F.struct("size1", "g1") <= F.struct(F.col("size2").alias("size1"), F.col("g2").alias("g1"))
+    sent = sized.select(F.when(first, F.col("g1")).otherwise(F.col("g2")).alias("guest"), F.when(first, F.col("g2")).otherwise(F.col("g1")).alias("host"))
+    guests = sent.join(settled.select(F.col("grp").alias("guest"), F.col("sets").alias("own")), "guest").drop("guest")
+    both = guests.join(settled.select(F.col("grp").alias("host"), F.col("sets").alias("other")), "host")
+
+    def across(batches):
+        host, other = None, None
         for b in batches:
             out: list[tuple[int, int]] = []
             for i in range(b.num_rows):
-                g1, g2 = b.column("g1")[i].as_py(), b.column("g2")[i].as_py()
-                own = opened(b.column("s1")[i].as_py())
-                out += verify(own, own if g1 == g2 else opened(b.column("s2")[i].as_py()), percent, g1 == g2)
+                if other is None or b.column("host")[i].as_py() != host:
+                    host, other = b.column("host")[i].as_py(), Opened(opened(b.column("other")[i].as_py()))
+                out += verify(opened(b.column("own")[i].as_py()), other, percent, False)
             yield {"a": [x[0] for x in out], "b": [x[1] for x in out]}
 
-    return written(map_batches(both, run, "a long, b long"), "found")
+    between = map_batches(both, across, "a long, b long")
+    inside = settled.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b")
+    return written(between.union(inside), "found")
 
 
 def jaccard_rows(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -259,13 +391,13 @@ def jaccard_rows(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     gives no rows.
     """
     rows = described(docs, n, percent)
-    by_sig = rows.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("rep"), F.min("rid").alias("cid"), F.min("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    classes = written(by_sig.select("cid", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rep_rid"), "n", "sig_a", "sig_b", "prefix"), "classes")
-    roots = components(links(docs, classes, n, percent))
+    by_sig = rows.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("rep"), F.min("rid").alias("cid"), F.min("n_shingles").alias("n"), F.min("first").alias("first"))
+    classes = written(by_sig.select("cid", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rep_rid"), "n", "sig_a", "sig_b", "first"), "classes")
+    roots = components(links(docs, rows, classes, n, percent))
     known = classes.select("cid", "doc_id", "rep_rid", "sig_a", "sig_b").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("component_id"), F.col("rep_rid").alias("kept_rid"))).alias("m"))
     named = known.join(least, "root").select("sig_a", "sig_b", "m.component_id", "m.kept_rid")
-    joined = rows.drop("prefix").join(named, ["sig_a", "sig_b"], "left")
+    joined = rows.drop("prefix", "sketch", "first").join(named, ["sig_a", "sig_b"], "left")
     alone = F.col("n_shingles") == 0
     return joined.select("rid", "doc_id", "text_hash", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("rid") == F.col("kept_rid"))).alias("kept"))
 
@@ -278,11 +410,10 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """The rows of docs without all but one of each component, all columns."""
     found = written(jaccard_rows(docs, n, percent), "components")
-    key = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("stay")).where("stay > 0")
-    key = written(key.select(F.col("doc_id").alias("kept_doc"), F.col("text_hash").alias("kept_hash"), "rows", "stay"), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.xxhash64("text") == F.col("kept_hash"))
-    whole = docs.join(key.where("rows = stay"), same, "left_semi")
-    # rows that repeat doc_id and text: as many as stay
-    again = docs.join(key.where("rows > stay"), same)
-    once = again.dropDuplicates(["kept_doc", "kept_hash"]).select(*docs.columns)
+    key = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__rows"), F.sum(F.col("kept").cast("int")).alias("__stay")).where("__stay > 0")
+    key = written(key.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__rows", "__stay"), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash"))
+    whole = docs.join(key.where("__rows = __stay"), same, "left_semi")
+    # of rows that repeat doc_id and text one stays
+    once = docs.join(key.where("__rows > __stay"), same).dropDuplicates(["__doc", "__hash"]).select(*docs.columns)
     return whole.union(once)
