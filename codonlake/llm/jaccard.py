@@ -250,70 +250,66 @@ def bounded_pairs(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent
 
 
 class Opened:
-    """A group's token union and, for each of its sets, the places of its tokens in the union."""
+    """A group: its sets, its token union, the places of the sets' tokens in the union, and which sets are known to be connected."""
 
-    def __init__(self, sets: list[tuple[int, np.ndarray]]):
-        self.cids = [c for c, _ in sets]
+    def __init__(self, sets: list[tuple[int, np.ndarray]], parts: np.ndarray | None = None):
+        self.sets = sets
         self.lens = np.array([len(t) for _, t in sets])
         self.start = np.concatenate([[0], np.cumsum(self.lens)])
         self.union, self.idx = np.unique(np.concatenate([t for _, t in sets]), return_inverse=True)
+        self.parts = np.arange(len(sets)) if parts is None else parts
 
 
-def verify(own: list[tuple[int, np.ndarray]], other: Opened, percent: int, same: bool) -> list[tuple[int, int]]:
-    """Links between sets of two groups (or within one) that connect all that link there.
+def verify(own: Opened, other: Opened, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of two groups (or within one, then its parts are filled in) that connect all that link there.
 
     A set opens the other group only if its overlap with the group's token union allows a link to some
-    set of it; then sets of fitting size that are not connected yet are compared exactly.
+    set of it; then sets of fitting size are compared exactly, but for those that are known to be connected.
     """
-    lens, start, union, idx = other.lens, other.start, other.union, other.idx
-    parent = list(range(len(own) + len(lens)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    node_of = (lambda j: j) if same else (lambda j: len(own) + j)
-    links, flag = [], np.zeros(len(union), dtype=bool)
-    for i, (cid, s) in enumerate(own):
-        at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-        hit = at[union[at] == s]
-        size, bound = len(s), len(hit)
-        fits = (100 * bound >= percent * np.maximum(size, lens)) & (100 * np.minimum(size, lens) >= percent * np.maximum(size, lens))
+    same = own is other
+    parts, found = other.parts, []
+    met: dict[int, list[int]] = {}  # part of own -> parts of other that it is linked to
+    flag = np.zeros(len(other.union), dtype=bool)
+    for i, (cid, s) in enumerate(own.sets):
+        at = np.minimum(np.searchsorted(other.union, s), len(other.union) - 1)
+        hit = at[other.union[at] == s]
+        large = np.maximum(len(s), other.lens)
+        fits = (100 * len(hit) >= percent * large) & (100 * np.minimum(len(s), other.lens) >= percent * large)
         if same:
             fits[: i + 1] = False
+            fits &= parts != parts[i]
+        elif known := met.get(int(own.parts[i])):
+            fits &= ~np.isin(parts, known)
         todo = np.flatnonzero(fits)
         if not len(todo):
             continue
         flag[hit] = True
-        step = 4
         while len(todo):
-            mine = root(i)
-            todo = np.array([j for j in todo if root(node_of(j)) != mine], dtype=np.int64)
-            for j in todo[:step]:
-                both = int(np.count_nonzero(flag[idx[start[j] : start[j + 1]]]))
-                if 100 * both >= percent * (size + lens[j] - both):
-                    a, b = root(i), root(node_of(j))
-                    if a != b:
-                        parent[b] = a
-                        links.append((cid, other.cids[j]))
-            todo = todo[step:]
-            step *= 4
+            j, todo = todo[0], todo[1:]
+            both = int(np.count_nonzero(flag[other.idx[other.start[j] : other.start[j + 1]]]))
+            if 100 * both < percent * (len(s) + other.lens[j] - both):
+                continue
+            found.append((cid, other.sets[j][0]))
+            part = int(parts[j])
+            todo = todo[parts[todo] != part]
+            if same:
+                parts[parts == part] = parts[i]
+            else:
+                met.setdefault(int(own.parts[i]), []).append(part)
         flag[hit] = False
-    return links
+    return found
 
 
-def packed(sets: list[tuple[int, np.ndarray]]) -> bytes:
-    head = np.array([len(sets), *(c for c, _ in sets), *(len(t) for _, t in sets)], dtype=np.int64)
-    return head.tobytes() + b"".join(t.tobytes() for _, t in sets)
+def packed(group: Opened) -> bytes:
+    head = np.array([len(group.sets), *(c for c, _ in group.sets), *group.lens, *group.parts], dtype=np.int64)
+    return head.tobytes() + b"".join(t.tobytes() for _, t in group.sets)
 
 
-def opened(raw: bytes) -> list[tuple[int, np.ndarray]]:
+def opened(raw: bytes) -> Opened:
     n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
-    head = np.frombuffer(raw, dtype=np.int64, count=2 * n, offset=8)
-    tokens = np.frombuffer(raw, dtype=np.uint64, offset=8 * (2 * n + 1))
-    return list(zip(head[:n].tolist(), np.split(tokens, np.cumsum(head[n:])[:-1])))
+    cids, lens, parts = np.frombuffer(raw, dtype=np.int64, count=3 * n, offset=8).reshape(3, n)
+    tokens = np.frombuffer(raw, dtype=np.uint64, offset=8 * (3 * n + 1))
+    return Opened(list(zip(cids.tolist(), np.split(tokens, np.cumsum(lens)[:-1]))), parts)
 
 
 def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -351,10 +347,10 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent:
         for b in batches:
             for i in range(b.num_rows):
                 once = {e["cid"]: e["tokens"] for e in b.column("sets")[i].as_py()}  # a repeated row gives its set again
-                own = [(c, np.frombuffer(t, dtype=np.uint64)) for c, t in sorted(once.items())]
-                found = verify(own, Opened(own), percent, True) if b.column("within")[i].as_py() else []
+                own = Opened([(c, np.frombuffer(t, dtype=np.uint64)) for c, t in sorted(once.items())])
+                found = verify(own, own, percent) if b.column("within")[i].as_py() else []
                 keep = packed(own) if b.column("cross")[i].as_py() else None
-                yield {"grp": [b.column("grp")[i].as_py()], "size": [sum(len(t) for _, t in own)], "sets": [keep], "a": [[x for x, _ in found]], "b": [[x for _, x in found]]}
+                yield {"grp": [b.column("grp")[i].as_py()], "size": [int(own.lens.sum())], "sets": [keep], "a": [[x for x, _ in found]], "b": [[x for _, x in found]]}
 
     settled = written(map_batches(gathered, settle, "grp long, size long, sets binary, a array<long>, b array<long>"), "sets")
     size = lambda k: settled.where("sets is not null").select(F.col("grp").alias(f"g{k}"), F.col("size").alias(f"size{k}"))
@@ -370,8 +366,8 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent:
             out: list[tuple[int, int]] = []
             for i in range(b.num_rows):
                 if other is None or b.column("host")[i].as_py() != host:
-                    host, other = b.column("host")[i].as_py(), Opened(opened(b.column("other")[i].as_py()))
-                out += verify(opened(b.column("own")[i].as_py()), other, percent, False)
+                    host, other = b.column("host")[i].as_py(), opened(b.column("other")[i].as_py())
+                out += verify(opened(b.column("own")[i].as_py()), other, percent)
             yield {"a": [x[0] for x in out], "b": [x[1] for x in out]}
 
     between = map_batches(both, across, "a long, b long")
