@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import math
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 SPACE = "▁"
+#: Code points of text after which what is found is handed on; it bounds memory only.
+HAND_ON = 1 << 20
 #: What a character outside the vocabulary costs below the lowest piece; it becomes its bytes.
 BYTE_PENALTY = 10.0
 #: Scores from here down mark pieces that the model file itself shuns.
@@ -20,8 +24,8 @@ NEVER = -1e8
 class Lattice:
     """Segmentations of texts into the pieces of a SentencePiece model, by the sum of the pieces' scores."""
 
-    #: Segments whose segmentations are kept; it bounds memory only.
-    KEEP = 200_000
+    #: Segments whose segmentations are kept at once; then the older half goes. It bounds memory only.
+    KEEP = 150_000
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -33,23 +37,35 @@ class Lattice:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.pieces = {n: (i, sp.get_score(i)) for i, n in enumerate(self.names) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         self.longest = max(map(len, self.pieces))
+        #: Each beginning of a piece with the piece's score and ids, or None where it is no piece itself.
+        self.starts = dict.fromkeys(n[:k] for n in self.pieces for k in range(1, len(n) + 1)) | {n: (w, (i,)) for n, (i, w) in self.pieces.items()}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
         self.floor = min(s for _, s in self.pieces.values() if s > NEVER) - BYTE_PENALTY
         # no piece goes on over a space after a letter, nor over a line's end: the lattice falls apart there
         assert not any(SPACE in n.lstrip(SPACE) or "\n" in n for n in self.pieces)
         self.segments = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
-        self.known: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+        self.new: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+        self.old: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
-    def arcs(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end the pieces that end there: start, score, ids."""
+    def arcs(self, s: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
+        """For each end the pieces that end there (start, score, ids) and the Viterbi score."""
         into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(s) + 1)]
-        get = self.pieces.get
-        for i in range(len(s)):
-            for j in range(i + 1, min(len(s), i + self.longest) + 1):
-                if p := get(s[i:j]):
-                    into[j].append((i, p[1], (p[0],)))
-            if s[i] not in self.pieces:
-                into[i + 1].append((i, self.floor, tuple(self.bytes[b] for b in s[i].encode("utf-8", "surrogatepass"))))
-        return into
+        starts, pieces, size = self.starts, self.pieces, len(s)
+        best = [0.0] + [-math.inf] * size
+        for i in range(size):
+            b = best[i]
+            for j in range(i + 1, size + 1):
+                if (t := s[i:j]) not in starts:
+                    break
+                if p := starts[t]:
+                    w, ids = p
+                    into[j].append((i, w, ids))
+                    if b + w > best[j]:
+                        best[j] = b + w
+            if s[i] not in pieces:
+                into[i + 1].append((i, self.floor, tuple(self.bytes[x] for x in s[i].encode("utf-8", "surrogatepass"))))
+                best[i + 1] = max(best[i + 1], b + self.floor)
+        return into, best
 
     def segment(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations, best first: forward Viterbi, then A* from the end.
@@ -58,12 +74,12 @@ class Lattice:
         the rest can add, so complete paths leave the heap in the order of their scores. Of equal scores
         the one found first by the order of the arcs leads.
         """
-        if (found := self.known.get((s, n))) is not None:
+        if (found := self.new.get((s, n))) is not None:
             return found
-        into = self.arcs(s)
-        best = [0.0] * (len(s) + 1)
-        for j in range(1, len(s) + 1):
-            best[j] = max(best[i] + w for i, w, _ in into[j])
+        if (found := self.old.get((s, n))) is not None:
+            self.new[s, n] = found
+            return found
+        into, best = self.arcs(s)
         heap: list = [(-best[len(s)], 0, len(s), 0.0, None)]
         out, serial = [], 0
         while heap and len(out) < n:
@@ -78,9 +94,9 @@ class Lattice:
             for i, w, ids in into[at]:
                 serial += 1
                 heapq.heappush(heap, (-(best[i] + w + done), serial, i, w + done, (ids, path)))
-        if len(self.known) > self.KEEP:
-            self.known.clear()
-        self.known[s, n] = out
+        if len(self.new) > self.KEEP:
+            self.old, self.new = self.new, {}
+        self.new[s, n] = out
         return out
 
     def encode(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
@@ -99,16 +115,19 @@ class Lattice:
         combos: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         for i in loose:
             combos = sorted(((loss + options[i][0][0] - o[0], (*chosen, (i, k)) if k else chosen) for loss, chosen in combos for k, o in enumerate(options[i])), key=lambda c: c[0])[:n]
+        best = [x for o in options for x in o[0][1]]
+        ends = list(accumulate(len(o[0][1]) for o in options))
         out = []
         for loss, chosen in combos:
-            own = dict(chosen)
-            out.append((total - loss, [x for i, o in enumerate(options) for x in o[own.get(i, 0)][1]]))
+            ids = best.copy()
+            for i, k in sorted(chosen, reverse=True):  # from the end, so that places before stay
+                ids[ends[i] - len(options[i][0][1]) : ends[i]] = options[i][k][1]
+            out.append((total - loss, ids))
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces with ▁ as space, bytes as UTF-8, without the space that encode puts first."""
-        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.names[i].replace(SPACE, " ").encode() for i in ids)
-        text = raw.decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -133,15 +152,19 @@ def nbest(df: DataFrame, model_file: str, n: int = 3, keep: list[str] | None = N
         import pyarrow as pa
 
         for b in batches:
-            rows, out = [], {"rank": [], "score": [], "ids": [], "decoded": []}
             lat = lattice(model_file)
-            for i, text in enumerate(b.column("__text").to_pylist()):
+            rows, out, seen = [], {"rank": [], "score": [], "ids": [], "decoded": []}, 0
+            for i, text in enumerate(b.column("__text")):
+                text = text.as_py()
                 for rank, (score, ids) in enumerate(lat.encode(text, n), 1):
                     rows.append(i)
                     for k, v in zip(out, (rank, score, ids, lat.decode(ids))):
                         out[k].append(v)
-            at = pa.array(rows, type=pa.int64())
-            yield {c: b.column(c).take(at) for c in keep} | out
+                seen += len(text or "")
+                if seen > HAND_ON or i == b.num_rows - 1:
+                    at = pa.array(rows, type=pa.int64())
+                    yield {c: b.column(c).take(at) for c in keep} | out
+                    rows, out, seen = [], {k: [] for k in out}, 0
 
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return map_batches(df.select(*keep, F.col(text_col).alias("__text")), run, f"{ddl}, rank int, score double, ids array<int>, decoded string")

@@ -49,15 +49,14 @@ def op5_language(spark, sf_dir):
 
 
 def op7_nbest(spark, sf_dir):
-    """Digests of the three best segmentations of each message of `conversations`."""
+    """Digests of the three best segmentations of each whole text of `documents`."""
     from pyspark.sql import functions as F
 
     from .nbest import nbest
 
-    source = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("message"))
-    out = nbest(source.select("conv_id", "turn", "message"), tokenizer_path("piece_bpe_32k.model"), 3, ["conv_id", "turn", "message"], "message")
+    out = nbest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), 3, ["doc_id", "text"])
     ids = F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"))
-    return out.select("conv_id", "turn", "rank", "score", F.size("ids").alias("n_pieces"), ids.alias("ids_crc32"), (F.col("decoded") == F.col("message")).alias("round_trip"))
+    return out.select("doc_id", "rank", "score", F.size("ids").alias("n_pieces"), ids.alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 def op8_jaccard(spark, sf_dir):

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from codonlake.llm import chat, multiindex, nbest, spotsigs, urls
+from codonlake.llm import chat, multiindex, nbest, queries, spotsigs, urls
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -120,6 +120,15 @@ def test_nbest_frame(spark, lat):
     assert nbest.nbest(spark.createDataFrame([], "id long, text string"), MODEL).collect() == []
 
 
+def test_nbest_query_reads_whole_documents(spark, tmp_path):
+    long = "Grüße an  alle\n漢字 " * 60_000
+    rows = [(1, "hello world"), (1, "hello world"), (2, long), (3, ""), (4, None), (None, "x y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_nbest(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, (r["doc_id"] for r in got))) == sorted(map(repr, [1] * 6 + [2] * 3 + [None] * 3)) and all(r["round_trip"] for r in got)
+    assert min(r["n_pieces"] for r in got if r["doc_id"] == 2) > 60_000
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "Be nice."), (1, 1, "ann", "Hi"), (1, 2, "bob", "Höi"), (1, 3, "ann", None), (1, 3, "ann", None), (1, 300, "cy", "late"), (2, 0, "system", "alone"), (None, None, None, "lost"), (3, 5, "bob", "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, speaker int")
