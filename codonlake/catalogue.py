@@ -47,6 +47,11 @@ def peptides(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", ref.alias("ref"), S.translate(ref).alias("aa_seq"))
 
 
+def whole_peptides(spark, sf_dir):
+    ref = F.substring(dna("p_partkey"), 1, 3 * LONG)
+    return table(spark, sf_dir, "part").select("p_partkey", ref.alias("ref"), S.translate(ref).alias("aa_seq"))
+
+
 def variants(spark, sf_dir, pins=None):
     return B.enumerate_native(peptides(spark, sf_dir), PEPTIDE, pins=pins)
 
@@ -160,7 +165,7 @@ def _near(free=None, **bounds):
         from dataclasses import replace
 
         spec = SpaceSpec.make(row["aa_seq"], _T, rules=[R.MutationDistance(row["ref"], **bounds)] if bounds else ())
-        return spec if free is None else replace(spec, pins=spec.checked({p: row["ref"][3 * p - 3 : 3 * p] for p in range(1, PEPTIDE + 1) if p not in free}))
+        return spec if free is None else replace(spec, pins=spec.checked({p: row["ref"][3 * p - 3 : 3 * p] for p in range(1, len(row["aa_seq"]) + 1) if p not in free}))
 
     return build
 
@@ -200,6 +205,28 @@ _add("format_count", lambda s, d: table(s, d, "orders").select("o_orderkey", S.f
 _add("format_positions", lambda s, d: _islands(s, d), "WITH m AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), g AS (SELECT *, l_suppkey - row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS island FROM m), r AS (SELECT l_partkey, min(l_suppkey) AS a, max(l_suppkey) AS b FROM g GROUP BY l_partkey, island) SELECT l_partkey, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a::VARCHAR || '-' || b::VARCHAR END, ', ' ORDER BY a) AS positions FROM r GROUP BY l_partkey")
 
 
+# Whole proteins, whose spaces SQL cannot list: all complete codons of a part's dna.
+
+
+def _whole(s, d):
+    return B.spread(whole_peptides(s, d))
+
+
+for _name, (_rule, _) in RULES.items():
+    _add(f"whole_{_name}", lambda s, d, r=_rule: B.count_spaces(_whole(s, d), B.from_columns([r], None, CONTEXT_L, CONTEXT_R), ["p_partkey"]), None)
+_STACK = [RULES[k][0] for k in ("motifs", "homopolymer", "direct")]
+_add("whole_stack", lambda s, d: B.count_spaces(_whole(s, d), B.from_columns(_STACK, None, CONTEXT_L, CONTEXT_R), ["p_partkey"]), None)
+_add("whole_gc", lambda s, d: B.count_spaces(_whole(s, d), B.from_columns([GC_RULE, GC3_RULE]), ["p_partkey"]), None)
+_add("whole_range", lambda s, d: B.enumerate_spaces(_whole(s, d), B.from_columns(_STACK), ["p_partkey"], 2, 7), None)
+_add("whole_fixed_codons", lambda s, d: B.count_spaces(_whole(s, d), lambda row: SpaceSpec.make(row["aa_seq"], _T, None, {2: row["ref"][3:6]}), ["p_partkey"]), None)
+_add("whole_mutants_nt", lambda s, d: B.enumerate_spaces(_whole(s, d), _near(min_nts=1, max_nts=2), ["p_partkey"]), None)
+_add("whole_mutants_codon", lambda s, d: B.count_spaces(_whole(s, d), _near(min_codons=2, max_codons=2), ["p_partkey"]), None)
+_add("whole_contains", lambda s, d: B.contains_spaces(_whole(s, d), B.from_columns([R.ForbiddenMotifs(MOTIFS)]), ["p_partkey"], "ref"), None)
+_add("whole_rank", lambda s, d: B.contains_spaces(_whole(s, d), B.from_columns(), ["p_partkey"], "ref"), None)
+_add("whole_edges", lambda s, d: B.edges(_whole(s, d), B.from_columns(_STACK), ["p_partkey"]), None)
+_add("whole_sample", lambda s, d: B.sample_spaces(_whole(s, d), B.from_columns([R.MaxHomopolymer(3)], weights=CodonWeights.ecoli()), ["p_partkey"], 3, 7), None)
+
+
 def _adaptation(s, d):
     w = usage.usage_frame(s, ("ecoli",)).select("codon", "weight")
     rows = order_cds(s, d).select("o_orderkey", F.explode(S.codons("cds")).alias("codon"))

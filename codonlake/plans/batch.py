@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import random
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -95,6 +96,7 @@ def _kernel(df: DataFrame, fn: Callable[[dict], Iterator[dict]], keep: Sequence[
     arrow = to_arrow_schema(out)
 
     def run(batches):
+        sys.set_int_max_str_digits(0)  # counts of long proteins have more digits than Python shows by default
         for b in batches:
             buffer = []
             for row in b.to_pylist():

@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from codonlake import CodingSpace, MaxHomopolymer, SpaceSpec, TandemRepeats, catalogue
 from codonlake.functions import display as D
@@ -36,6 +37,29 @@ def test_samples_are_valid(spark):
     assert rows and all("AAAA" not in r["cds"] for r in rows)
 
 
+def test_whole_proteins_by_the_kernel(spark):
+    q = catalogue.queries()
+    whole = catalogue.whole_peptides(spark, SF)
+    small = whole.orderBy(B.exact_count("aa_seq"), "p_partkey").limit(4).cache()
+    assert small.count() == 4 and {len(r["aa_seq"]) for r in whole.collect()} == {10}
+    every = B.enumerate_native(small, 10)
+    for name, (rule, _) in catalogue.RULES.items():
+        ok = B.satisfies("cds", [rule], catalogue.CONTEXT_L, catalogue.CONTEXT_R).cast("long")
+        want = {r["p_partkey"]: r["n"] for r in every.groupBy("p_partkey").agg(F.sum(ok).alias("n")).collect()}
+        got = {r["p_partkey"]: int(r["n_valid"]) for r in q[f"whole_{name}"](spark, SF).collect()}
+        assert len(got) == 200 and {k: got[k] for k in want} == want
+    near = every.where(S.nt_distance("cds", "ref").between(1, 2)).select("p_partkey", "cds")
+    keys = [r["p_partkey"] for r in small.collect()]
+    assert sorted(near.collect()) == sorted(q["whole_mutants_nt"](spark, SF).where(F.col("p_partkey").isin(keys)).select("p_partkey", "cds").collect())
+    rank = {r["p_partkey"]: r["n"] for r in every.groupBy("p_partkey").agg(F.sum((F.col("cds") < F.col("ref")).cast("long")).alias("n")).collect()}
+    assert rank == {r["p_partkey"]: int(r["rank"]) for r in q["whole_rank"](spark, SF).collect() if r["p_partkey"] in rank}
+
+
+def test_counts_beyond_python_digits(spark):
+    df = spark.createDataFrame([(1, "L" * 6000)], "id int, aa_seq string")
+    assert len(B.count_spaces(df, B.from_columns(), ["id"]).collect()[0]["n_valid"]) == 4669
+
+
 def test_one_large_space(spark):
     spec = SpaceSpec.make("MIKEY" * 20, rules=[MaxHomopolymer(4), TandemRepeats(3, 3)])
     space = CodingSpace("MIKEY" * 20, constraints=[MaxHomopolymer(4), TandemRepeats(3, 3)])
