@@ -201,7 +201,7 @@ _add("weights_restrict", lambda s, d: usage.thresholded(usage.usage_frame(s).dro
 _add("codon_usage", lambda s, d: order_cds(s, d).select(F.explode(S.codons("cds")).alias("codon")).groupBy("codon").agg(F.count("*").alias("n")), f"WITH {ORDERS} SELECT substr(cds, (3 * i + 1)::INT, 3) AS codon, count(*) AS n FROM c, range({LONG}) t(i) GROUP BY 1")
 _add("library_adaptation", lambda s, d: _adaptation(s, d), f"WITH {_counts}, {_norm}, {ORDERS} SELECT o_orderkey, round(avg(ln(weight)), 6) AS mean_log_weight FROM c, range({LONG}) t(i) JOIN n ON organism = 'ecoli' AND codon = substr(cds, (3 * i + 1)::INT, 3) GROUP BY o_orderkey")
 _add("nt_masks", lambda s, d: B.codon_positions(peptides(s, d), _T).groupBy("p_partkey", "pos").agg(F.array_join(S.choice_masks(F.sort_array(F.collect_list("codon"))).cast("array<string>"), ",").alias("masks")), f"WITH {CODE}, {PEP}, m AS (SELECT p_partkey, (i + 1)::INT AS pos, j, bit_or(CASE substr(codon, (j + 1)::INT, 1) WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END) AS mask FROM p, range({PEPTIDE}) t(i) JOIN code ON aa = substr(aa_seq, (i + 1)::INT, 1), range(3) u(j) GROUP BY ALL) SELECT p_partkey, pos, string_agg(mask::VARCHAR, ',' ORDER BY j) AS masks FROM m GROUP BY p_partkey, pos")
-_add("format_count", lambda s, d: table(s, d, "orders").select("o_orderkey", S.format_count(F.col("o_orderkey") * F.col("o_orderkey")).alias("shown")).where("shown not like '%×%'"), "SELECT o_orderkey, format('{:,}', o_orderkey * o_orderkey) AS shown FROM orders WHERE o_orderkey * o_orderkey < 1000000000")
+_add("format_count", lambda s, d: table(s, d, "orders").select("o_orderkey", S.format_count(F.col("o_orderkey") * F.col("o_orderkey")).alias("shown")), "SELECT o_orderkey, format('{:,}', o_orderkey * o_orderkey) AS shown FROM orders WHERE o_orderkey * o_orderkey < 1000000000")
 _add("format_positions", lambda s, d: _islands(s, d), "WITH m AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), g AS (SELECT *, l_suppkey - row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS island FROM m), r AS (SELECT l_partkey, min(l_suppkey) AS a, max(l_suppkey) AS b FROM g GROUP BY l_partkey, island) SELECT l_partkey, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a::VARCHAR || '-' || b::VARCHAR END, ', ' ORDER BY a) AS positions FROM r GROUP BY l_partkey")
 
 

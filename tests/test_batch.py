@@ -114,6 +114,13 @@ def test_format_count_column(spark):
     assert [r[0] for r in df.select(S.format_count("n")).collect()] == [D.format_count(n) for n in rows]
 
 
+def test_format_count_query_keeps_large_counts(spark, tmp_path):
+    keys = [1, 31_622, 31_623, 150_000, 3_000_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["o_orderkey"]: r["shown"] for r in catalogue.queries()["format_count"](spark, str(tmp_path)).collect()}
+    assert got == {k: D.format_count(k * k) for k in keys}
+
+
 def test_distances(spark):
     df = spark.createDataFrame([("ATGAAA", "ATGAAG"), ("ATGAAA", "CTGCCC"), ("A", "AT")], "a string, b string")
     assert [tuple(r) for r in df.select(S.nt_distance("a", "b"), S.codon_distance("a", "b")).collect()] == [(1, 1), (4, 2), (None, None)]
