@@ -146,7 +146,7 @@ def _pinned(row):
 
 
 _add("pinned_codons", lambda s, d: B.enumerate_spaces(peptides(s, d), _pinned, ["p_partkey"]).select("p_partkey", "cds"), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, cds FROM e WHERE substr(cds, 1, 3) = substr(ref, 1, 3) AND substr(cds, 7, 3) = substr(ref, 7, 3)")
-_add("restriction_sites_screen", lambda s, d: order_dna(s, d).join(F.broadcast(sites.sites_frame(s).select("name", F.explode("motifs").alias("motif"))), F.contains(F.col("dna"), F.substring("motif", 1, 4))).select("o_orderkey", "name", "motif").distinct(), f"WITH {ORDERS}, s AS (SELECT name, forward AS motif FROM " + _values((x.name, x.value) for x in sites.RestrictionSite) + " t(name, forward) UNION SELECT name, reverse(translate(forward, 'ACGT', 'TGCA')) FROM " + _values((x.name, x.value) for x in sites.RestrictionSite) + " t(name, forward)) SELECT DISTINCT o_orderkey, name, motif FROM o JOIN s ON contains(dna, substr(motif, 1, 4))")
+_add("restriction_sites_screen", lambda s, d: order_dna(s, d).join(F.broadcast(sites.sites_frame(s).select("name", F.explode("motifs").alias("motif"))), F.contains(F.col("dna"), F.col("motif"))).select("o_orderkey", "name", "motif").distinct(), f"WITH {ORDERS}, s AS (SELECT name, forward AS motif FROM " + _values((x.name, x.value) for x in sites.RestrictionSite) + " t(name, forward) UNION SELECT name, reverse(translate(forward, 'ACGT', 'TGCA')) FROM " + _values((x.name, x.value) for x in sites.RestrictionSite) + " t(name, forward)) SELECT DISTINCT o_orderkey, name, motif FROM o JOIN s ON contains(dna, substr(motif, 1, 4))")
 for _name, (_rule, _sql) in SCREENS.items():
     _add(f"{_name}_screen", lambda s, d, r=_rule: order_dna(s, d).select("o_orderkey", (~B.satisfies("dna", [r])).alias("found")), f"WITH {ORDERS} SELECT o_orderkey, {_sql('dna')} AS found FROM o")
 for _name, (_rule, _sql) in RULES.items():

@@ -9,6 +9,7 @@ from codonlake import CodingSpace, MaxHomopolymer, SpaceSpec, TandemRepeats, cat
 from codonlake.functions import display as D
 from codonlake.functions import sequence as S
 from codonlake.plans import batch as B
+from codonlake.sources.sites import RestrictionSite
 from codonlake.streaming.spaces import count_stream
 
 SF = "/root/testdata/sf0.001"
@@ -121,6 +122,14 @@ def test_format_count_query_keeps_large_counts(spark, tmp_path):
     assert got == {k: D.format_count(k * k) for k in keys}
 
 
+def test_restriction_sites_screen_wants_whole_sites(spark, monkeypatch):
+    rows = [(1, "CCGAATCC"), (2, "CCGAATTCCC"), (3, "GAGACCAA"), (4, "GCGGCCGC"), (5, "GCGGCC")]
+    df = spark.createDataFrame(rows, "o_orderkey long, dna string")
+    monkeypatch.setattr(catalogue, "order_dna", lambda s, d: df)
+    got = {tuple(r) for r in catalogue.queries()["restriction_sites_screen"](spark, "").collect()}
+    assert got == {(k, x.name, m) for k, dna in rows for x in RestrictionSite for m in x.motifs if m in dna} and {k for k, *_ in got} == {2, 3, 4}
+
+
 def test_distances(spark):
     df = spark.createDataFrame([("ATGAAA", "ATGAAG"), ("ATGAAA", "CTGCCC"), ("A", "AT")], "a string, b string")
     assert [tuple(r) for r in df.select(S.nt_distance("a", "b"), S.codon_distance("a", "b")).collect()] == [(1, 1), (4, 2), (None, None)]
