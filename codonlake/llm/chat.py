@@ -4,12 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import written
 
 #: Turns of a part of a rendered dialogue, and messages of one piece of a part.
 PART_TURNS, PIECE_MESSAGES = 256, 4096
 END = "<|end|>"
 
 
+def _ranges(m: DataFrame, piece_messages: int) -> DataFrame:
+    """c, p, cuts of each part of over piece_messages messages: the first messages of all its pieces but the first.
+
+    Messages of a large part are dealt to cells by ranges of the whole order, so no task holds a large
+    part; the number in a part is its place in its cell and the messages of the part in cells before.
+    """
+    large = m.groupBy("conv_id", "part").count().where(F.col("count") > piece_messages).select(F.col("conv_id").alias("c"), F.col("part").alias("p"))
+    own = m.join(large, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left_semi")
+    order = ["conv_id", "part", "turn", "role", "text"]
+    dealt = written(own.repartitionByRange(*order).withColumn("cell", F.spark_partition_id()), "messages")  # read twice: cells must not change
+    placed = dealt.withColumn("at", F.row_number().over(Window.partitionBy("cell", "conv_id", "part").orderBy("turn", "role", "text")))
+    cells = dealt.groupBy("conv_id", "part", "cell").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("conv_id", "part").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("cell").alias("of"), before.alias("before"))
+    placed = placed.join(cells, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("cell") == F.col("of")))
+    first = placed.where((F.col("before") + F.col("at") > 1) & ((F.col("before") + F.col("at") - 1) % piece_messages == 0))
+    return first.groupBy("c", "p").agg(F.collect_list(F.struct("turn", "role", "text")).alias("cuts"))
+
+
 def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS, piece_messages: int = PIECE_MESSAGES) -> DataFrame:
     """conv_id, speaker, part, piece, n_messages, text and spans for each participant of each dialogue.
 
@@ -19,8 +41,9 @@ def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS, piece_m
     speaker's words and end marks, on which a model is trained.
 
     Messages go in the order of turn, role and text. A dialogue is rendered in parts of part_turns turns,
-    so that one of any length is spread; most have the part 0 only. A part where over piece_messages rows
-    repeat turns is cut into pieces by a hash. Rows that repeat conv_id, turn, role and text are one message.
+    so that one of any length is spread; most have the part 0 only. A part of over piece_messages distinct
+    messages is cut into pieces, ranges of the order of turn, role and text. Rows that repeat conv_id, turn,
+    role and text are one message.
 
     A null text is empty, a null role is the participant `unknown`, a null turn is part -1, a null conv_id
     is a dialogue of its own. A dialogue without participants, or an empty table, gives no rows.
@@ -31,10 +54,10 @@ def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS, piece_m
         "turn",
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-    )
-    large = m.groupBy("conv_id", "part").count().where(F.col("count") > piece_messages).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.ceil(F.col("count") / piece_messages).alias("pieces"))
-    m = m.join(large, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
-    m = m.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("turn", "role", "text"), F.col("pieces")), F.lit(0)).cast("int"))
+    ).distinct()
+    m = m.join(_ranges(m, piece_messages), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    after = F.filter("cuts", lambda x: x <= F.struct("turn", "role", "text"))
+    m = m.withColumn("piece", F.coalesce(F.size(after), F.lit(0)).cast("int")).drop("c", "p", "cuts")
     parts = m.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("messages"))
     speakers = m.where("role <> 'system'").groupBy(F.col("conv_id").alias("c")).agg(F.sort_array(F.collect_set("role")).alias("speakers"))
     rows = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", F.explode("speakers").alias("speaker"), "part", "piece", "messages")

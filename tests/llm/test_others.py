@@ -144,6 +144,19 @@ def test_perspectives(spark):
     assert len(pieces) > 1 and sum(p["n_messages"] for p in pieces) == 50
 
 
+def test_perspectives_cut_ranges_of_distinct_messages(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(7, t, "uv"[t % 2], f"m{t}") for t in range(40)]
+    once = chat.perspectives(spark.createDataFrame(rows, schema), piece_messages=50).collect()
+    again = chat.perspectives(spark.createDataFrame(rows * 17, schema).repartition(5), piece_messages=50).collect()
+    assert len(once) == 2 and sorted(once) == sorted(again) and all(r["n_messages"] == 40 and r["piece"] == 0 for r in once)
+    for conv in (7, None):
+        many = spark.createDataFrame([(conv, t if t else None, "u", f"m{t}") for t in range(95)] * 2, schema).withColumn("turn", F.when(F.col("turn") > 0, F.col("turn")))
+        got = sorted((r["part"], r["piece"], r["n_messages"], r["text"]) for r in chat.perspectives(many, piece_messages=20).where("part = 0").collect())
+        assert [g[1:3] for g in got] == [(0, 20), (1, 20), (2, 20), (3, 20), (4, 14)]
+        assert "".join(g[3] for g in got) == "".join(f"<|assistant|>\nm{t}<|end|>\n" for t in range(1, 95))
+
+
 def test_temporal_verdicts(spark):
     entries = [("example.com", 10, "block"), ("example.com", 50, "remove"), ("good.example.com", 20, "allow"), ("good.example.com", 30, "block"), ("good.example.com", 30, "allow"), ("host", 0, "block"), (None, 1, "block"), ("x.org", None, "block")]
     days = [0, 9, 10, 19, 20, 30, 49, 50, 500]
