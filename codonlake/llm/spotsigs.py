@@ -22,6 +22,8 @@ ANCHORS = frozenset(
 )
 #: Content words of a chain.
 CHAIN = 2
+#: Content words of which one is an anchor too.
+OWN = np.uint64(4)
 #: Most buckets that doc_ids are dealt to.
 MOST_BUCKETS = 2048
 
@@ -48,7 +50,9 @@ def signatures(text: str | None) -> np.ndarray:
     """The sorted distinct 32-bit spot signatures of a whole text.
 
     A signature is an anchor with the CHAIN content words that follow it, other anchors skipped; the
-    beginning of the text counts as an anchor. A text with too few content words has one signature of
+    beginning of the text counts as an anchor, and so does about each OWN-th content word, by its hash, so
+    that texts of any language have signatures from all their length. Where none of them has a chain
+    (short texts), each content word begins one. A text with too few content words has one signature of
     all its words, or of the text itself where there is no word; a null or empty text has none.
     """
     if not text:
@@ -67,8 +71,11 @@ def signatures(text: str | None) -> np.ndarray:
     after = np.cumsum(content)[is_anchor]  # the content word that follows each anchor
     anchors = code[is_anchor]
     ok = after < len(chain)
-    found = mix(anchors[ok] * _A + chain[after[ok]])
-    return np.unique(np.append(found, mix(chain[:1] + _A)).astype(np.uint32))
+    own = np.flatnonzero((words >> np.uint64(1)) % OWN == 0)
+    own = own[own + 1 < len(chain)]
+    found = mix(np.append(anchors[ok] * _A + chain[after[ok]], words[own] * _A + chain[own + 1]))
+    starts = chain[:1] if len(found) else chain
+    return np.unique(np.append(found, mix(starts + _A)).astype(np.uint32))
 
 
 def encoded(s: np.ndarray) -> str:

@@ -87,6 +87,15 @@ def test_signatures_and_likeness():
     assert spotsigs.likeness(a, np.array([2, 3, 4, 5], dtype=np.uint32)) == 3 / 5
 
 
+def test_signatures_without_listed_anchors():
+    words = lambda k: " ".join(f"слово{i * k % 997}" for i in range(1, 301))
+    a, b = "Жили были " + words(7), "Жили были " + words(7).replace("слово", "речь")
+    s = spotsigs.signatures
+    assert len(s(a)) > 40 and spotsigs.likeness(s(a), s(b)) < 0.1
+    assert spotsigs.likeness(s(a), s(spotsigs.edited(a, "the cat sat on the mat with a dog and that was it for the day " * 60))) > 0.3
+    assert spotsigs.likeness(s("Жили были дед да баба"), s("Жили были кот да пёс")) < 1
+
+
 @pytest.fixture(scope="module")
 def lat():
     return nbest.Lattice(MODEL)
