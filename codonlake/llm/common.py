@@ -21,22 +21,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset and all is one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="codonlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, scratch: Scratch | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, is read again after the loss of an executor, and is compressed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that nothing reads any more once their last reader has been written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def drop(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, whatever their case, made from the given ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -80,23 +109,26 @@ def components(edges: DataFrame) -> DataFrame:
     between moved nodes remain. Hashes differ by round, so chains are short and the links shrink by a
     constant factor. A node with very many links is only summed up and joined to, never gathered.
     """
-    left = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
+    scratch = Scratch(edges.sparkSession)
+    left = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links", scratch)
     moves = []
     while left.limit(1).count():
         salt = F.lit(len(moves))
         least = left.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", salt).alias("h"), "b")).alias("m"))
         step = least.select(F.col("a").alias("node"), F.when(F.struct(F.xxhash64("a", salt), "a") <= F.col("m"), F.col("a")).otherwise(F.col("m.b")).alias("to"))
-        step = written(step, "moves")
+        step = written(step, "moves", scratch)
         for _ in range(2):
             nxt = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
             step = step.join(nxt, "to").select("node", F.col("next").alias("to"))
-        step = written(step, "moves")
+        step = written(step, "moves", scratch)
         moves.append(step)
         a, b = step.select(F.col("node").alias("a"), F.col("to").alias("ta")), step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        left = written(left.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct(), "links")
+        left = written(left.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct(), "links", scratch)
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).where("false")
     found = moves[0].select("node", F.col("to").alias("root"))
     for step in moves[1:]:
         found = found.join(step.select(F.col("node").alias("root"), F.col("to").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return written(found, "roots")
+    found = written(found, "roots")
+    scratch.drop()
+    return found

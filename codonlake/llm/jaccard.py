@@ -1,4 +1,14 @@
-"""An exact similarity join of documents on word n-grams through a token-group matrix."""
+"""An exact similarity join of documents on word n-grams through a token-group matrix.
+
+1. Each text becomes its set of shingles; equal sets are one class. A class keeps its prefix (its rarest
+   shingles: two sets that link share one of them) and a bitmap of its set, some bits a shingle.
+2. Prefix shingles that several classes have are counted. A class joins the group of the most common one
+   of its own, so near copies meet in one group; a group is bounded, larger ones are dealt to parts.
+3. A group stores the union of its members' bitmaps. The matrix of (shingle, group) gives the pairs of
+   groups that can link; the overlap of each set with the other group's union is bounded before any set
+   is moved, and only sets that qualify open the other group. Within a group bitmaps bound each pair.
+4. Sets that qualify are made once more from their texts and compared exactly, group by group.
+"""
 
 from __future__ import annotations
 
@@ -7,61 +17,141 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import components, map_batches, mix, written
+from .common import Scratch, components, fresh, map_batches, mix, written
+from .words import shingle_sets
 
-#: A group has at most about so many shingles and sets; a larger one is split.
+#: A group has at most about so many shingles and sets; a larger one is dealt to parts.
 GROUP_TOKENS, GROUP_SETS = 300_000, 1024
 #: Shingles that one task counts at once; those that it meets so often go into the counts of frequent ones;
 #: from FREQUENT on a shingle counts as frequent; so many of them, the most frequent, are sent to the tasks.
 #: None of these changes the result: they only order the shingles.
 COUNTED, MET, FREQUENT, MOST_FREQUENT = 3_000_000, 2, 12, 400_000
-#: Buckets of the counts that bound the overlap of two sets; prefix shingles that one task of the matrix gets.
-SKETCH, BUCKET_TOKENS = 128, 1_000_000
-#: Sets of a group up to which the bound is taken for each pair within it.
-PAIRED = 64
+#: Prefix shingles that one task of the matrix gets; those of a shingle counted over 2^HOT times are dealt to several.
+BUCKET_TOKENS, HOT = 1_000_000, 20
+#: Bits of a bitmap: the power of two from BITS times the set's size on, in these bounds.
+BITS, LEAST_BITS, MOST_BITS = 4, 256, 1 << 17
+#: Columns of the table of sets by shingles that are multiplied at once.
+COLUMNS = 4096
 #: Hash values of doc_id that mark candidates' rows.
 FLAGS = 1 << 20
 
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_A = np.uint64(0x9E3779B97F4A7C15)
+_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint16)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = h
-        return h
+def least_overlap(n, percent: int):
+    """The shingles that sets of n and of any size share at least if they link: ceil(percent * n / 100)."""
+    return -(-(n * percent) // 100)
 
 
-_words = _Words()
+def digest(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the n-word shingles of a whole text.
+def bitmap(s: np.ndarray) -> bytes:
+    """One bit for each shingle of a set, at its hash modulo the bitmap's size."""
+    size = 1 << int(np.clip(BITS * len(s) - 1, LEAST_BITS - 1, MOST_BITS - 1)).bit_length()
+    flags = np.zeros(size, dtype=bool)
+    flags[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
 
-    A-Z are lower-cased, words are what stands between space and \\x09-\\x0D; with fewer than n words the
-    whole sequence is one shingle; without words there is none.
-    """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    if len(h) < n:
-        out = np.array([len(h)], dtype=np.uint64)
-        for x in h:
-            out = mix(out * _A + x)
-        return out
-    z = h[: len(h) - n + 1]
-    for k in range(1, n):
-        z = mix(z * _A + h[k : len(h) - n + 1 + k])
-    return np.unique(z)
 
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap (bytes) in `size` bytes: halves are laid over each other. Bit k stands for hashes k modulo the size."""
+    return bits if len(bits) <= size else np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
 
-def least_overlap(n, percent: int):
-    """The shingles that sets of n and of any size share at least if they link: ceil(percent * n / 100)."""
-    return -(-(n * percent) // 100)
+
+def union(maps: list[np.ndarray]) -> np.ndarray:
+    """The union of bitmaps; a smaller one stands for each hash that it may hold."""
+    size = max(map(len, maps))
+    out = np.zeros(size, dtype=np.uint8)
+    for m in maps:
+        out.reshape(-1, len(m))[:] |= m
+    return out
+
+
+def may_link(n: int, bits: np.ndarray, lo: int, hi: int, other: np.ndarray, percent: int) -> bool:
+    """Whether a set of n shingles can link to a set of lo to hi shingles within the union `other`.
+
+    Shingles of the set that are in the union have their bits in both bitmaps; those that share a bit with
+    others of the set are counted as if they were all in the union.
+    """
+    least = max(lo, least_overlap(n, percent))
+    if least > hi or lo * percent > 100 * n:
+        return False
+    size = min(len(bits), len(other))
+    own = fold(bits, size)
+    both = int(_ONES[own & fold(other, size)].sum()) + n - int(_ONES[own].sum())
+    return both * (100 + percent) >= percent * (n + least)
+
+
+def pairs_that_may_link(n: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of a group can link to another one of it, by the bitmaps of each pair."""
+    out = np.zeros(len(n), dtype=bool)
+    sizes = np.array([len(m) for m in maps])
+    for size in np.unique(sizes):  # the sizes of sets that link differ by a factor, so those of their bitmaps do
+        rows = np.flatnonzero((sizes >= size) & (n * percent <= 100 * n[sizes == size].max()))
+        if len(rows) < 2:
+            continue
+        flat = np.stack([fold(maps[i], size) for i in rows])
+        x = np.unpackbits(flat, axis=1).astype(np.float32)
+        m = n[rows]
+        slack = m - x.sum(axis=1)
+        both = x @ x.T + np.minimum(slack[:, None], slack[None])
+        ok = both * (100 + percent) >= percent * (m[:, None] + m[None])
+        ok &= np.minimum(m[:, None], m[None]) * 100 >= percent * np.maximum(m[:, None], m[None])
+        np.fill_diagonal(ok, False)
+        out[rows] |= ok.any(axis=1)
+    return out
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many shingles each set of left shares with each of right (None: left itself), as a product of tables of sets by shingles."""
+    sets = left if right is None else [*left, *right]
+    lens = np.array([len(s) for s in sets])
+    u, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), lens)
+    several = n > 1
+    column = np.cumsum(several) - 1
+    keep = several[at]
+    row, at = row[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    k = len(left)
+    out = np.zeros((k, k if right is None else len(right)), dtype=np.float32)
+    for lo in range(0, int(several.sum()), COLUMNS):
+        a, b = np.searchsorted(at, (lo, lo + COLUMNS))
+        x = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        x[row[a:b], at[a:b] - lo] = 1
+        out += x[:k] @ (x[:k] if right is None else x[k:]).T
+    return out
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Which sets of left link to which of right (None: to which others of left)."""
+    both = overlaps(left, right)
+    a = np.array([len(s) for s in left])
+    b = a if right is None else np.array([len(s) for s in right])
+    out = 100 * both >= percent * (a[:, None] + b[None] - both)
+    if right is None:
+        np.fill_diagonal(out, False)
+    return out
+
+
+def spanning(mask: np.ndarray) -> np.ndarray:
+    """For the links of a square symmetric mask, the least number that each row reaches."""
+    label = np.arange(len(mask))
+    rows, cols = np.nonzero(mask)
+    while True:
+        nxt = label.copy()
+        np.minimum.at(nxt, rows, label[cols])
+        nxt = nxt[nxt]
+        if (nxt == label).all():
+            return label
+        label = nxt
 
 
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,16 +166,15 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             return {"token": pa.array(u[often].view(np.int64)), "n": pa.array(c[often].astype(np.int64))}
 
         for b in batches:
-            for text in b.column("text").to_pylist():
-                s = shingles(text, n)
+            for s in shingle_sets(b.column("text"), n):
                 key = hash(s.tobytes())
                 if len(s) and key not in seen:  # equal sets are one set later on
                     seen.add(key)
                     parts.append(s)
                     size += len(s)
-            if size >= COUNTED:
-                yield counted()
-                parts, size, seen = [], 0, set()
+                if size >= COUNTED:
+                    yield counted()
+                    parts, size, seen = [], 0, set()
         if parts:
             yield counted()
 
@@ -97,305 +186,310 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """rid, doc_id, text_hash, n_shingles, sig_a, sig_b, first, prefix and sketch of every row.
+    """rid, doc_id, row_a, row_b, n_shingles, sig_a, sig_b, lead, prefix and bits of every row.
 
     The prefix has the n - ceil(percent * n / 100) + 1 first shingles in one order of all shingles, rare
-    ones first: two sets that link share at least one shingle of their prefixes. `first` is its first
-    shingle. The sketch counts the set's shingles by bucket of their hash, one byte each; it is empty if a
-    count needs more.
+    ones first: two sets that link share at least one shingle of their prefixes. Only the first row of a
+    set in a task leads and carries prefix and bits. row_a and row_b are hashes of doc_id and text.
     """
     token, level = frequent(docs, n)
     shared = docs.sparkSession.sparkContext.broadcast((token, level))  # 16 bytes for each of at most MOST_FREQUENT
 
     def run(batches):
         token, level = shared.value
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            out = {k: [] for k in ("n_shingles", "sig_a", "sig_b", "first", "prefix", "sketch")}
-            for text in b.column("text").to_pylist():
-                s = shingles(text, n)
-                size = len(s)
-                key = s >> np.uint64(5)
-                if len(token) and size:
-                    at = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                    key |= np.where(token[at] == s, level[at] + np.uint64(1), np.uint64(0)) << np.uint64(59)
-                most = size - least_overlap(size, percent) + 1 if size else 0
-                if most < size:
-                    key = np.partition(key, most - 1)[:most]
-                key.sort()
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                out["n_shingles"].append(size)
-                out["sig_a"].append(int.from_bytes(d[:8], "little", signed=True))
-                out["sig_b"].append(int.from_bytes(d[8:], "little", signed=True))
-                out["first"].append(int(key[:1].view(np.int64)[0]) if size else 0)
-                out["prefix"].append(key.tobytes())
-                counts = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                out["sketch"].append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"")
-            yield {"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash")} | out
+            out = {k: [] for k in ("n_shingles", "sig_a", "sig_b", "lead", "prefix", "bits")}
+            for s in shingle_sets(b.column("text"), n):
+                size, sig = len(s), digest(s)
+                lead = bool(size) and sig not in seen
+                prefix = bits = None
+                if lead:
+                    seen.add(sig)
+                    key = s >> np.uint64(5)
+                    if len(token):
+                        at = np.minimum(np.searchsorted(token, s), len(token) - 1)
+                        key |= np.where(token[at] == s, level[at] + np.uint64(1), np.uint64(0)) << np.uint64(59)
+                    most = size - least_overlap(size, percent) + 1
+                    prefix = (np.partition(key, most - 1)[:most] if most < size else key).tobytes()
+                    bits = bitmap(s)
+                for k, v in zip(out, (size, *sig, lead, prefix, bits)):
+                    out[k].append(v)
+            yield {c: b.column(c) for c in ("doc_id", "row_a", "row_b")} | out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, f"doc_id {kind}, text_hash long, n_shingles long, sig_a long, sig_b long, first long, prefix binary, sketch binary")
+    rows = map_batches(docs.select("doc_id", "text", *row_key()), run, f"doc_id {kind}, row_a long, row_b long, n_shingles long, sig_a long, sig_b long, lead boolean, prefix binary, bits binary")
     return written(rows.withColumn("rid", F.monotonically_increasing_id()), "described")
 
 
-def grouped(classes: DataFrame) -> DataFrame:
-    """Adds grp: classes with the same first shingle are a group, unless that is too large."""
-    large = classes.groupBy("first").agg(F.sum("n").alias("t"), F.count("*").alias("c")).withColumn("parts", F.ceil(F.greatest(F.col("t") / GROUP_TOKENS, F.col("c") / GROUP_SETS)).cast("int")).where("parts > 1").select("first", "parts")
-    part = F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1)))
-    return classes.join(large, "first", "left").withColumn("grp", F.xxhash64("first", part)).drop("parts", "first")
+def row_key() -> list:
+    """Two hashes that tell rows of different doc_id or text apart."""
+    return [F.xxhash64("doc_id", "text").alias("row_a"), F.xxhash64("text", "doc_id", F.lit(7)).alias("row_b")]
 
 
-def group_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """g1, g2 (g1 < g2): groups that share a shingle in the prefixes of sets whose sizes allow a link.
+def postings(entries: DataFrame, n_entries: int) -> DataFrame:
+    """cid, token, f: the prefix shingles of each class that another class has too, with the number of classes that have it.
 
-    The token-group matrix over prefixes: each task turns its sets into (shingle, group, least and largest
-    set) and packs them by bucket of the shingle; a bucket is sorted, and groups that meet at a shingle
-    are paired.
+    Tasks pack their entries by bucket of the shingle. A very frequent shingle goes to several buckets by
+    class; it counts as common in each.
     """
-    spark = rows.sparkSession
-    total = classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
-    buckets = int(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_TOKENS))
-    entries = rows.select("rid", "prefix").join(classes.select(F.col("cid").alias("rid"), "grp", "n"), "rid")
+    spark = entries.sparkSession
+    buckets = int(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_entries // BUCKET_TOKENS))
 
     def pack(batches):
         for b in batches:
             p = b.column("prefix").to_pylist()
-            k = np.array([len(x) // 8 for x in p], dtype=np.int64)
             token = np.frombuffer(b"".join(p), dtype=np.uint64)
-            grp, n = (np.repeat(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64), k) for c in ("grp", "n"))
-            bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((grp, token, bucket))
-            token, grp, n, bucket = token[order], grp[order], n[order], bucket[order]
-            head = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (grp[1:] != grp[:-1])])) if len(token) else np.zeros(0, dtype=np.int64)
-            out = {c: [] for c in ("bucket", "token", "grp", "lo", "hi")}
-            if len(head):
-                lo, hi = np.minimum.reduceat(n, head).astype(np.int32), np.maximum.reduceat(n, head).astype(np.int32)
-                token, grp, bucket = token[head], grp[head], bucket[head]
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                for x, y in zip(cuts[:-1], cuts[1:]):
-                    for c, v in zip(out, (int(bucket[x]), token[x:y].tobytes(), grp[x:y].tobytes(), lo[x:y].tobytes(), hi[x:y].tobytes())):
-                        out[c].append(v)
-            yield out
+            cid = np.repeat(b.column("cid").to_numpy(zero_copy_only=False).astype(np.int64), [len(x) // 8 for x in p])
+            level = (token >> np.uint64(59)).astype(np.int64) - 1
+            deal = np.where(level > HOT, mix(cid.view(np.uint64)) % (np.uint64(1) << np.maximum(level - HOT, 0).astype(np.uint64)), np.uint64(0))
+            bucket = (mix(token + deal * _A) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            token, cid, bucket = token[order], cid[order], bucket[order]
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, dtype=np.int64)
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+            yield {"bucket": [int(bucket[x]) for x, _ in spans], "token": [token[x:y].tobytes() for x, y in spans], "cid": [cid[x:y].tobytes() for x, y in spans]}
+
+    def count(t: pa.Table) -> pa.Table:
+        token = np.frombuffer(b"".join(t.column("token").to_pylist()), dtype=np.uint64)
+        cid = np.frombuffer(b"".join(t.column("cid").to_pylist()), dtype=np.int64)
+        order = np.argsort(token)
+        token, cid = token[order], cid[order]
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        f = np.repeat(np.diff(np.append(head, len(token))), np.diff(np.append(head, len(token))))
+        keep = (f > 1) | ((token >> np.uint64(59)) > np.uint64(HOT + 1))
+        return pa.table({"cid": pa.array(cid[keep]), "token": pa.array(token[keep].view(np.int64)), "f": pa.array(f[keep].astype(np.int32))})
+
+    packed = map_batches(entries, pack, "bucket int, token binary, cid binary")
+    return packed.groupBy("bucket").applyInArrow(count, "cid long, token long, f int")
+
+
+def grouped(postings: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """cid, rep, sig_a, sig_b, n, bits, kid, parts and grp of each class that shares a prefix shingle.
+
+    kid stands for the most common one of its prefix shingles that others have; grp for kid and part.
+    """
+    key = postings.groupBy("cid").agg(F.max(F.struct("f", "token")).alias("m")).select("cid", F.shiftrightunsigned(F.xxhash64("m.token"), 20).alias("kid"))
+    own = classes.select("cid", F.col("doc_id").alias("rep"), "sig_a", "sig_b", "n").join(key, "cid")
+    large = own.groupBy("kid").agg(F.sum("n").alias("t"), F.count("*").alias("c"))
+    large = large.withColumn("parts", F.least(F.lit(1 << 20), F.ceil(F.greatest(F.col("t") / GROUP_TOKENS, F.col("c") / GROUP_SETS))).cast("int")).where("parts > 1").select("kid", "parts")
+    own = own.join(large, "kid", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = own.withColumn("grp", F.shiftleft("kid", 20) + F.pmod(F.xxhash64("cid"), F.col("parts")))
+    return own.join(rows.where("lead").select(F.col("rid").alias("cid"), "bits"), "cid")
+
+
+def group_pairs(postings: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """g1, g2 (g1 < g2): groups of different kids that share a prefix shingle of sets whose sizes allow a link."""
+    spark = groups.sparkSession
+    matrix = postings.join(groups.select("cid", "grp", "n"), "cid").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    several = matrix.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
     def meet(t: pa.Table) -> pa.Table:
-        token, grp, lo, hi = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=d) for c, d in (("token", np.uint64), ("grp", np.int64), ("lo", np.int32), ("hi", np.int32)))
+        token, grp, lo, hi = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "grp", "lo", "hi"))
         order = np.lexsort((grp, token))
-        token, grp, lo, hi = token[order], grp[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+        token, grp, lo, hi = token[order], grp[order], lo[order], hi[order]
         ends = np.searchsorted(token, token, side="right")
-        found = [np.zeros((0, 2), dtype=np.int64)]
-        size, step = 0, 1
+        kid = grp >> 20
+        found, size, step = [np.zeros((0, 2), dtype=np.int64)], 0, 1
         at = np.arange(len(token))
         while len(at := at[at + step < ends[at]]):
             u, v = at, at + step
-            ok = (grp[u] != grp[v]) & (hi[u] * 100 >= lo[v] * percent) & (hi[v] * 100 >= lo[u] * percent)
+            ok = (kid[u] != kid[v]) & (hi[u] * 100 >= lo[v] * percent) & (hi[v] * 100 >= lo[u] * percent)
             found.append(np.stack([grp[u[ok]], grp[v[ok]]], axis=1))
             size += len(found[-1])
             if size > 1_000_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                size = 0
+                found, size = [np.unique(np.concatenate(found), axis=0)], 0
             step += 1
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"g1": pa.array(pairs[:, 0]), "g2": pa.array(pairs[:, 1])})
 
-    packed = map_batches(entries.select("prefix", "grp", "n"), pack, "bucket int, token binary, grp binary, lo binary, hi binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "g1 long, g2 long").distinct()
+    return several.groupBy("bucket").applyInArrow(meet, "g1 long, g2 long").distinct()
 
 
-def bounded_pairs(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs of groups, and the groups paired with themselves, that the overlap bound leaves.
+def unions(groups: DataFrame, percent: int) -> DataFrame:
+    """grp, lo, hi, bits (of the union of its sets) and within (members that may link to another one) of each group."""
 
-    The sum over buckets of the lesser count bounds the overlap of two sets; for groups each bucket has
-    the largest count of its sets, so it bounds the overlap of any two sets of the groups.
-    """
-    wanted = pairs.select(F.col("g1").alias("grp")).union(pairs.select(F.col("g2").alias("grp"))).distinct()
-    several = classes.groupBy("grp").count().where("count > 1").select("grp")
-    own = classes.join(wanted.union(several).distinct(), "grp", "left_semi").select(F.col("cid").alias("rid"), "grp", "n")
-    sketches = rows.select("rid", "sketch").join(own, "rid").groupBy("grp").agg(F.collect_list(F.struct("n", "sketch")).alias("sets"))  # a group is bounded
-
-    def summed(batches):
+    def run(batches):
         for b in batches:
-            out = {k: [] for k in ("grp", "lo", "most", "within")}
+            out = {k: [] for k in ("grp", "lo", "hi", "bits", "within")}
             for grp, sets in zip(b.column("grp").to_pylist(), b.column("sets").to_pylist()):
                 n = np.array([x["n"] for x in sets])
-                full = all(x["sketch"] for x in sets)
-                c = np.frombuffer(b"".join(x["sketch"] for x in sets), dtype=np.uint8).reshape(-1, SKETCH) if full else None
-                within = len(sets) > 1
-                if within and full and len(sets) <= PAIRED:
-                    both = np.minimum(c[:, None], c[None]).sum(axis=2, dtype=np.int64)
-                    large = np.maximum(n[:, None], n[None])
-                    ok = (both * 100 >= large * percent) & (np.minimum(n[:, None], n[None]) * 100 >= large * percent)
-                    np.fill_diagonal(ok, False)
-                    within = bool(ok.any())
-                for k, v in zip(out, (grp, int(n.min()), c.max(axis=0).tobytes() if full else b"", within)):
+                maps = [np.frombuffer(x["bits"], dtype=np.uint8) for x in sets]
+                may = pairs_that_may_link(n, maps, percent) if len(sets) > 1 else [False]
+                row = grp, int(n.min()), int(n.max()), union(maps).tobytes(), [x["cid"] for x, ok in zip(sets, may) if ok]
+                for k, v in zip(out, row):
                     out[k].append(v)
             yield out
 
-    groups = written(map_batches(sketches, summed, "grp long, lo long, most binary, within boolean"), "sketches")
-    side = lambda k: groups.select(F.col("grp").alias(f"g{k}"), F.col("lo").alias(f"lo{k}"), F.col("most").alias(f"m{k}"))
-    both = pairs.join(side(1), "g1").join(side(2), "g2")
-
-    def bound(batches):
-        for b in batches:
-            m1, m2 = b.column("m1").to_pylist(), b.column("m2").to_pylist()
-            least = np.maximum(b.column("lo1").to_numpy(zero_copy_only=False), b.column("lo2").to_numpy(zero_copy_only=False))
-            known = np.array([bool(x and y) for x, y in zip(m1, m2)], dtype=bool)
-            keep = ~known
-            if known.any():
-                x, y = (np.frombuffer(b"".join(v for v, k in zip(m, known) if k), dtype=np.uint8).reshape(-1, SKETCH) for m in (m1, m2))
-                keep[known] = np.minimum(x, y).sum(axis=1, dtype=np.int64) * 100 >= least[known] * percent
-            at = pa.array(np.flatnonzero(keep))
-            yield {"g1": b.column("g1").take(at), "g2": b.column("g2").take(at)}
-
-    across = map_batches(both, bound, "g1 long, g2 long")
-    return written(across.union(groups.where("within").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))), "pairs")
+    sets = groups.groupBy("grp").agg(F.collect_list(F.struct("cid", "n", "bits")).alias("sets"))  # a group is bounded
+    return map_batches(sets, run, "grp long, lo long, hi long, bits binary, within array<long>")
 
 
-class Opened:
-    """A group: its sets, its token union, the places of the sets' tokens in the union, and which sets are known to be connected."""
+def qualifying(pairs: DataFrame, groups: DataFrame, unioned: DataFrame, percent: int) -> DataFrame:
+    """g1, g2, first, cid: the sets of either group (first: of g1) that may link to a set of the other; groups with none on a side are left out."""
+    both = pairs.select("g1", "g2", F.lit(True).alias("first")).union(pairs.select("g1", "g2", F.lit(False)))
+    both = both.withColumn("grp", F.when(F.col("first"), F.col("g1")).otherwise(F.col("g2"))).withColumn("to", F.when(F.col("first"), F.col("g2")).otherwise(F.col("g1")))
+    both = both.join(groups.select("grp", "cid", "n", "bits"), "grp").drop("grp")
+    both = both.join(unioned.select(F.col("grp").alias("to"), "lo", "hi", F.col("bits").alias("other")), "to")
 
-    def __init__(self, sets: list[tuple[int, np.ndarray]], parts: np.ndarray | None = None):
-        self.sets = sets
-        self.lens = np.array([len(t) for _, t in sets])
-        self.start = np.concatenate([[0], np.cumsum(self.lens)])
-        self.union, self.idx = np.unique(np.concatenate([t for _, t in sets]), return_inverse=True)
-        self.parts = np.arange(len(sets)) if parts is None else parts
-
-
-def verify(own: Opened, other: Opened, percent: int) -> list[tuple[int, int]]:
-    """Links between sets of two groups (or within one, then its parts are filled in) that connect all that link there.
+    def run(batches):
+        for b in batches:
+            n, lo, hi, bits, other = (b.column(c).to_pylist() for c in ("n", "lo", "hi", "bits", "other"))
+            ok = [may_link(m, np.frombuffer(x, dtype=np.uint8), a, z, np.frombuffer(y, dtype=np.uint8), percent) for m, a, z, x, y in zip(n, lo, hi, bits, other)]
+            at = pa.array(np.flatnonzero(ok))
+            yield {c: b.column(c).take(at) for c in ("g1", "g2", "first", "cid")}
 
-    A set opens the other group only if its overlap with the group's token union allows a link to some
-    set of it; then sets of fitting size are compared exactly, but for those that are known to be connected.
-    """
-    same = own is other
-    parts, found = other.parts, []
-    met: dict[int, list[int]] = {}  # part of own -> parts of other that it is linked to
-    flag = np.zeros(len(other.union), dtype=bool)
-    for i, (cid, s) in enumerate(own.sets):
-        at = np.minimum(np.searchsorted(other.union, s), len(other.union) - 1)
-        hit = at[other.union[at] == s]
-        large = np.maximum(len(s), other.lens)
-        fits = (100 * len(hit) >= percent * large) & (100 * np.minimum(len(s), other.lens) >= percent * large)
-        if same:
-            fits[: i + 1] = False
-            fits &= parts != parts[i]
-        elif known := met.get(int(own.parts[i])):
-            fits &= ~np.isin(parts, known)
-        todo = np.flatnonzero(fits)
-        if not len(todo):
-            continue
-        flag[hit] = True
-        while len(todo):
-            j, todo = todo[0], todo[1:]
-            both = int(np.count_nonzero(flag[other.idx[other.start[j] : other.start[j + 1]]]))
-            if 100 * both < percent * (len(s) + other.lens[j] - both):
-                continue
-            found.append((cid, other.sets[j][0]))
-            part = int(parts[j])
-            todo = todo[parts[todo] != part]
-            if same:
-                parts[parts == part] = parts[i]
-            else:
-                met.setdefault(int(own.parts[i]), []).append(part)
-        flag[hit] = False
-    return found
-
-
-def packed(group: Opened) -> bytes:
-    head = np.array([len(group.sets), *(c for c, _ in group.sets), *group.lens, *group.parts], dtype=np.int64)
-    return head.tobytes() + b"".join(t.tobytes() for _, t in group.sets)
-
-
-def opened(raw: bytes) -> Opened:
-    n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
-    cids, lens, parts = np.frombuffer(raw, dtype=np.int64, count=3 * n, offset=8).reshape(3, n)
-    tokens = np.frombuffer(raw, dtype=np.uint64, offset=8 * (3 * n + 1))
-    return Opened(list(zip(cids.tolist(), np.split(tokens, np.cumsum(lens)[:-1]))), parts)
+    return map_batches(both.select("g1", "g2", "first", "cid", "n", "bits", "lo", "hi", "other"), run, "g1 long, g2 long, first boolean, cid long")
 
 
-def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: links between classes of equal sets that connect all classes that are connected.
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """cid, tokens of the wanted classes (cid, rep, sig_a, sig_b), from their texts; a repeated doc_id may give a set again.
 
-    Only the texts of candidates are read again: a broadcast of at most FLAGS hash values of doc_id keeps
-    most others from the shuffle. A group verifies its own sets where it is gathered; of two groups the
-    smaller one is sent to the larger.
+    A broadcast of at most FLAGS hash values of doc_id keeps most other texts from the shuffle.
     """
-    classes = written(grouped(classes), "groups")
-    pairs = bounded_pairs(rows, classes, written(group_pairs(rows, classes, percent), "meeting"), percent)
-    ends = pairs.select(F.col("g1").alias("grp"), (F.col("g1") != F.col("g2")).alias("cross")).union(pairs.select("g2", F.col("g1") != F.col("g2")))
-    wanted = ends.groupBy("grp").agg(F.max("cross").alias("cross"), F.max(~F.col("cross")).alias("within"))
-    members = written(classes.select("cid", "doc_id", "sig_a", "sig_b", "grp").join(wanted, "grp").withColumnRenamed("doc_id", "rep"), "members")
     flag = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAGS))
-    flags = F.broadcast(members.select(flag("rep").alias("flag")).distinct())
-    texts = docs.select("doc_id", "text").withColumn("flag", flag("doc_id")).join(flags, "flag", "left_semi").drop("flag").join(members, F.col("doc_id").eqNullSafe(F.col("rep")))
+    flags = F.broadcast(wanted.select(flag("rep").alias("flag")).distinct())
+    texts = docs.select("doc_id", "text").withColumn("flag", flag("doc_id")).join(flags, "flag", "left_semi").drop("flag").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
 
-    def sets(batches):
+    def run(batches):
         for b in batches:
-            names = ("grp", "cross", "within", "cid", "tokens")
-            out = {k: [] for k in names}
-            for grp, cross, within, cid, sa, sb, text in zip(*(b.column(c).to_pylist() for c in ("grp", "cross", "within", "cid", "sig_a", "sig_b", "text"))):
-                raw = shingles(text, n).tobytes()
-                d = xxhash.xxh3_128_digest(raw)
-                if int.from_bytes(d[:8], "little", signed=True) == sa and int.from_bytes(d[8:], "little", signed=True) == sb:
-                    for k, v in zip(names, (grp, cross, within, cid, raw)):
-                        out[k].append(v)
+            out = {"cid": [], "tokens": []}
+            for cid, sa, sb, s in zip(*(b.column(c).to_pylist() for c in ("cid", "sig_a", "sig_b")), shingle_sets(b.column("text"), n)):
+                if digest(s) == (sa, sb):
+                    out["cid"].append(cid)
+                    out["tokens"].append(s.tobytes())
             yield out
 
-    full = map_batches(texts.select("grp", "cross", "within", "cid", "sig_a", "sig_b", "text"), sets, "grp long, cross boolean, within boolean, cid long, tokens binary")
-    gathered = full.groupBy("grp").agg(F.first("cross").alias("cross"), F.first("within").alias("within"), F.collect_list(F.struct("cid", "tokens")).alias("sets"))  # a group is bounded
+    return map_batches(texts.select("cid", "sig_a", "sig_b", "text"), run, "cid long, tokens binary")
+
+
+def _opened(sets: list[dict]) -> tuple[list[int], list[np.ndarray]]:
+    once = {x["cid"]: x["tokens"] for x in sets}
+    cids = sorted(once)
+    return cids, [np.frombuffer(once[c], dtype=np.uint64) for c in cids]
 
-    def settle(batches):
+
+def settle(inside: DataFrame, percent: int) -> DataFrame:
+    """grp, a, b (links that connect what links within the group), rep, tokens (of its largest component's first set) and whole (it has all sets of the group)."""
+
+    def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                once = {e["cid"]: e["tokens"] for e in b.column("sets")[i].as_py()}  # a repeated row gives its set again
-                own = Opened([(c, np.frombuffer(t, dtype=np.uint64)) for c, t in sorted(once.items())])
-                found = verify(own, own, percent) if b.column("within")[i].as_py() else []
-                keep = packed(own) if b.column("cross")[i].as_py() else None
-                yield {"grp": [b.column("grp")[i].as_py()], "size": [int(own.lens.sum())], "sets": [keep], "a": [[x for x, _ in found]], "b": [[x for _, x in found]]}
-
-    settled = written(map_batches(gathered, settle, "grp long, size long, sets binary, a array<long>, b array<long>"), "sets")
-    size = lambda k: settled.where("sets is not null").select(F.col("grp").alias(f"g{k}"), F.col("size").alias(f"size{k}"))
-    sized = pairs.where("g1 <> g2").join(size(1), "g1").join(size(2), "g2")
-    first = F.struct("size1", "g1") <= F.struct(F.col("size2").alias("size1"), F.col("g2").alias("g1"))
-    sent = sized.select(F.when(first, F.col("g1")).otherwise(F.col("g2")).alias("guest"), F.when(first, F.col("g2")).otherwise(F.col("g1")).alias("host"))
-    guests = sent.join(settled.select(F.col("grp").alias("guest"), F.col("sets").alias("own")), "guest").drop("guest")
-    both = guests.join(settled.select(F.col("grp").alias("host"), F.col("sets").alias("other")), "host")
-
-    def across(batches):
-        host, other = None, None
+                cids, sets = _opened(b.column("sets")[i].as_py())
+                label = spanning(linked(sets, None, percent))
+                at = np.flatnonzero(label != np.arange(len(label)))
+                most = np.bincount(label, minlength=len(label))
+                rep = int(most.argmax())
+                yield {
+                    "grp": [b.column("grp")[i].as_py()],
+                    "a": [[cids[k] for k in at]],
+                    "b": [[cids[k] for k in label[at]]],
+                    "rep": [cids[rep]],
+                    "tokens": [sets[rep].tobytes()],
+                    "whole": [int(most[rep]) == len(sets)],
+                }
+
+    sets = inside.groupBy("grp").agg(F.collect_list(F.struct("cid", "tokens")).alias("sets"))  # a group is bounded
+    return map_batches(sets, run, "grp long, a array<long>, b array<long>, rep long, tokens binary, whole boolean")
+
+
+def across(tiles: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect what links between the sets of two groups (g1, g2, first, cid, tokens)."""
+
+    def run(batches):
         for b in batches:
-            out: list[tuple[int, int]] = []
+            out = {"a": [], "b": []}
             for i in range(b.num_rows):
-                if other is None or b.column("host")[i].as_py() != host:
-                    host, other = b.column("host")[i].as_py(), opened(b.column("other")[i].as_py())
-                out += verify(opened(b.column("own")[i].as_py()), other, percent)
-            yield {"a": [x[0] for x in out], "b": [x[1] for x in out]}
+                (left, x), (right, y) = _opened(b.column("left")[i].as_py()), _opened(b.column("right")[i].as_py())
+                if not left or not right:
+                    continue
+                k = len(left)
+                mask = np.zeros((k + len(right),) * 2, dtype=bool)
+                mask[:k, k:] = linked(x, y, percent)
+                mask |= mask.T
+                ids, label = [*left, *right], spanning(mask)
+                for j in np.flatnonzero(label != np.arange(len(label))):
+                    out["a"].append(ids[j])
+                    out["b"].append(ids[label[j]])
+            yield out
 
-    between = map_batches(both, across, "a long, b long")
-    inside = settled.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b")
-    return written(between.union(inside), "found")
+    one = F.struct("cid", "tokens")
+    sides = tiles.groupBy("g1", "g2").agg(F.collect_list(F.when(F.col("first"), one)).alias("left"), F.collect_list(F.when(~F.col("first"), one)).alias("right"))  # groups are bounded
+    return map_batches(sides.select("left", "right"), run, "a long, b long")
+
+
+def parted(settled: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) and pairs (g1, g2) of parts of one kid.
+
+    The largest component of each part is compared with that of the kid's first part. Parts that are whole
+    and link there are connected, so they do not open each other: a group of near copies costs one
+    comparison a part, whatever its size.
+    """
+    reps = settled.join(groups.where("parts > 1").select("grp", "kid").distinct(), "grp").select("kid", "grp", "rep", "tokens", "whole")
+    first = reps.groupBy("kid").agg(F.min("grp").alias("grp")).join(reps, ["kid", "grp"]).select("kid", F.col("rep").alias("to"), F.col("tokens").alias("other"))
+
+    def run(batches):
+        for b in batches:
+            ok = [bool(linked([np.frombuffer(x, dtype=np.uint64)], [np.frombuffer(y, dtype=np.uint64)], percent)[0, 0]) for x, y in zip(b.column("tokens").to_pylist(), b.column("other").to_pylist())]
+            yield {c: b.column(c) for c in ("kid", "grp", "rep", "to", "whole")} | {"linked": ok}
+
+    star = map_batches(reps.join(first, "kid"), run, "kid long, grp long, rep long, to long, whole boolean, linked boolean")
+    star = written(star, "parts")
+    loose = star.where("not (linked and whole)").select("kid", F.col("grp").alias("x"))
+    pairs = loose.join(star.select("kid", F.col("grp").alias("y")), "kid").where("x <> y").select(F.least("x", "y").alias("g1"), F.greatest("x", "y").alias("g2")).distinct()
+    return star.where("linked and rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")), pairs
+
+
+def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: links between classes of equal sets that connect all classes that are connected."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    total = int(classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0)
+    leads = rows.where("lead").select(F.col("rid").alias("cid"), "prefix").join(classes.select("cid"), "cid")
+    posted = written(postings(leads, total), "postings", scratch)
+    groups = written(grouped(posted, classes, rows), "groups", scratch)
+    unioned = written(unions(groups, percent), "unions", scratch)
+    pairs = written(group_pairs(posted, groups, percent), "pairs", scratch)
+    meets = written(qualifying(pairs, groups, unioned, percent), "meets", scratch)
+    mutual = meets.groupBy("g1", "g2").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least <> most").select("g1", "g2")
+    meets = written(meets.join(mutual, ["g1", "g2"]), "tiles", scratch)
+
+    several = groups.where("parts > 1").select("grp", "cid")
+    inside = unioned.select("grp", F.explode("within").alias("cid")).union(several).distinct()
+    wanted = inside.select("cid").union(meets.select("cid")).distinct()
+    sets = written(sets_of(docs, groups.select("cid", "rep", "sig_a", "sig_b").join(wanted, "cid"), n), "sets", scratch)
+    settled = written(settle(inside.join(sets, "cid"), percent), "settled", scratch)
+    star, apart = parted(settled, groups, percent)
+    sides = apart.select("g1", "g2", F.lit(True).alias("first"), F.col("g1").alias("grp")).union(apart.select("g1", "g2", F.lit(False), "g2")).join(several, "grp").select("g1", "g2", "first", "cid")
+    found = across(meets.union(sides).join(sets, "cid"), percent)
+    within = settled.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b")
+    out = written(found.union(within).union(star), "found")
+    scratch.drop()
+    return out
 
 
 def jaccard_rows(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """rid, doc_id, text_hash, n_shingles, component_id and kept for each row of docs (doc_id, text).
+    """rid, doc_id, row_a, row_b, n_shingles, component_id and kept for each row of docs (doc_id, text).
 
     Two rows link when 100 * intersection >= percent * union of their sets of n-word shingles. Rows with
     equal sets are one class; links between classes are verified on the full sets. component_id is the
     smallest doc_id reachable; kept is true for one row of each component, the one of smallest doc_id.
 
     A null text counts as empty: no set, no links, its own component. A null doc_id is smaller than none:
-    it is a component's id only if all its rows have null. Repeated rows have equal sets. An empty table
-    gives no rows.
+    it is a component's id only if all its rows have null. Repeated rows have equal sets, a tie for kept
+    goes to the row read first. A text of any length is taken whole, its set is one row; sets above
+    GROUP_TOKENS are groups of few. An empty table gives no rows.
     """
     rows = described(docs, n, percent)
-    by_sig = rows.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("rep"), F.min("rid").alias("cid"), F.min("n_shingles").alias("n"), F.min("first").alias("first"))
-    classes = written(by_sig.select("cid", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rep_rid"), "n", "sig_a", "sig_b", "first"), "classes")
+    by_sig = rows.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("rep"), F.min("rid").alias("cid"), F.min("n_shingles").alias("n"))
+    classes = written(by_sig.select("cid", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rep_rid"), "n", "sig_a", "sig_b"), "classes")
     roots = components(links(docs, rows, classes, n, percent))
     known = classes.select("cid", "doc_id", "rep_rid", "sig_a", "sig_b").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("component_id"), F.col("rep_rid").alias("kept_rid"))).alias("m"))
     named = known.join(least, "root").select("sig_a", "sig_b", "m.component_id", "m.kept_rid")
-    joined = rows.drop("prefix", "sketch", "first").join(named, ["sig_a", "sig_b"], "left")
+    joined = rows.drop("prefix", "bits", "lead").join(named, ["sig_a", "sig_b"], "left")
     alone = F.col("n_shingles") == 0
-    return joined.select("rid", "doc_id", "text_hash", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("rid") == F.col("kept_rid"))).alias("kept"))
+    return joined.select("rid", "doc_id", "row_a", "row_b", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("rid") == F.col("kept_rid"))).alias("kept"))
 
 
 def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -404,12 +498,12 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of docs without all but one of each component, all columns."""
-    found = written(jaccard_rows(docs, n, percent), "components")
-    key = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__rows"), F.sum(F.col("kept").cast("int")).alias("__stay")).where("__stay > 0")
-    key = written(key.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__rows", "__stay"), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__hash"))
-    whole = docs.join(key.where("__rows = __stay"), same, "left_semi")
-    # of rows that repeat doc_id and text one stays
-    once = docs.join(key.where("__rows > __stay"), same).dropDuplicates(["__doc", "__hash"]).select(*docs.columns)
-    return whole.union(once)
+    """The rows of docs without all but one of each component, all columns; see jaccard_rows.
+
+    Rows that repeat doc_id and text are one another's copies: as many of them stay as are kept.
+    """
+    a, b, stay, rank = fresh(docs, "row_a", "row_b", "stay", "rank")
+    kept = jaccard_rows(docs, n, percent).where("kept").groupBy(F.col("row_a").alias(a), F.col("row_b").alias(b)).agg(F.count("*").alias(stay))
+    keyed = docs.withColumns({name: c for name, c in zip((a, b), row_key())}).join(written(kept, "kept"), [a, b])
+    keyed = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(1))))
+    return keyed.where(F.col(rank) <= F.col(stay)).select(*docs.columns)
