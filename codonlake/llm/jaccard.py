@@ -2,11 +2,12 @@
 
 1. Each text becomes its set of shingles; equal sets are one class. A class keeps its prefix (its rarest
    shingles: two sets that link share one of them) and a bitmap of its set, some bits a shingle.
-2. Prefix shingles that several classes have are counted. A class joins the group of the most common one
-   of its own, so near copies meet in one group; a group is bounded, larger ones are dealt to parts.
-3. A group stores the union of its members' bitmaps. The matrix of (shingle, group) gives the pairs of
-   groups that can link; the overlap of each set with the other group's union is bounded before any set
-   is moved, and only sets that qualify open the other group. Within a group bitmaps bound each pair.
+2. Prefix shingles are kept where another class with the same one could link by size and by place in the
+   order. A class joins the group of the most common one of its own, so near copies meet in one group; a
+   group is bounded, larger ones are dealt to parts.
+3. The matrix of (shingle, group) gives the pairs of groups that can link. A group's bitmaps make its
+   union; the overlap of each set with the other group's union, then with its sets, is bounded before any
+   set is moved, and only sets that qualify open the other group.
 4. Sets that qualify are made once more from their texts and compared exactly, group by group.
 """
 
@@ -36,6 +37,8 @@ BITS, LEAST_BITS, MOST_BITS = 4, 256, 1 << 17
 COLUMNS = 4096
 #: Hash values of doc_id that mark candidates' rows.
 FLAGS = 1 << 20
+#: Neighbours of an entry of the matrix, by size, among which a partner is looked for.
+LOOKED = 64
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint16)
@@ -73,19 +76,29 @@ def union(maps: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def may_link(n: int, bits: np.ndarray, lo: int, hi: int, other: np.ndarray, percent: int) -> bool:
-    """Whether a set of n shingles can link to a set of lo to hi shingles within the union `other`.
+def may_link(n: np.ndarray, maps: list[np.ndarray], lo: int, hi: int, other: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of n shingles can link to a set of lo to hi shingles within the union `other`.
 
-    Shingles of the set that are in the union have their bits in both bitmaps; those that share a bit with
+    Shingles of a set that are in the union have their bits in both bitmaps; those that share a bit with
     others of the set are counted as if they were all in the union.
     """
-    least = max(lo, least_overlap(n, percent))
-    if least > hi or lo * percent > 100 * n:
-        return False
-    size = min(len(bits), len(other))
-    own = fold(bits, size)
-    both = int(_ONES[own & fold(other, size)].sum()) + n - int(_ONES[own].sum())
-    return both * (100 + percent) >= percent * (n + least)
+    least = np.maximum(lo, least_overlap(n, percent))
+    out = (least <= hi) & (lo * percent <= 100 * n)
+    for i in np.flatnonzero(out):
+        size = min(len(maps[i]), len(other))
+        own = fold(maps[i], size)
+        both = int(_ONES[own & fold(other, size)].sum()) + n[i] - int(_ONES[own].sum())
+        out[i] = both * (100 + percent) >= percent * (n[i] + least[i])
+    return out
+
+
+def pairs_across(n: np.ndarray, maps: list[np.ndarray], m: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets of two groups can link, by their bitmaps in the size of the smallest."""
+    size = min(map(len, [*maps, *others]))
+    x, y = (np.unpackbits(np.stack([fold(k, size) for k in z]), axis=1).astype(np.float32) for z in (maps, others))
+    both = x @ y.T + np.minimum((n - x.sum(axis=1))[:, None], (m - y.sum(axis=1))[None])
+    ok = both * (100 + percent) >= percent * (n[:, None] + m[None])
+    return ok & (np.minimum(n[:, None], m[None]) * 100 >= percent * np.maximum(n[:, None], m[None]))
 
 
 def pairs_that_may_link(n: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
@@ -132,7 +145,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
 
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
     """Which sets of left link to which of right (None: to which others of left)."""
-    both = overlaps(left, right)
+    both = overlaps(left, right).astype(np.int64)
     a = np.array([len(s) for s in left])
     b = a if right is None else np.array([len(s) for s in right])
     out = 100 * both >= percent * (a[:, None] + b[None] - both)
@@ -211,7 +224,9 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         at = np.minimum(np.searchsorted(token, s), len(token) - 1)
                         key |= np.where(token[at] == s, level[at] + np.uint64(1), np.uint64(0)) << np.uint64(59)
                     most = size - least_overlap(size, percent) + 1
-                    prefix = (np.partition(key, most - 1)[:most] if most < size else key).tobytes()
+                    key = np.partition(key, most - 1)[:most] if most < size else key
+                    key.sort()
+                    prefix = key.tobytes()
                     bits = bitmap(s)
                 for k, v in zip(out, (size, *sig, lead, prefix, bits)):
                     out[k].append(v)
@@ -227,41 +242,69 @@ def row_key() -> list:
     return [F.xxhash64("doc_id", "text").alias("row_a"), F.xxhash64("text", "doc_id", F.lit(7)).alias("row_b")]
 
 
-def postings(entries: DataFrame, n_entries: int) -> DataFrame:
-    """cid, token, f: the prefix shingles of each class that another class has too, with the number of classes that have it.
+def partnered(token: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries, sorted by shingle and size, have another one of the shingle that they could link to.
 
-    Tasks pack their entries by bucket of the shingle. A very frequent shingle goes to several buckets by
-    class; it counts as common in each.
+    If it is the first shingle that two sets share, they share no more than either has from its place on.
+    An entry that has not found a partner among LOOKED neighbours on either side counts as if it had.
+    """
+    found = np.zeros(len(token), dtype=bool)
+    for side in (1, -1):
+        at = np.arange(len(token))
+        for step in range(1, LOOKED + 1):
+            to = at + side * step
+            inside = (to >= 0) & (to < len(token))
+            at, to = at[inside], to[inside]
+            near = (token[at] == token[to]) & (np.minimum(n[at], n[to]) * 100 >= percent * np.maximum(n[at], n[to]))
+            at, to = at[near], to[near]
+            ok = np.minimum(rest[at], rest[to]) * (100 + percent) >= percent * (n[at] + n[to])
+            found[at[ok]] = True
+            at = at[~found[at]]
+            if not len(at):
+                break
+        found[at] = True
+    return found
+
+
+def postings(entries: DataFrame, n_entries: int, percent: int) -> DataFrame:
+    """cid, token, f, rest: the prefix shingles of each class that make it a partner of another one, with the number of such classes.
+
+    rest counts the set's shingles from this one on. Tasks pack their entries by bucket of the shingle. A
+    very frequent shingle goes to several buckets by class; it is kept in each.
     """
     spark = entries.sparkSession
     buckets = int(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_entries // BUCKET_TOKENS))
+    kinds = {"token": np.uint64, "cid": np.int64, "n": np.int32, "rest": np.int32}
 
     def pack(batches):
         for b in batches:
             p = b.column("prefix").to_pylist()
+            long = np.array([len(x) // 8 for x in p], dtype=np.int64)
             token = np.frombuffer(b"".join(p), dtype=np.uint64)
-            cid = np.repeat(b.column("cid").to_numpy(zero_copy_only=False).astype(np.int64), [len(x) // 8 for x in p])
+            cid, n = (np.repeat(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64), long) for c in ("cid", "n"))
+            rest = n - (np.arange(len(token)) - np.repeat(np.cumsum(long) - long, long))
             level = (token >> np.uint64(59)).astype(np.int64) - 1
             deal = np.where(level > HOT, mix(cid.view(np.uint64)) % (np.uint64(1) << np.maximum(level - HOT, 0).astype(np.uint64)), np.uint64(0))
             bucket = (mix(token + deal * _A) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            token, cid, bucket = token[order], cid[order], bucket[order]
+            bucket = bucket[order]
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, dtype=np.int64)
             spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-            yield {"bucket": [int(bucket[x]) for x, _ in spans], "token": [token[x:y].tobytes() for x, y in spans], "cid": [cid[x:y].tobytes() for x, y in spans]}
+            out = {c: v[order].astype(kinds[c]) for c, v in (("token", token), ("cid", cid), ("n", n), ("rest", rest))}
+            yield {"bucket": [int(bucket[x]) for x, _ in spans]} | {c: [v[x:y].tobytes() for x, y in spans] for c, v in out.items()}
 
     def count(t: pa.Table) -> pa.Table:
-        token = np.frombuffer(b"".join(t.column("token").to_pylist()), dtype=np.uint64)
-        cid = np.frombuffer(b"".join(t.column("cid").to_pylist()), dtype=np.int64)
-        order = np.argsort(token)
-        token, cid = token[order], cid[order]
-        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        f = np.repeat(np.diff(np.append(head, len(token))), np.diff(np.append(head, len(token))))
-        keep = (f > 1) | ((token >> np.uint64(59)) > np.uint64(HOT + 1))
-        return pa.table({"cid": pa.array(cid[keep]), "token": pa.array(token[keep].view(np.int64)), "f": pa.array(f[keep].astype(np.int32))})
+        token, cid, n, rest = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=k) for c, k in kinds.items())
+        order = np.lexsort((n, token))
+        token, cid, n, rest = token[order], cid[order], n[order].astype(np.int64), rest[order].astype(np.int64)
+        keep = partnered(token, n, rest, percent) | ((token >> np.uint64(59)) > np.uint64(HOT + 1))
+        token, cid, rest = token[keep], cid[keep], rest[keep]
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, dtype=np.int64)
+        long = np.diff(np.append(head, len(token)))
+        return pa.table({"cid": pa.array(cid), "token": pa.array(token.view(np.int64)), "f": pa.array(np.repeat(long, long).astype(np.int32)), "rest": pa.array(rest.astype(np.int32))})
 
-    packed = map_batches(entries, pack, "bucket int, token binary, cid binary")
-    return packed.groupBy("bucket").applyInArrow(count, "cid long, token long, f int")
+    packed = map_batches(entries, pack, "bucket int, token binary, cid binary, n binary, rest binary")
+    return packed.groupBy("bucket").applyInArrow(count, "cid long, token long, f int, rest int")
 
 
 def grouped(postings: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -281,13 +324,13 @@ def grouped(postings: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFra
 def group_pairs(postings: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """g1, g2 (g1 < g2): groups of different kids that share a prefix shingle of sets whose sizes allow a link."""
     spark = groups.sparkSession
-    matrix = postings.join(groups.select("cid", "grp", "n"), "cid").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = postings.join(groups.select("cid", "grp", "n"), "cid").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
     several = matrix.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
     def meet(t: pa.Table) -> pa.Table:
-        token, grp, lo, hi = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "grp", "lo", "hi"))
+        token, grp, lo, hi, rest = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "grp", "lo", "hi", "rest"))
         order = np.lexsort((grp, token))
-        token, grp, lo, hi = token[order], grp[order], lo[order], hi[order]
+        token, grp, lo, hi, rest = (x[order] for x in (token, grp, lo, hi, rest))
         ends = np.searchsorted(token, token, side="right")
         kid = grp >> 20
         found, size, step = [np.zeros((0, 2), dtype=np.int64)], 0, 1
@@ -295,6 +338,7 @@ def group_pairs(postings: DataFrame, groups: DataFrame, percent: int) -> DataFra
         while len(at := at[at + step < ends[at]]):
             u, v = at, at + step
             ok = (kid[u] != kid[v]) & (hi[u] * 100 >= lo[v] * percent) & (hi[v] * 100 >= lo[u] * percent)
+            ok &= np.minimum(rest[u], rest[v]) * (100 + percent) >= percent * (lo[u] + lo[v])
             found.append(np.stack([grp[u[ok]], grp[v[ok]]], axis=1))
             size += len(found[-1])
             if size > 1_000_000:
@@ -307,39 +351,45 @@ def group_pairs(postings: DataFrame, groups: DataFrame, percent: int) -> DataFra
 
 
 def unions(groups: DataFrame, percent: int) -> DataFrame:
-    """grp, lo, hi, bits (of the union of its sets) and within (members that may link to another one) of each group."""
+    """grp, cids, ns, maps (the bitmaps of its sets) and within (members that may link to another one) of each group."""
 
     def run(batches):
         for b in batches:
-            out = {k: [] for k in ("grp", "lo", "hi", "bits", "within")}
+            out = {k: [] for k in ("grp", "cids", "ns", "maps", "within")}
             for grp, sets in zip(b.column("grp").to_pylist(), b.column("sets").to_pylist()):
-                n = np.array([x["n"] for x in sets])
-                maps = [np.frombuffer(x["bits"], dtype=np.uint8) for x in sets]
-                may = pairs_that_may_link(n, maps, percent) if len(sets) > 1 else [False]
-                row = grp, int(n.min()), int(n.max()), union(maps).tobytes(), [x["cid"] for x, ok in zip(sets, may) if ok]
-                for k, v in zip(out, row):
+                cids, ns, maps = ([x[c] for x in sets] for c in ("cid", "n", "bits"))
+                may = pairs_that_may_link(np.array(ns), [np.frombuffer(x, dtype=np.uint8) for x in maps], percent) if len(sets) > 1 else [False]
+                for k, v in zip(out, (grp, cids, ns, maps, [c for c, ok in zip(cids, may) if ok])):
                     out[k].append(v)
             yield out
 
     sets = groups.groupBy("grp").agg(F.collect_list(F.struct("cid", "n", "bits")).alias("sets"))  # a group is bounded
-    return map_batches(sets, run, "grp long, lo long, hi long, bits binary, within array<long>")
+    return map_batches(sets, run, "grp long, cids array<long>, ns array<int>, maps array<binary>, within array<long>")
 
 
-def qualifying(pairs: DataFrame, groups: DataFrame, unioned: DataFrame, percent: int) -> DataFrame:
-    """g1, g2, first, cid: the sets of either group (first: of g1) that may link to a set of the other; groups with none on a side are left out."""
-    both = pairs.select("g1", "g2", F.lit(True).alias("first")).union(pairs.select("g1", "g2", F.lit(False)))
-    both = both.withColumn("grp", F.when(F.col("first"), F.col("g1")).otherwise(F.col("g2"))).withColumn("to", F.when(F.col("first"), F.col("g2")).otherwise(F.col("g1")))
-    both = both.join(groups.select("grp", "cid", "n", "bits"), "grp").drop("grp")
-    both = both.join(unioned.select(F.col("grp").alias("to"), "lo", "hi", F.col("bits").alias("other")), "to")
+def qualifying(pairs: DataFrame, unioned: DataFrame, percent: int) -> DataFrame:
+    """g1, g2, first, cid: the sets of either group (first: of g1) that may link to a set of the other."""
+    side = lambda k: unioned.select(F.col("grp").alias(f"g{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("cids", "ns", "maps")))
+    both = pairs.join(side(1), "g1").join(side(2), "g2")
 
     def run(batches):
         for b in batches:
-            n, lo, hi, bits, other = (b.column(c).to_pylist() for c in ("n", "lo", "hi", "bits", "other"))
-            ok = [may_link(m, np.frombuffer(x, dtype=np.uint8), a, z, np.frombuffer(y, dtype=np.uint8), percent) for m, a, z, x, y in zip(n, lo, hi, bits, other)]
-            at = pa.array(np.flatnonzero(ok))
-            yield {c: b.column(c).take(at) for c in ("g1", "g2", "first", "cid")}
+            out = {k: [] for k in ("g1", "g2", "first", "cid")}
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                n, m = np.array(row["ns1"]), np.array(row["ns2"])
+                x, y = ([np.frombuffer(z, dtype=np.uint8) for z in row[c]] for c in ("maps1", "maps2"))
+                left = np.flatnonzero(may_link(n, x, m.min(), m.max(), union(y), percent))
+                right = np.flatnonzero(may_link(m, y, n.min(), n.max(), union(x), percent)) if len(left) else left
+                if not len(left) or not len(right):
+                    continue
+                ok = pairs_across(n[left], [x[k] for k in left], m[right], [y[k] for k in right], percent)
+                for first, own, cids in ((True, left[ok.any(axis=1)], row["cids1"]), (False, right[ok.any(axis=0)], row["cids2"])):
+                    for k, v in zip(out, ([row["g1"]] * len(own), [row["g2"]] * len(own), [first] * len(own), [cids[j] for j in own])):
+                        out[k] += v
+            yield out
 
-    return map_batches(both.select("g1", "g2", "first", "cid", "n", "bits", "lo", "hi", "other"), run, "g1 long, g2 long, first boolean, cid long")
+    return map_batches(both, run, "g1 long, g2 long, first boolean, cid long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -445,14 +495,12 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     total = int(classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0)
-    leads = rows.where("lead").select(F.col("rid").alias("cid"), "prefix").join(classes.select("cid"), "cid")
-    posted = written(postings(leads, total), "postings", scratch)
+    leads = rows.where("lead").select(F.col("rid").alias("cid"), F.col("n_shingles").cast("int").alias("n"), "prefix").join(classes.select("cid"), "cid")
+    posted = written(postings(leads, total, percent), "postings", scratch)
     groups = written(grouped(posted, classes, rows), "groups", scratch)
     unioned = written(unions(groups, percent), "unions", scratch)
     pairs = written(group_pairs(posted, groups, percent), "pairs", scratch)
-    meets = written(qualifying(pairs, groups, unioned, percent), "meets", scratch)
-    mutual = meets.groupBy("g1", "g2").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least <> most").select("g1", "g2")
-    meets = written(meets.join(mutual, ["g1", "g2"]), "tiles", scratch)
+    meets = written(qualifying(pairs, unioned, percent), "meets", scratch)
 
     several = groups.where("parts > 1").select("grp", "cid")
     inside = unioned.select("grp", F.explode("within").alias("cid")).union(several).distinct()
