@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,127 +19,103 @@ from .tokens import word_bpe
 #: The id after each document.
 END = 1
 #: Pieces of one length are ranked in parts of about so many.
-PART_ROWS = 20_000
-#: Nodes that the search for one filling and the whole branch and bound may open.
-FILL_NODES, TREE_NODES = 3000, 400
-
-
-class Counts:
-    """How many pieces of each length are left, with the lengths in order."""
-
-    def __init__(self, counts: dict[int, int]):
-        self.n = {k: v for k, v in counts.items() if v > 0}
-        self.lengths = sorted(self.n)
-
-    def take(self, filling: dict[int, int], times: int) -> None:
-        for k, v in filling.items():
-            self.n[k] -= v * times
-            if not self.n[k]:
-                del self.n[k]
-                self.lengths.pop(bisect_right(self.lengths, k) - 1)
-
-    def copy(self) -> Counts:
-        return Counts(self.n)
-
-
-def fillings(left: Counts, room: int, most_waste: int, want: int) -> list[tuple[int, ...]]:
-    """Fillings of the room with the pieces that are left, least waste first, at most `want`.
-
-    Depth first from the longest length that fits (best fit), so the first one found is the best-fit
-    filling. A filling is kept only if it is maximal (no left piece fits in its waste); of two with the
-    same waste the one of fewer, longer pieces comes first, as it dominates. Branches whose waste cannot
-    get under the bound end early, and a filling without waste ends the search.
-    """
-    lengths, n = left.lengths, left.n
-    found: list[tuple[int, int, tuple[int, ...]]] = []
-    nodes, best = 0, most_waste
-    smallest = lengths[0] if lengths else room + 1
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(lengths), ())]
-    while stack and nodes < FILL_NODES:
-        space, top, chosen = stack.pop()
-        nodes += 1
-        at = min(bisect_right(lengths, space), top)
-        if not at or space < smallest:
-            if space <= best:
-                found.append((space, len(chosen), chosen))
-                if len(found) >= want and space < best:
-                    best = space
-            if space == 0 and len(found) >= want:
-                break
+PART_ROWS = 2000
+#: Steps of the branch and bound; states that it remembers; pieces of a filling whose subsets are all tried for dominance.
+WORK, MOST_MET, SUBSETS = 3_000_000, 200_000, 10
+
+
+def reachable(lengths: list[int], n: dict[int, int], room: int) -> list[int]:
+    """Bitsets: bit k of the i-th is set if some of the first i lengths, as often as they are left, add up to k."""
+    mask = (1 << (room + 1)) - 1
+    out = [1]
+    for k in lengths:
+        bits, copies, step = out[-1], min(n[k], room // k), 1
+        while copies > 0:
+            step = min(step, copies)
+            bits |= bits << (k * step) & mask
+            copies -= step
+            step *= 2
+        out.append(bits)
+    return out
+
+
+def sums_to(target: int, lengths: list[int], n: dict[int, int], reach: list[int]) -> Iterator[tuple[int, ...]]:
+    """The multisets of left lengths that add up to the target, long lengths first; none of the walk leads nowhere."""
+    stack = [(len(lengths), target, ())]
+    while stack:
+        i, rest, chosen = stack.pop()
+        if not rest:
+            yield chosen
             continue
-        nxt = []
-        for i in range(at - 1, max(-1, at - 13), -1):
+        more = []
+        while i and reach[i] >> rest & 1:
+            i -= 1
             k = lengths[i]
-            used = chosen.count(k)
-            if n[k] <= used:
-                continue
-            nxt.append((space - k, i + 1, (*chosen, k)))
-        if not nxt:
-            if space <= best:
-                found.append((space, len(chosen), chosen))
-            continue
-        exact = space in n and n[space] > chosen.count(space) and bisect_right(lengths, space) <= top
-        if exact:
-            found.append((0, len(chosen) + 1, (*chosen, space)))
-            if len(found) >= want:
-                break
-            best = min(best, 0) if want == 1 else best
-        # two pieces that fill the room: the longest first, its complement by lookup
-        for s2, i2, c2 in nxt:
-            if s2 and s2 <= lengths[i2 - 1] and s2 in n and n[s2] > c2.count(s2):
-                found.append((0, len(c2) + 1, (*c2, s2)))
-                if len(found) >= want:
-                    break
-        if len(found) >= want and found[-1][0] == 0:
-            break
-        stack += reversed(nxt)
-    if not found:
-        greedy: list[int] = []
-        space, top = room, len(lengths)
-        while at := min(bisect_right(lengths, space), top):
-            k = lengths[at - 1]
-            if n[k] > greedy.count(k):
-                greedy.append(k)
-                space -= k
-            else:
-                top = at - 1
-        found = [(space, len(greedy), tuple(greedy))]
-    return [x[2] for x in sorted(set(found))[:want]]
+            for copies in range(min(n[k], rest // k), 0, -1):
+                if reach[i] >> (rest - k * copies) & 1:
+                    more.append((i, rest - k * copies, chosen + (k,) * copies))
+        stack += reversed(more)
 
 
-def complete(left: Counts, capacity: int, most_waste: int, choose=lambda step, options: 0) -> tuple[list[tuple[int, dict[int, int]]], int, list[int]] | None:
-    """Bins around the largest piece, again and again: (times, filling) runs, the number of bins, and how many options each step had.
+def dominated(filling: tuple[int, ...], waste: int, lengths: list[int], n: dict[int, int]) -> bool:
+    """Whether a left length could stand for some of the filling's pieces, or for none, and waste no more.
 
-    None as soon as the waste exceeds most_waste.
+    Then a filling with it, and those pieces in its former place, is at least as good (Martello and
+    Toth). Of fillings of over SUBSETS pieces only single pieces and pairs are tried, so fewer are dropped.
     """
-    runs, bins, waste, widths = [], 0, 0, []
-    while left.lengths:
-        big = left.lengths[-1]
-        left.n[big] -= 1
-        last = not left.n[big]
-        if last:
-            del left.n[big]
-            left.lengths.pop()
-        options = fillings(left, capacity - big, capacity - big, 1 if most_waste < 0 else 2)
-        if last:
-            left.lengths.append(big)
-            left.n[big] = 1
-        else:
-            left.n[big] += 1
-        widths.append(len(options))
-        chosen = options[min(choose(len(widths) - 1, options), len(options) - 1)]
+    used: dict[int, int] = {}
+    for k in filling:
+        used[k] = used.get(k, 0) + 1
+    sizes = range(len(filling) + 1) if len(filling) <= SUBSETS else range(3)
+    tried = set()
+    for m in sizes:
+        for part in combinations(filling, m):
+            total = sum(part)
+            if (m, total) in tried:
+                continue
+            tried.add((m, total))
+            at = bisect_left(lengths, total + (m == 1))  # a piece for itself changes nothing
+            while at < len(lengths) and lengths[at] <= total + waste:
+                if n[lengths[at]] > used.get(lengths[at], 0):
+                    return True
+                at += 1
+    return False
+
+
+def fillings(n: dict[int, int], room: int, most_waste: int, spent: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, filling) of all undominated fillings of the room with left pieces, least waste first, found as they are asked for."""
+    lengths = sorted(k for k, v in n.items() if v and k <= room)
+    reach = reachable(lengths, n, room)
+    spent[0] += len(lengths) + 1
+    for waste in range(min(room, most_waste) + 1):
+        if reach[-1] >> (room - waste) & 1:
+            for filling in sums_to(room - waste, lengths, n, reach):
+                spent[0] += 1 + len(filling)
+                if not dominated(filling, waste, lengths, n):
+                    yield waste, filling
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Best-fit decreasing on counts: the longest piece opens a bin, then always the longest one that fits goes in."""
+    n = {k: v for k, v in counts.items() if v}
+    lengths = sorted(n)
+    runs = []
+    while lengths:
         filling: dict[int, int] = {}
-        for k in (big, *chosen):
-            filling[k] = filling.get(k, 0) + 1
-        times = min(left.n[k] // v for k, v in filling.items())
-        left.take(filling, times)
+        room, at = capacity, len(lengths)
+        while at := min(bisect_right(lengths, room), at):
+            k = lengths[at - 1]
+            copies = min(n[k], room // k)
+            filling[k] = copies
+            room -= k * copies
+            at -= 1
+        times = min(n[k] // v for k, v in filling.items())
+        for k, v in filling.items():
+            n[k] -= v * times
+            if not n[k]:
+                lengths.pop(bisect_left(lengths, k))
         runs.append((times, filling))
-        bins += times
-        if left.lengths:  # the last bin's waste counts for nothing
-            waste += times * (capacity - sum(k * v for k, v in filling.items()))
-            if 0 <= most_waste < waste:
-                return None
-    return runs, bins, widths
+    return runs
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -155,28 +133,64 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, dict[int, int]]], int, int]:
+def plan_bins(counts: dict[int, int], capacity: int, work: int = WORK) -> tuple[list[tuple[int, dict[int, int]]], int, int]:
     """Runs of equal bins for counts of lengths, their number, and a lower bound.
 
-    The first, best-fit completion is the incumbent. While it is above the lower bound, branch and bound
-    takes the second filling at one step after the other from the last, prunes by the waste that a
-    solution of one bin fewer may have, and stops after TREE_NODES completions. The work depends on the
-    number of different lengths (at most the capacity), not on the number of pieces.
+    Best-fit decreasing is the first incumbent. While it is above the lower bound, a depth-first search
+    completes the bin of the longest left piece with each undominated filling, least waste first; a
+    filling is repeated as often as it can be, then tried once. A branch ends when its waste exceeds
+    what a solution of one bin fewer than the incumbent may have, or at a state met before with no more
+    bins. The first descent is the best-fit completion. The search ends with the proof that nothing is
+    better, at the lower bound, or after `work` steps (lengths looked at), whatever the machine; the
+    steps do not depend on the number of pieces.
     """
+    counts = {k: v for k, v in counts.items() if v > 0}
     bound = lower_bound(counts, capacity)
     total = sum(k * v for k, v in counts.items())
-    runs, bins, widths = complete(Counts(counts), capacity, -1) if counts else ([], 0, [])
-    nodes = 0
-    step = len(widths) - 1
-    while bins > bound and step >= 0 and nodes < TREE_NODES:
-        allowed = (bins - 1) * capacity - total
-        turn = step
-        got = complete(Counts(counts), capacity, allowed, lambda at, options, turn=turn: 1 if at == turn else 0)
-        nodes += 1
-        if got and got[1] < bins:
-            runs, bins, widths = got
-            step = len(widths)
-        step -= 1
+    runs = best_fit(counts, capacity)
+    bins = sum(t for t, _ in runs)
+    spent, met = [0], {}
+
+    def options(n: dict[int, int], waste: int) -> Iterator[tuple[int, int, dict[int, int]]]:
+        """(times, waste of a bin, filling) of the bin of the longest piece."""
+        big = max(n)
+        left = n | {big: n[big] - 1}
+        for lost, chosen in fillings(left, capacity - big, (bins - 1) * capacity - total - waste, spent):
+            filling: dict[int, int] = {}
+            for k in (big, *chosen):
+                filling[k] = filling.get(k, 0) + 1
+            most = min(n[k] // v for k, v in filling.items())
+            yield most, lost, filling
+            if most > 1:
+                yield 1, lost, filling
+
+    path: list[tuple[int, dict[int, int]]] = []
+    stack = [(counts, 0, 0, options(counts, 0))] if bins > bound else []
+    while stack and bins > bound and spent[0] < work:
+        n, used, waste, more = stack[-1]
+        step = next(more, None)
+        if step is None:
+            stack.pop()
+            if path:
+                path.pop()
+            continue
+        times, lost, filling = step
+        if waste + times * lost > (bins - 1) * capacity - total:
+            continue
+        left = {k: m for k, v in n.items() if (m := v - times * filling.get(k, 0))}
+        now = used + times
+        spent[0] += 1
+        if not left:
+            if now < bins:
+                runs, bins = [*path, (times, filling)], now
+            continue
+        key = hash(frozenset(left.items()))
+        if met.get(key, now + 1) <= now:
+            continue
+        if len(met) < MOST_MET:
+            met[key] = now
+        path.append((times, filling))
+        stack.append((left, now, waste + times * lost, options(left, waste + times * lost)))
     return runs, bins, bound
 
 
@@ -206,8 +220,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096) -> DataFrame:
     numbers) and plans runs of equal bins. Each piece finds its place from its rank among the pieces of
     its length, which is counted in parts, so a length that a third of all pieces have is spread.
 
-    A null or empty text is the END id alone; repeated rows are packed each; null doc_ids are kept; an
-    empty table gives no rows.
+    A null or empty text is the END id alone; a text of any length is taken whole and cut only above the
+    capacity; repeated rows are packed each; null doc_ids are kept; pieces that tie in length, doc_id and
+    piece take places in the order in which they were written; an empty table gives no rows. Columns of
+    docs other than doc_id and text are ignored.
     """
     spark = docs.sparkSession
     pieces = written(token_pieces(docs, tokenizer, capacity), "pieces")
