@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: So many links at most are settled by one task.
+LAST = 1_000_000
 #: Rows and bytes of an Arrow batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
@@ -102,19 +104,40 @@ def fold(key, parts: int):
     return F.pmod(F.xxhash64(key), F.lit(parts))
 
 
+def reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b), and the least node that each reaches."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(node))
+    while True:
+        low = np.minimum(label[a], label[b])
+        nxt = label.copy()
+        np.minimum.at(nxt, a, low)
+        np.minimum.at(nxt, b, low)
+        np.minimum.at(nxt, label[a], low)  # the roots move as well
+        np.minimum.at(nxt, label[b], low)
+        nxt = nxt[nxt]
+        if (nxt == label).all():
+            return node, node[label]
+        label = nxt
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for the links (a, b) of longs: nodes with the same root are connected.
 
-    Rounds of contraction: each node moves to the neighbour of least hash (twice along the chain), links
-    between moved nodes remain. Hashes differ by round, so chains are short and the links shrink by a
-    constant factor. A node with very many links is only summed up and joined to, never gathered.
+    Rounds of contraction while there are more than LAST links: each node moves to the neighbour of least
+    hash (twice along the chain), links between moved nodes remain. Hashes differ by round, so chains are
+    short and the links shrink by a constant factor. A node with very many links is only summed up and
+    joined to, never gathered. One task, not the driver, settles the last links, at most LAST.
     """
-    scratch = Scratch(edges.sparkSession)
-    left = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links", scratch)
+    spark = edges.sparkSession
+    scratch = Scratch(spark)
+    left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links", scratch)
     moves = []
-    while left.limit(1).count():
+    while (n := left.count()) > LAST:
+        both = left.union(left.select("b", "a"))
         salt = F.lit(len(moves))
-        least = left.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", salt).alias("h"), "b")).alias("m"))
+        least = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", salt).alias("h"), "b")).alias("m"))
         step = least.select(F.col("a").alias("node"), F.when(F.struct(F.xxhash64("a", salt), "a") <= F.col("m"), F.col("a")).otherwise(F.col("m.b")).alias("to"))
         step = written(step, "moves", scratch)
         for _ in range(2):
@@ -123,7 +146,17 @@ def components(edges: DataFrame) -> DataFrame:
         step = written(step, "moves", scratch)
         moves.append(step)
         a, b = step.select(F.col("node").alias("a"), F.col("to").alias("ta")), step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        left = written(left.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct(), "links", scratch)
+        left = left.join(a, "a").join(b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+        left = written(left, "links", scratch)
+
+    def last(batches):
+        parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if parts:
+            node, root = reached(*(np.concatenate(x) for x in zip(*parts)))
+            yield {"node": pa.array(node), "to": pa.array(root)}
+
+    if n:
+        moves.append(map_batches(left.coalesce(1), last, "node long, to long"))
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).where("false")
     found = moves[0].select("node", F.col("to").alias("root"))

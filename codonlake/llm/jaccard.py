@@ -13,6 +13,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,6 +43,9 @@ FLAGS = 1 << 20
 #: Neighbours of an entry of the matrix, by size, among which a partner is looked for.
 LOOKED = 64
 
+#: The set of each text of a column.
+Sets = Callable[[pa.Array], list[np.ndarray]]
+
 _A = np.uint64(0x9E3779B97F4A7C15)
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint16)
 
@@ -167,7 +173,7 @@ def spanning(mask: np.ndarray) -> np.ndarray:
         label = nxt
 
 
-def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, sets_of_texts: Sets) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of frequent shingles, sorted, and floor(log2) of their counts over all documents."""
 
     def run(batches):
@@ -179,7 +185,7 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             return {"token": pa.array(u[often].view(np.int64)), "n": pa.array(c[often].astype(np.int64))}
 
         for b in batches:
-            for s in shingle_sets(b.column("text"), n):
+            for s in sets_of_texts(b.column("text")):
                 key = hash(s.tobytes())
                 if len(s) and key not in seen:  # equal sets are one set later on
                     seen.add(key)
@@ -198,14 +204,14 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], np.log2(np.maximum(rows["n"].to_numpy(dtype=float)[order], 1)).astype(np.uint64)
 
 
-def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def described(docs: DataFrame, sets_of_texts: Sets, percent: int) -> DataFrame:
     """rid, doc_id, row_a, row_b, n_shingles, sig_a, sig_b, lead, prefix and bits of every row.
 
     The prefix has the n - ceil(percent * n / 100) + 1 first shingles in one order of all shingles, rare
     ones first: two sets that link share at least one shingle of their prefixes. Only the first row of a
     set in a task leads and carries prefix and bits. row_a and row_b are hashes of doc_id and text.
     """
-    token, level = frequent(docs, n)
+    token, level = frequent(docs, sets_of_texts)
     shared = docs.sparkSession.sparkContext.broadcast((token, level))  # 16 bytes for each of at most MOST_FREQUENT
 
     def run(batches):
@@ -213,7 +219,7 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for b in batches:
             out = {k: [] for k in ("n_shingles", "sig_a", "sig_b", "lead", "prefix", "bits")}
-            for s in shingle_sets(b.column("text"), n):
+            for s in sets_of_texts(b.column("text")):
                 size, sig = len(s), digest(s)
                 lead = bool(size) and sig not in seen
                 prefix = bits = None
@@ -322,77 +328,95 @@ def grouped(postings: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFra
 
 
 def group_pairs(postings: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """g1, g2 (g1 < g2): groups of different kids that share a prefix shingle of sets whose sizes allow a link."""
+    """g1, g2 (g1 < g2), first, cid: pairs of groups of different kids that can link, and the sets of either (first: of g1) through which.
+
+    The matrix has a cell for each shingle and group, with the sizes of the group's sets that have the
+    shingle and the most that they have from it on. Cells of one shingle are paired; a set of a cell counts
+    if it fits the other cell.
+    """
     spark = groups.sparkSession
-    matrix = postings.join(groups.select("cid", "grp", "n"), "cid").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
-    several = matrix.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    matrix = postings.select("cid", "token", "rest").join(groups.select("cid", "grp", "n"), "cid")
+    matrix = matrix.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
     def meet(t: pa.Table) -> pa.Table:
-        token, grp, lo, hi, rest = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "grp", "lo", "hi", "rest"))
+        token, grp, cid, n, rest = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "grp", "cid", "n", "rest"))
         order = np.lexsort((grp, token))
-        token, grp, lo, hi, rest = (x[order] for x in (token, grp, lo, hi, rest))
-        ends = np.searchsorted(token, token, side="right")
-        kid = grp >> 20
-        found, size, step = [np.zeros((0, 2), dtype=np.int64)], 0, 1
-        at = np.arange(len(token))
+        token, grp, cid, n, rest = (x[order] for x in (token, grp, cid, n, rest))
+        head = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (grp[1:] != grp[:-1])]))
+        tail = np.append(head[1:], len(token))
+        lo, hi, most = np.minimum.reduceat(n, head), np.maximum.reduceat(n, head), np.maximum.reduceat(rest, head)
+        shingle, own = token[head], grp[head]
+        ends = np.searchsorted(shingle, shingle, side="right")
+        found, size, step = [np.zeros((0, 4), dtype=np.int64)], 0, 1
+        at = np.arange(len(head))
         while len(at := at[at + step < ends[at]]):
             u, v = at, at + step
-            ok = (kid[u] != kid[v]) & (hi[u] * 100 >= lo[v] * percent) & (hi[v] * 100 >= lo[u] * percent)
-            ok &= np.minimum(rest[u], rest[v]) * (100 + percent) >= percent * (lo[u] + lo[v])
-            found.append(np.stack([grp[u[ok]], grp[v[ok]]], axis=1))
-            size += len(found[-1])
-            if size > 1_000_000:
+            ok = (own[u] >> 20 != own[v] >> 20) & (hi[u] * 100 >= lo[v] * percent) & (hi[v] * 100 >= lo[u] * percent)
+            ok &= np.minimum(most[u], most[v]) * (100 + percent) >= percent * (lo[u] + lo[v])
+            u, v = u[ok], v[ok]
+            for first, x, y in ((1, u, v), (0, v, u)):
+                many = tail[x] - head[x]
+                to = np.repeat(y, many)
+                row = np.arange(many.sum()) - np.repeat(many.cumsum() - many, many) + np.repeat(head[x], many)
+                fits = (n[row] * 100 >= lo[to] * percent) & (hi[to] * 100 >= n[row] * percent)
+                fits &= np.minimum(rest[row], most[to]) * (100 + percent) >= percent * (n[row] + lo[to])
+                row, to = row[fits], to[fits]
+                a, b = (grp[row], own[to]) if first else (own[to], grp[row])
+                found.append(np.stack([a, b, np.full(len(row), first), cid[row]], axis=1))
+                size += len(row)
+            if size > 500_000:
                 found, size = [np.unique(np.concatenate(found), axis=0)], 0
             step += 1
         pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"g1": pa.array(pairs[:, 0]), "g2": pa.array(pairs[:, 1])})
+        return pa.table({"g1": pa.array(pairs[:, 0]), "g2": pa.array(pairs[:, 1]), "first": pa.array(pairs[:, 2] == 1), "cid": pa.array(pairs[:, 3])})
 
-    return several.groupBy("bucket").applyInArrow(meet, "g1 long, g2 long").distinct()
+    return matrix.groupBy("bucket").applyInArrow(meet, "g1 long, g2 long, first boolean, cid long").distinct()
 
 
-def unions(groups: DataFrame, percent: int) -> DataFrame:
-    """grp, cids, ns, maps (the bitmaps of its sets) and within (members that may link to another one) of each group."""
+def inside_groups(groups: DataFrame, percent: int) -> DataFrame:
+    """grp, cid: the sets that may link to another one of their group."""
 
     def run(batches):
         for b in batches:
-            out = {k: [] for k in ("grp", "cids", "ns", "maps", "within")}
+            out = {"grp": [], "cid": []}
             for grp, sets in zip(b.column("grp").to_pylist(), b.column("sets").to_pylist()):
-                cids, ns, maps = ([x[c] for x in sets] for c in ("cid", "n", "bits"))
-                may = pairs_that_may_link(np.array(ns), [np.frombuffer(x, dtype=np.uint8) for x in maps], percent) if len(sets) > 1 else [False]
-                for k, v in zip(out, (grp, cids, ns, maps, [c for c, ok in zip(cids, may) if ok])):
-                    out[k].append(v)
+                may = pairs_that_may_link(np.array([x["n"] for x in sets]), [np.frombuffer(x["bits"], dtype=np.uint8) for x in sets], percent)
+                cids = [x["cid"] for x, ok in zip(sets, may) if ok]
+                out["grp"] += [grp] * len(cids)
+                out["cid"] += cids
             yield out
 
-    sets = groups.groupBy("grp").agg(F.collect_list(F.struct("cid", "n", "bits")).alias("sets"))  # a group is bounded
-    return map_batches(sets, run, "grp long, cids array<long>, ns array<int>, maps array<binary>, within array<long>")
+    sets = groups.groupBy("grp").agg(F.collect_list(F.struct("cid", "n", "bits")).alias("sets")).where("size(sets) > 1")  # a group is bounded
+    return map_batches(sets, run, "grp long, cid long")
 
 
-def qualifying(pairs: DataFrame, unioned: DataFrame, percent: int) -> DataFrame:
-    """g1, g2, first, cid: the sets of either group (first: of g1) that may link to a set of the other."""
-    side = lambda k: unioned.select(F.col("grp").alias(f"g{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("cids", "ns", "maps")))
-    both = pairs.join(side(1), "g1").join(side(2), "g2")
+def qualifying(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """g1, g2, first, cid: the sets of either group that may link to a set of the other, by the other's union and then by pairs."""
+    one = F.struct("cid", "n", "bits")
+    both = pairs.join(groups.select("cid", "n", "bits"), "cid").groupBy("g1", "g2").agg(F.collect_list(F.when(F.col("first"), one)).alias("left"), F.collect_list(F.when(~F.col("first"), one)).alias("right"))  # groups are bounded
 
     def run(batches):
         for b in batches:
             out = {k: [] for k in ("g1", "g2", "first", "cid")}
-            for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                n, m = np.array(row["ns1"]), np.array(row["ns2"])
-                x, y = ([np.frombuffer(z, dtype=np.uint8) for z in row[c]] for c in ("maps1", "maps2"))
-                left = np.flatnonzero(may_link(n, x, m.min(), m.max(), union(y), percent))
-                right = np.flatnonzero(may_link(m, y, n.min(), n.max(), union(x), percent)) if len(left) else left
+            for g1, g2, x, y in zip(*(b.column(c).to_pylist() for c in ("g1", "g2", "left", "right"))):
+                if not x or not y:
+                    continue
+                n, m = (np.array([k["n"] for k in z]) for z in (x, y))
+                own, other = ([np.frombuffer(k["bits"], dtype=np.uint8) for k in z] for z in (x, y))
+                left = np.flatnonzero(may_link(n, own, m.min(), m.max(), union(other), percent))
+                right = np.flatnonzero(may_link(m, other, n.min(), n.max(), union(own), percent)) if len(left) else left
                 if not len(left) or not len(right):
                     continue
-                ok = pairs_across(n[left], [x[k] for k in left], m[right], [y[k] for k in right], percent)
-                for first, own, cids in ((True, left[ok.any(axis=1)], row["cids1"]), (False, right[ok.any(axis=0)], row["cids2"])):
-                    for k, v in zip(out, ([row["g1"]] * len(own), [row["g2"]] * len(own), [first] * len(own), [cids[j] for j in own])):
+                ok = pairs_across(n[left], [own[k] for k in left], m[right], [other[k] for k in right], percent)
+                for first, at, z in ((True, left[ok.any(axis=1)], x), (False, right[ok.any(axis=0)], y)):
+                    for k, v in zip(out, ([g1] * len(at), [g2] * len(at), [first] * len(at), [z[j]["cid"] for j in at])):
                         out[k] += v
             yield out
 
     return map_batches(both, run, "g1 long, g2 long, first boolean, cid long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, sets_of_texts: Sets) -> DataFrame:
     """cid, tokens of the wanted classes (cid, rep, sig_a, sig_b), from their texts; a repeated doc_id may give a set again.
 
     A broadcast of at most FLAGS hash values of doc_id keeps most other texts from the shuffle.
@@ -404,7 +428,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for b in batches:
             out = {"cid": [], "tokens": []}
-            for cid, sa, sb, s in zip(*(b.column(c).to_pylist() for c in ("cid", "sig_a", "sig_b")), shingle_sets(b.column("text"), n)):
+            for cid, sa, sb, s in zip(*(b.column(c).to_pylist() for c in ("cid", "sig_a", "sig_b")), sets_of_texts(b.column("text"))):
                 if digest(s) == (sa, sb):
                     out["cid"].append(cid)
                     out["tokens"].append(s.tobytes())
@@ -475,6 +499,8 @@ def parted(settled: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFra
     and link there are connected, so they do not open each other: a group of near copies costs one
     comparison a part, whatever its size.
     """
+    if not groups.where("parts > 1").limit(1).count():
+        return settled.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false"), settled.select(F.col("grp").alias("g1"), F.col("grp").alias("g2")).where("false")
     reps = settled.join(groups.where("parts > 1").select("grp", "kid").distinct(), "grp").select("kid", "grp", "rep", "tokens", "whole")
     first = reps.groupBy("kid").agg(F.min("grp").alias("grp")).join(reps, ["kid", "grp"]).select("kid", F.col("rep").alias("to"), F.col("tokens").alias("other"))
 
@@ -490,7 +516,7 @@ def parted(settled: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFra
     return star.where("linked and rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")), pairs
 
 
-def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, sets_of_texts: Sets, percent: int) -> DataFrame:
     """a, b: links between classes of equal sets that connect all classes that are connected."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -498,14 +524,12 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent:
     leads = rows.where("lead").select(F.col("rid").alias("cid"), F.col("n_shingles").cast("int").alias("n"), "prefix").join(classes.select("cid"), "cid")
     posted = written(postings(leads, total, percent), "postings", scratch)
     groups = written(grouped(posted, classes, rows), "groups", scratch)
-    unioned = written(unions(groups, percent), "unions", scratch)
-    pairs = written(group_pairs(posted, groups, percent), "pairs", scratch)
-    meets = written(qualifying(pairs, unioned, percent), "meets", scratch)
+    meets = written(qualifying(group_pairs(posted, groups, percent), groups, percent), "meets", scratch)
 
     several = groups.where("parts > 1").select("grp", "cid")
-    inside = unioned.select("grp", F.explode("within").alias("cid")).union(several).distinct()
+    inside = written(inside_groups(groups, percent).union(several).distinct(), "inside", scratch)
     wanted = inside.select("cid").union(meets.select("cid")).distinct()
-    sets = written(sets_of(docs, groups.select("cid", "rep", "sig_a", "sig_b").join(wanted, "cid"), n), "sets", scratch)
+    sets = written(sets_of(docs, groups.select("cid", "rep", "sig_a", "sig_b").join(wanted, "cid"), sets_of_texts), "sets", scratch)
     settled = written(settle(inside.join(sets, "cid"), percent), "settled", scratch)
     star, apart = parted(settled, groups, percent)
     sides = apart.select("g1", "g2", F.lit(True).alias("first"), F.col("g1").alias("grp")).union(apart.select("g1", "g2", F.lit(False), "g2")).join(several, "grp").select("g1", "g2", "first", "cid")
@@ -516,10 +540,11 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent:
     return out
 
 
-def jaccard_rows(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_rows(docs: DataFrame, n: int = 3, percent: int = 90, sets_of_texts: Sets | None = None) -> DataFrame:
     """rid, doc_id, row_a, row_b, n_shingles, component_id and kept for each row of docs (doc_id, text).
 
-    Two rows link when 100 * intersection >= percent * union of their sets of n-word shingles. Rows with
+    Two rows link when 100 * intersection >= percent * union of their sets: n-word shingles, or what
+    sets_of_texts makes of a column of texts (sorted distinct 64-bit hashes). Rows with
     equal sets are one class; links between classes are verified on the full sets. component_id is the
     smallest doc_id reachable; kept is true for one row of each component, the one of smallest doc_id.
 
@@ -528,10 +553,11 @@ def jaccard_rows(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     goes to the row read first. A text of any length is taken whole, its set is one row; sets above
     GROUP_TOKENS are groups of few. An empty table gives no rows.
     """
-    rows = described(docs, n, percent)
+    sets_of_texts = sets_of_texts or partial(shingle_sets, n=n)
+    rows = described(docs, sets_of_texts, percent)
     by_sig = rows.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("rep"), F.min("rid").alias("cid"), F.min("n_shingles").alias("n"))
     classes = written(by_sig.select("cid", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rep_rid"), "n", "sig_a", "sig_b"), "classes")
-    roots = components(links(docs, rows, classes, n, percent))
+    roots = components(links(docs, rows, classes, sets_of_texts, percent))
     known = classes.select("cid", "doc_id", "rep_rid", "sig_a", "sig_b").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("component_id"), F.col("rep_rid").alias("kept_rid"))).alias("m"))
     named = known.join(least, "root").select("sig_a", "sig_b", "m.component_id", "m.kept_rid")
