@@ -18,12 +18,13 @@ SHAPES, DENSE = 256, 9
 POSITIVES, UNLABELLED = 6000, 9000
 #: Random halves on which the class prior is estimated.
 SPLITS = 3
+#: Characters of a chunk; a longer one, as in texts without spaces, counts as so many chunks.
+CHUNK = 64
 #: Below this score a text is rejected.
 REJECT = 0.3
 
 _fold = str.maketrans({c: "a" for c in map(chr, range(0x61, 0x7B))} | {c: "A" for c in map(chr, range(0x41, 0x5B))} | {c: "0" for c in "0123456789"} | {chr(c): "a" if chr(c).islower() else "A" for c in range(0xC0, 0x250) if chr(c).isalpha()})
 _runs = re.compile(r"(.)\1+", re.S)
-_shape: dict[str, int] = {}
 
 
 class _Shapes(dict):
@@ -32,7 +33,7 @@ class _Shapes(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        slot = zlib.crc32(_runs.sub(r"\1", chunk[:64].translate(_fold)).encode()) % SHAPES
+        slot = zlib.crc32(_runs.sub(r"\1", chunk.translate(_fold)).encode("utf-8", "surrogatepass")) % SHAPES
         self[chunk] = slot
         return slot
 
@@ -40,11 +41,19 @@ class _Shapes(dict):
 _shapes = _Shapes()
 
 
+def chunked(text: str | None) -> list[str]:
+    """What stands between white space, in pieces of at most CHUNK characters."""
+    found = text.split() if text else []
+    if found and max(map(len, found)) > CHUNK:
+        return [c[k : k + CHUNK] for c in found for k in range(0, len(c), CHUNK)]
+    return found
+
+
 def features(texts: list[str | None]) -> np.ndarray:
     """One row per whole text; a null or empty text gives zeros but for the last column, which is 1."""
     out = np.zeros((len(texts), SHAPES + DENSE), dtype=np.float32)
     for row, text in zip(out, texts):
-        chunks = text.split() if text else []
+        chunks = chunked(text)
         n = len(chunks)
         if not n:
             row[-1] = 1
@@ -191,24 +200,30 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns to keep and __quality (0 to 1) of each row's whole text.
+def score(docs: DataFrame, model: Model | None, keep: list[str], name: str) -> DataFrame:
+    """The columns to keep and, under a name that is none of them, the score (0 to 1) of each row's whole text.
 
     A null or empty text is scored like any other; without a model each score is 0.5.
     """
     if model is None:
-        return docs.select(*keep, F.lit(0.5).alias("__quality"))
+        return docs.select(*keep, F.lit(0.5).alias(name))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 50 KB
 
     def run(batches):
         for b in batches:
-            yield {c: b.column(c) for c in keep} | {"__quality": shared.value.score(b.column("text").to_pylist())}
+            yield {c: b.column(c) for c in keep} | {name: shared.value.score(b.column("text").to_pylist())}
 
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{ddl}, __quality double")
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{ddl}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs (doc_id, text; others are ignored)."""
-    out = score(docs, train(docs, labels), ["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__quality").alias("score"), (F.col("__quality") >= REJECT).cast("int").alias("predicted"))
+    """doc_id, held_out, score, predicted for each row of docs (doc_id, text; others are ignored).
+
+    The features are rates and counts over the whole text, of any length and any number of chunks. Rows
+    that repeat a text tie in score; a score of REJECT itself is predicted 1. A null or empty text is
+    scored by its being empty. Without a trusted positive and unlabelled rows each score is 0.5; an empty
+    table gives no rows.
+    """
+    out = score(docs.select("doc_id", "text"), train(docs, labels), ["doc_id"], "score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
