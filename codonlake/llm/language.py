@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_batches
 
 #: Bytes of a window; filters of each width; bytes that filters span.
 WINDOW, FILTERS, WIDTHS = 128, 16, (2, 3, 4)
-#: The network is fitted on about so many texts of each language, and so many windows of each at most.
+#: The sample that the network is fitted on: so many texts of each language at most, and so many windows of each,
+#: the ones of least hash among all windows of the whole text.
 TEXTS, WINDOWS = 1500, 6
 #: Windows that go through the network at once.
 CHUNK = 4096
@@ -141,15 +144,19 @@ def held_out(doc_id):
 def train(docs: DataFrame) -> Network | None:
     """A network from text and non-null lang of the training folds; None where there is none.
 
-    About TEXTS texts of each language, chosen by a hash of doc_id and text length, give up to WINDOWS windows each.
+    At most TEXTS texts of each language, those with the least hashes of doc_id and text, give up to WINDOWS
+    windows each, whatever repeats. Hashes above a share that leaves twice as many are not sorted.
     """
     own = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     counts = own.groupBy("lang").count().collect()
     if not counts:
         return None
     spark = docs.sparkSession
-    share = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, TEXTS / r["count"])) for r in counts], "lang string, share double"))
-    drawn = own.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    share = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, 2 * (TEXTS + 20) / r["count"])) for r in counts], "lang string, share double"))
+    hashed = own.withColumn("h", F.xxhash64("doc_id", "text")).join(share, "lang")
+    near = hashed.where(F.pmod(F.col("h"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 40)), "h"))
+    drawn = near.withColumn("rank", rank).where(F.col("rank") <= TEXTS)
 
     def run(batches):
         for b in batches:
@@ -157,7 +164,8 @@ def train(docs: DataFrame) -> Network | None:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 if text and _letter(text):
                     x = windows(text)
-                    x = x[np.unique(np.linspace(0, len(x) - 1, WINDOWS).astype(int))]
+                    if len(x) > WINDOWS:
+                        x = x[np.argsort([zlib.crc32(w) for w in x], kind="stable")[:WINDOWS]]
                     out["lang"].append(lang)
                     out["x"].append(x.tobytes())
             yield out
@@ -172,26 +180,31 @@ def train(docs: DataFrame) -> Network | None:
     return fit(x, y, langs, epochs=int(np.clip(150_000 // max(1, len(x)), 5, 40)))
 
 
-def identify(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
-    """The columns to keep, __lang and __score of each row's whole text.
+def identify(docs: DataFrame, net: Network | None, keep: list[str], lang: str, score: str) -> DataFrame:
+    """The columns to keep and, under two names that are none of them, language and score of each row's whole text.
 
     `und` with score 0 where text is null or has no letter, and everywhere without a network.
     """
     if net is None:
-        return docs.select(*keep, F.lit(UNKNOWN).alias("__lang"), F.lit(0.0).alias("__score"))
+        return docs.select(*keep, F.lit(UNKNOWN).alias(lang), F.lit(0.0).alias(score))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 100 KB
 
     def run(batches):
         compiled = shared.value.compiled()
         for b in batches:
-            langs, score = predict(shared.value, compiled, b.column("text").to_pylist())
-            yield {c: b.column(c) for c in keep} | {"__lang": langs, "__score": score}
+            found, p = predict(shared.value, compiled, b.column("text").to_pylist())
+            yield {c: b.column(c) for c in keep} | {lang: found, score: p}
 
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{ddl}, __lang string, __score double")
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{ddl}, `{lang}` string, `{score}` double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang; others are ignored)."""
-    out = identify(docs, train(docs), ["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang; others are ignored).
+
+    All windows of a text count, whatever its length. Rows that repeat a text get the same; of languages
+    that tie the first by name is taken. A null text, or one without a letter, is `und` with score 0, and
+    so is each without a learned language; an empty table gives no rows.
+    """
+    out = identify(docs.select("doc_id", "text"), train(docs), ["doc_id"], "lang_pred", "score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
