@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-#: A group of equal texts stays whole up to this share of a shard in bytes and in rows; a larger one goes out in pieces of at most that.
-PIECE = 1 / 64
+#: A group of equal texts above this share of a shard, in bytes or in rows, is packed as an item of its own.
+LARGE = 1 / 64
+#: Bytes that hold one token at least.
+TOKEN_BYTES = 16
 #: Small groups are packed in lots; there are so many lots at least, and one for each LOT_ROWS rows, at most MOST_LOTS.
 LOTS, LOT_ROWS, MOST_LOTS = 4096, 1_000_000, 1 << 18
 
@@ -61,20 +63,21 @@ def vector_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, n_tokens, text_crc32, law, shard, slot, grown_shard for each row of docs (doc_id, text; others are ignored).
 
     The law is `bytes`: the shards' sizes (UTF-8 bytes of the text plus 1) are near equal, and tokens
-    (runs of non-space characters) and rows as near as that allows. Equal texts are a group and share a
-    shard, unless the group has over PIECE of a shard's bytes or rows: then its pieces are packed one by
-    one. What the driver packs has a fixed bound: the large groups (at most 2 * shards / PIECE, in pieces)
+    (runs of non-space characters; a token for every TOKEN_BYTES bytes where that is more, as in texts
+    without spaces) and rows as near as that allows. Equal texts are a group and share a shard, however
+    large; only a group that is larger than a whole shard, in bytes or in rows, is dealt to as few even
+    parts as fit. What the driver packs has a fixed bound: the large groups (at most 2 * shards / LARGE)
     and lots of small groups by text hash.
 
     A null text counts as empty (size 1, crc 0); a null doc_id is a value like any other; repeated rows
-    each get a slot; an empty table gives no rows.
+    each get a slot, in the order of doc_id; a text of any length is one item; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = written(
         docs.select(
             "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n_tokens"),
+            F.greatest(F.regexp_count(text, F.lit(r"\S+")), F.floor(F.octet_length(text) / TOKEN_BYTES)).cast("long").alias("n_tokens"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("grp"),
             F.monotonically_increasing_id().alias("rid"),
@@ -85,9 +88,9 @@ def vector_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     total = base.agg(*sums).first()
     if not total["n"]:
         return base.select("doc_id", "size", "n_tokens", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    most_bytes, most_rows = max(1, total["size"] * PIECE / shards), max(1, total["n"] * PIECE / shards)
-    large = base.groupBy("grp").agg(*sums).where((F.col("size") > most_bytes) | (F.col("n") > most_rows))
-    cuts = [(r["grp"], int(np.ceil(max(r["size"] / most_bytes, r["n"] / most_rows)))) for r in large.collect()]
+    shard_bytes, shard_rows = max(1, total["size"] / shards), max(1, total["n"] / shards)
+    large = base.groupBy("grp").agg(*sums).where((F.col("size") > shard_bytes * LARGE) | (F.col("n") > shard_rows * LARGE))
+    cuts = [(r["grp"], int(np.ceil(max(r["size"] / shard_bytes, r["n"] / shard_rows)))) for r in large.collect()]
     lots = int(min(MOST_LOTS, max(LOTS, total["n"] // LOT_ROWS)))
     firsts = np.cumsum([lots, *(n for _, n in cuts)])
     spark = docs.sparkSession
