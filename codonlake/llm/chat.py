@@ -45,15 +45,18 @@ def perspectives(conversations: DataFrame, part_turns: int = PART_TURNS, piece_m
     messages is cut into pieces, ranges of the order of turn, role and text. Rows that repeat conv_id, turn,
     role and text are one message.
 
+    `<|` in texts and roles becomes `< |`, so that no message can forge a turn, a mark or a mask.
+
     A null text is empty, a null role is the participant `unknown`, a null turn is part -1, a null conv_id
-    is a dialogue of its own. A dialogue without participants, or an empty table, gives no rows.
+    is a dialogue of its own. A text of any length is one message. A dialogue without participants, or an
+    empty table, gives no rows.
     """
     m = conversations.select(
         "conv_id",
         F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long").alias("part"),
         "turn",
-        F.coalesce("role", F.lit("unknown")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.replace(F.coalesce("role", F.lit("unknown")), F.lit("<|"), F.lit("< |")).alias("role"),
+        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     ).distinct()
     m = m.join(_ranges(m, piece_messages), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
     after = F.filter("cuts", lambda x: x <= F.struct("turn", "role", "text"))
@@ -91,7 +94,8 @@ def spans_text(spans):
 
 SQL = """
 WITH m AS (
-  SELECT DISTINCT conv_id, coalesce(turn // 256, -1) AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  SELECT DISTINCT conv_id, coalesce(turn // 256, -1) AS part, turn,
+    replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations
 ), speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'
 ), shown AS (
