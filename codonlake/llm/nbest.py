@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
-from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import fresh, map_batches
 
 SPACE = "▁"
 #: Code points of text after which what is found is handed on; it bounds memory only.
@@ -24,8 +24,8 @@ NEVER = -1e8
 class Lattice:
     """Segmentations of texts into the pieces of a SentencePiece model, by the sum of the pieces' scores."""
 
-    #: Segments whose segmentations are kept at once; then the older half goes. It bounds memory only.
-    KEEP = 150_000
+    #: Segments whose segmentations are kept at once, and the longest that are kept. They bound memory only.
+    KEEP, LONGEST_KEPT = 250_000, 64
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -39,51 +39,51 @@ class Lattice:
         self.longest = max(map(len, self.pieces))
         #: Each beginning of a piece with the piece's score and ids, or None where it is no piece itself.
         self.starts = dict.fromkeys(n[:k] for n in self.pieces for k in range(1, len(n) + 1)) | {n: (w, (i,)) for n, (i, w) in self.pieces.items()}
-        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
+        raw = [bytes([self.byte_of[i]]) if i in self.byte_of else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
+        self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.raw_len = np.array([len(x) for x in raw], dtype=np.int64)
+        self.raw_at = np.cumsum(self.raw_len) - self.raw_len
         self.floor = min(s for _, s in self.pieces.values() if s > NEVER) - BYTE_PENALTY
         # no piece goes on over a space after a letter, nor over a line's end: the lattice falls apart there
         assert not any(SPACE in n.lstrip(SPACE) or "\n" in n for n in self.pieces)
         self.segments = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
-        self.new: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
-        self.old: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+        self.forget()
 
-    def arcs(self, s: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
-        """For each end the pieces that end there (start, score, ids) and the Viterbi score."""
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(s) + 1)]
+    def forget(self) -> None:
+        """Empties what is kept: a number for each segment, its segmentations, ids of the best, and what the second loses."""
+        self.number: dict[str, int] = {}
+        self.options: list[list[tuple[float, tuple[int, ...]]]] = []
+        self.ids: list[bytes] = []
+        self.facts = np.zeros((1024, 3))  # best score, loss of the second, ids of the best
+
+    def forward(self, s: str) -> np.ndarray | list[float]:
+        """The Viterbi score of each place: the best of all segmentations of what stands before it."""
         starts, pieces, size = self.starts, self.pieces, len(s)
         best = [0.0] + [-math.inf] * size
         for i in range(size):
             b = best[i]
-            for j in range(i + 1, size + 1):
+            for j in range(i + 1, min(i + self.longest, size) + 1):
                 if (t := s[i:j]) not in starts:
                     break
-                if p := starts[t]:
-                    w, ids = p
-                    into[j].append((i, w, ids))
-                    if b + w > best[j]:
-                        best[j] = b + w
-            if s[i] not in pieces:
-                into[i + 1].append((i, self.floor, tuple(self.bytes[x] for x in s[i].encode("utf-8", "surrogatepass"))))
-                best[i + 1] = max(best[i + 1], b + self.floor)
-        return into, best
+                if (p := starts[t]) and b + p[0] > best[j]:
+                    best[j] = b + p[0]
+            if s[i] not in pieces and b + self.floor > best[i + 1]:
+                best[i + 1] = b + self.floor
+        return best
 
     def segment(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations, best first: forward Viterbi, then A* from the end.
 
         A hypothesis is the path from a place to the end; the Viterbi score of the place is exactly what
-        the rest can add, so complete paths leave the heap in the order of their scores. Of equal scores
-        the one found first by the order of the arcs leads.
+        the rest can add, so complete paths come out in the order of their scores. Hypotheses stand for
+        different segmentations, so those beyond as many as are still wanted can go. Of equal scores the
+        one found first leads: paths are tried longest piece first.
         """
-        if (found := self.new.get((s, n))) is not None:
-            return found
-        if (found := self.old.get((s, n))) is not None:
-            self.new[s, n] = found
-            return found
-        into, best = self.arcs(s)
+        best, starts, pieces = self.forward(s), self.starts, self.pieces
         heap: list = [(-best[len(s)], 0, len(s), 0.0, None)]
         out, serial = [], 0
         while heap and len(out) < n:
-            _, _, at, done, path = heapq.heappop(heap)
+            _, _, at, done, path = heap.pop(0)
             if not at:
                 ids: list[int] = []
                 while path:
@@ -91,15 +91,31 @@ class Lattice:
                     path = path[1]
                 out.append((done, tuple(ids)))
                 continue
-            for i, w, ids in into[at]:
+            for i in range(max(0, at - self.longest), at):
+                if p := starts.get(s[i:at]):
+                    serial += 1
+                    heap.append((-(best[i] + p[0] + done), serial, i, p[0] + done, (p[1], path)))
+            if s[at - 1] not in pieces:
                 serial += 1
-                heapq.heappush(heap, (-(best[i] + w + done), serial, i, w + done, (ids, path)))
-        if len(self.new) > self.KEEP:
-            self.old, self.new = self.new, {}
-        self.new[s, n] = out
+                code = tuple(self.bytes[x] for x in s[at - 1].encode("utf-8", "surrogatepass"))
+                heap.append((-(best[at - 1] + self.floor + done), serial, at - 1, self.floor + done, (code, path)))
+            heap.sort()
+            del heap[n - len(out) :]
         return out
 
-    def encode(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
+    def learn(self, s: str, n: int) -> int:
+        """Keeps the n best segmentations of a segment; its number."""
+        found = self.segment(s, n)
+        k = len(self.options)
+        if k == len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        self.options.append(found)
+        self.ids.append(np.array(found[0][1], dtype=np.int32).tobytes())
+        self.facts[k] = found[0][0], found[0][0] - found[1][0] if len(found) > 1 else math.inf, len(found[0][1])
+        self.number[s] = k
+        return k
+
+    def segmentations(self, text: str | None, n: int) -> list[tuple[float, np.ndarray]]:
         """The n best (score, ids) of a whole text; fewer if it has fewer segmentations, none if it is null or empty.
 
         The text gets a space before it, spaces are ▁. The lattice is a chain of segments, so the n best
@@ -108,26 +124,45 @@ class Lattice:
         """
         if not text:
             return []
+        if len(self.options) > self.KEEP or self.kept_for != n:
+            self.forget()
+            self.kept_for = n
+        number = self.number
         parts = self.segments((" " + text).replace(" ", SPACE))
-        options = [self.segment(s, n) for s in parts]
-        total = sum(o[0][0] for o in options)
-        loose = sorted((i for i, o in enumerate(options) if len(o) > 1), key=lambda i: (options[i][0][0] - options[i][1][0], i))[: n - 1]
+        own = [k if (k := number.get(s)) is not None else self.learn(s, n) for s in parts]
+        score, loss, size = self.facts[own].T
+        total, ends = score.sum(), size.astype(np.int64).cumsum()
+        best = np.frombuffer(b"".join(map(self.ids.__getitem__, own)), dtype=np.int32)
+        near = np.argsort(loss, kind="stable")[: n - 1]
         combos: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for i in loose:
-            combos = sorted(((loss + options[i][0][0] - o[0], (*chosen, (i, k)) if k else chosen) for loss, chosen in combos for k, o in enumerate(options[i])), key=lambda c: c[0])[:n]
-        best = [x for o in options for x in o[0][1]]
-        ends = list(accumulate(len(o[0][1]) for o in options))
+        for i in near[np.isfinite(loss[near])].tolist():
+            options = self.options[own[i]]
+            combos = sorted(((lost + options[0][0] - o[0], (*chosen, (i, k)) if k else chosen) for lost, chosen in combos for k, o in enumerate(options)), key=lambda c: c[0])[:n]
         out = []
-        for loss, chosen in combos:
-            ids = best.copy()
-            for i, k in sorted(chosen, reverse=True):  # from the end, so that places before stay
-                ids[ends[i] - len(options[i][0][1]) : ends[i]] = options[i][k][1]
-            out.append((total - loss, ids))
+        for lost, chosen in combos:
+            pieces, at = [], 0
+            for i, k in sorted(chosen):
+                pieces += [best[at : ends[i] - int(size[i])], np.array(self.options[own[i]][k][1], dtype=np.int32)]
+                at = ends[i]
+            out.append((float(total - lost), np.concatenate([*pieces, best[at:]])))
+        for s in parts if max(map(len, parts)) > self.LONGEST_KEPT else ():
+            if len(s) > self.LONGEST_KEPT and (k := number.pop(s, None)) is not None:
+                self.options[k], self.ids[k] = [], b""
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    kept_for = 0
+
+    def encode(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
+        """The n best (score, ids) of a whole text, see segmentations."""
+        return [(score, ids.tolist()) for score, ids in self.segmentations(text, n)]
+
+    def decode(self, ids) -> str:
         """The text of ids: pieces with ▁ as space, bytes as UTF-8, without the space that encode puts first."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        ids = np.asarray(ids, dtype=np.int64)
+        size = self.raw_len[ids]
+        ends = size.cumsum()
+        at = np.repeat(self.raw_at[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        text = self.raw[at].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -143,28 +178,30 @@ def lattice(model_file: str) -> Lattice:
 def nbest(df: DataFrame, model_file: str, n: int = 3, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The columns to keep, rank (from 1), score, ids and decoded for each of the n best segmentations of each row's whole text.
 
-    A null or empty text gives no rows; repeated rows give theirs each; an empty table gives no rows.
-    decoded is the text of the ids again.
+    A null or empty text gives no rows; a text of any length is segmented whole; of segmentations that tie
+    in score the one found first has the lower rank; repeated rows give theirs each; an empty table gives
+    no rows. decoded is the text of the ids again. Where a column to keep has the name of one of the four,
+    the new one has `_` after its name.
     """
     keep = keep or [c for c in df.columns if c != text_col]
+    rank, scored, listed, shown, whole = fresh(df.select(*keep), "rank", "score", "ids", "decoded", "whole_text")
 
     def run(batches):
-        import pyarrow as pa
-
         for b in batches:
             lat = lattice(model_file)
-            rows, out, seen = [], {"rank": [], "score": [], "ids": [], "decoded": []}, 0
-            for i, text in enumerate(b.column("__text")):
+            rows, out, seen = [], [], 0
+            for i, text in enumerate(b.column(whole)):
                 text = text.as_py()
-                for rank, (score, ids) in enumerate(lat.encode(text, n), 1):
+                for k, (score, ids) in enumerate(lat.segmentations(text, n), 1):
                     rows.append(i)
-                    for k, v in zip(out, (rank, score, ids, lat.decode(ids))):
-                        out[k].append(v)
+                    out.append((k, score, ids, lat.decode(ids)))
                 seen += len(text or "")
                 if seen > HAND_ON or i == b.num_rows - 1:
                     at = pa.array(rows, type=pa.int64())
-                    yield {c: b.column(c).take(at) for c in keep} | out
-                    rows, out, seen = [], {k: [] for k in out}, 0
+                    ends = np.cumsum([0, *(len(x[2]) for x in out)], dtype=np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *(x[2] for x in out)])))
+                    yield {c: b.column(c).take(at) for c in keep} | {rank: [x[0] for x in out], scored: [x[1] for x in out], listed: ids, shown: [x[3] for x in out]}
+                    rows, out, seen = [], [], 0
 
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(df.select(*keep, F.col(text_col).alias("__text")), run, f"{ddl}, rank int, score double, ids array<int>, decoded string")
+    return map_batches(df.select(*keep, F.col(text_col).alias(whole)), run, f"{ddl}, `{rank}` int, `{scored}` double, `{listed}` array<int>, `{shown}` string")
