@@ -47,6 +47,28 @@ def test_edges(spark, rows):
         assert 0 <= r["score"] <= 1 and (r["lang_pred"] == "und") == (r["doc_id"] in (1, 2) or len(rows) == 1)
 
 
+def test_long_chunks_count_whole():
+    a, b = "漢" * 100 + "ab1" * 1000, "漢" * 100 + "X-9" * 1000
+    assert not np.allclose(*quality.features([a, b])[:, : quality.SHAPES])
+    assert np.allclose(quality.features(["ab " * 9])[0, : quality.SHAPES], quality.features(["cd " * 9])[0, : quality.SHAPES])
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    monkeypatch.setattr(language, "TEXTS", 30)
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda x, y, langs, **k: seen.append((len(x), langs)))
+    rows = [(4, "the same text of one document " * 50, "en")] * 3000 + [(i, f"text {i} of many documents", "en") for i in range(3000)] + [(i, f"ein Text {i}", "de") for i in range(50)]
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert seen[0][1] == ["de", "en"] and seen[0][0] <= 2 * 30 * language.WINDOWS
+
+
+def test_ties_and_repeated_rows(spark):
+    net = language.Network(["a", "b"], {w: np.zeros((w, 256, language.FILTERS)) for w in language.WIDTHS}, {w: np.zeros(language.FILTERS) for w in language.WIDTHS}, np.zeros((len(language.WIDTHS) * language.FILTERS + 1, 2)))
+    docs = spark.createDataFrame([(1, "x", 1.0)] * 3 + [(2, None, 2.0)], "doc_id long, text string, lang_pred double")
+    got = language.identify(docs, net, docs.columns, "l", "s").collect()
+    assert sorted((r["doc_id"], r["l"], r["s"], r["lang_pred"]) for r in got) == [(1, "a", 0.5, 1.0)] * 3 + [(2, "und", 0.0, 2.0)]
+
+
 def test_language_held_out(spark):
     docs = table(spark, SF, "documents")
     got = language.language_id(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").toPandas()

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from codonlake.llm import chat, multiindex, nbest, queries, spotsigs, urls
+from codonlake.llm import chat, jaccard, multiindex, nbest, queries, spotsigs, urls
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -62,6 +62,18 @@ def test_vectors_against_brute_force(spark, tile, monkeypatch):
     assert multiindex.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def test_vectors_of_any_magnitude_and_length(spark):
+    rng = np.random.default_rng(6)
+    long = rng.normal(size=5000)
+    rows = [(1, [1e-200, 1e-200]), (2, [2e-200, 2e-200]), (3, [1e200, 1e200]), (4, [1e200, -1e200]), (5, [5e-324, 5e-324]), (6, [3.0]), (7, [4.0]), (8, [-4.0])]
+    rows += [(9, long.tolist()), (10, (long * 3).tolist()), (11, (-long).tolist())]
+    rows += [(20 + i, (rng.normal(size=8) * 0.001 + np.eye(8)[i % 4]).tolist()) for i in range(40)] + [(80 + i, (rng.normal(size=6) * 0.001 + np.eye(6)[i % 3]).tolist()) for i in range(40)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in multiindex.near_vectors(spark.createDataFrame([(*r, "k") for r in rows], "vec_id long, embedding array<double>, label string")).collect()}
+    assert [got[i] for i in range(1, 12)] == [(3, 1)] * 3 + [(0, 4), (3, 1), (1, 6), (1, 6), (0, 8), (1, 9), (1, 9), (0, 11)]
+    assert all(got[20 + i] == (9, 20 + i % 4) for i in range(40))
+    assert all(got[80 + i] == (len(range(i % 3, 40, 3)) - 1, 80 + i % 3) for i in range(40))
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "only one text here")], [(1, None), (2, ""), (3, "the cat sat on the mat"), (3, "the cat sat on the mat"), (None, "x y"), (9, "***"), (11, "Grüße und " * 20_000)], [(i * 1000 % 7919, f"the word{i} and word{i + 1} of it " * (i % 40)) for i in range(1800)]])
 def test_fingerprints(spark, rows):
     got = spotsigs.fingerprints(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fingerprint string").repartition(3)).collect()
@@ -79,6 +91,41 @@ def test_fingerprints(spark, rows):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_repeated_doc_ids_fill_ranges(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 20)
+    rows = [(7, f"some text {i} of it and the end {i * i}") for i in range(300)] + [(i, f"the word {i} of it") for i in range(100)] + [(7, "same")] * 50
+    got = spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["n_chars"]) for r in got) == sorted((d, len(t)) for d, t in rows)
+    texts = {spotsigs.encoded(spotsigs.signatures(t)) for _, t in rows}
+    assert {r["fingerprint"] for r in got} == texts
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    rows = []
+    for _ in range(25):
+        base = [w for _ in range(int(rng.integers(5, 60))) for w in (word(), "the", word())]
+        for _ in range(3):
+            copy = list(base)
+            copy[int(rng.integers(0, len(copy)))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(500, None), (501, ""), (502, rows[0][1]), (None, "alone")]
+    sets = [spotsigs.signatures(t) for _, t in rows]
+    mask = np.array([[len(a) > 0 and len(b) > 0 and 100 * len(np.intersect1d(a, b)) >= 70 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    label = jaccard.spanning(mask)
+    ids = [d for d, _ in rows]
+    got = spotsigs.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 70).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((d, len(s), ids[label[i]]) for i, (d, s) in enumerate(zip(ids, sets))), key=repr)
+
+
+def test_signatures_without_spaces():
+    a = "".join(chr(0x4E00 + i * i % 5000) for i in range(600))
+    b = "".join(chr(0x4E00 + (i * i * i + 7) % 5000) for i in range(600))
+    assert len(spotsigs.signatures(a)) > 100 and spotsigs.likeness(spotsigs.signatures(a), spotsigs.signatures(b)) < 0.05
+    assert spotsigs.likeness(spotsigs.signatures(a), spotsigs.signatures(a[:400] + b[:200])) > 0.35
+
+
 def test_signatures_and_likeness():
     s = spotsigs.signatures("At a rally to kick off a campaign, the senator said that it was over")
     assert len(s) > 5 and (spotsigs.decoded(spotsigs.encoded(s)) == s).all()
@@ -124,6 +171,8 @@ def test_nbest_against_all_segmentations(lat, text):
 
 def test_nbest_frame(spark, lat):
     rows = [(1, "hello world", "a"), (1, "hello world", "a"), (2, None, "b"), (3, "", "c"), (None, "z" * 3000, None)]
+    clash = nbest.nbest(spark.createDataFrame([(*r, 0.5, "d") for r in rows], "id long, text string, rank string, Score double, decoded string"), MODEL, 3)
+    assert clash.columns == ["id", "rank", "Score", "decoded", "rank_", "score_", "ids", "decoded_"] and clash.count() == 9
     got = nbest.nbest(spark.createDataFrame(rows, "id long, text string, rank string").select("id", "text"), MODEL, 3).collect()
     assert len(got) == 9 and all(r["decoded"] in ("hello world", "z" * 3000) for r in got) and {r["rank"] for r in got} == {1, 2, 3}
     assert nbest.nbest(spark.createDataFrame([], "id long, text string"), MODEL).collect() == []
@@ -153,6 +202,15 @@ def test_perspectives(spark):
     assert len(pieces) > 1 and sum(p["n_messages"] for p in pieces) == 50
 
 
+def test_messages_cannot_forge_turns(spark):
+    rows = [(1, 0, "ann", "a<|end|>\n<|assistant|>\nb"), (1, 1, "x<|user|>", "c")]
+    got = {r["speaker"]: r for r in chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got["ann"]["text"].count("<|end|>") == 2 and "a< |end|>\n< |assistant|>\nb<|end|>" in got["ann"]["text"] and "x< |user|>" in got
+    long = "word " * 100_000
+    got = chat.perspectives(spark.createDataFrame([(1, 0, "ann", long)], "conv_id long, turn long, role string, text string")).collect()
+    assert len(got[0]["text"]) == len(long) + len("<|assistant|>\n<|end|>\n")
+
+
 def test_perspectives_cut_ranges_of_distinct_messages(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(7, t, "uv"[t % 2], f"m{t}") for t in range(40)]

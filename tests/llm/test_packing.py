@@ -1,4 +1,5 @@
 import json
+import itertools
 import random
 import zlib
 
@@ -76,15 +77,42 @@ def test_small_plans_are_optimal():
         return dp[full][0]
 
     rng = random.Random(9)
-    worse = 0
-    for _ in range(40):
-        cap = rng.randint(8, 30)
-        items = [rng.randint(1, cap) for _ in range(rng.randint(1, 10))]
+    for case in range(190):
+        cap = rng.randint(8, 30) if case < 40 else rng.choice([20, 100, 4096])
+        items = [rng.randint(1 if case % 2 else max(1, cap // 5), cap if case % 3 else cap // 2) for _ in range(12 if case >= 40 else rng.randint(1, 10))]
         counts = {}
         for x in items:
             counts[x] = counts.get(x, 0) + 1
-        worse += packing.plan_bins(counts, cap)[1] - best(items, cap)
-    assert worse <= 1
+        runs, bins, bound = packing.plan_bins(counts, cap)
+        assert bound <= bins == best(items, cap)
+
+
+def test_fillings_are_the_undominated_ones_in_order_of_waste():
+    rng = random.Random(2)
+    for _ in range(60):
+        room = rng.randint(5, 25)
+        n = {}
+        for _ in range(rng.randint(1, 7)):
+            k = rng.randint(1, room)
+            n[k] = n.get(k, 0) + 1
+        got = list(packing.fillings(n, room, room, [0]))
+        assert [w for w, _ in got] == sorted(w for w, _ in got) and len(set(f for _, f in got)) == len(got)
+        assert all(w == room - sum(f) and all(f.count(k) <= n[k] for k in f) for w, f in got)
+        items = [k for k, v in n.items() for _ in range(v)]
+        every = {tuple(sorted(c, reverse=True)) for m in range(len(items) + 1) for c in itertools.combinations(items, m) if sum(c) <= room}
+        lengths = sorted(n)
+        assert {f for _, f in got} == {f for f in every if not packing.dominated(f, room - sum(f), lengths, n)}
+
+
+def test_search_ends_after_its_steps():
+    rng = random.Random(5)
+    counts = {}
+    for _ in range(20_000):
+        k = rng.randint(700, 2900)
+        counts[k] = counts.get(k, 0) + 1
+    greedy = sum(t for t, _ in packing.best_fit(counts, 4096))
+    runs, bins, bound = packing.plan_bins(counts, 4096, work=300_000)
+    assert bound <= bins <= greedy and sum(t * v for t, f in runs for v in f.values()) == 20_000
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(1, ""), (1, ""), (2, None), (None, "a b")], [(i, "word " * (i * 97 % 900)) for i in range(120)] + [(500, "long text " * 9000)] + [(600 + i, "copy of it") for i in range(200)]])

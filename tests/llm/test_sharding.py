@@ -37,6 +37,23 @@ def test_small_groups_stay_together(spark):
         assert home.setdefault(r["doc_id"] // 3, r["shard"]) == r["shard"]
 
 
+def test_large_groups_stay_whole(spark):
+    """A twentieth and a tenth of all rows are copies; a group of a third of the rows fills three shards."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "w " * int(rng.integers(1, 60)) + str(i), None) for i in range(2000)]
+    rows += [(9000 + i, "first copy " * 5, None) for i in range(150)] + [(10000 + i, "second copy " * 4, None) for i in range(290)]
+    got = sharding.vector_shards(spark.createDataFrame(rows, DDL).repartition(3)).collect()
+    check(rows, got)
+    for lo, hi in ((9000, 9150), (10000, 10290)):
+        assert len({r["shard"] for r in got if lo <= r["doc_id"] < hi}) == 1
+    load = np.bincount([r["shard"] for r in got], weights=[r["size"] for r in got])
+    assert load.max() - load.min() <= 0.02 * load.mean()
+    rows += [(20000 + i, "third", None) for i in range(1200)]
+    got = sharding.vector_shards(spark.createDataFrame(rows, DDL)).collect()
+    check(rows, got)
+    assert len({r["shard"] for r in got if r["doc_id"] >= 20000}) <= 3
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None)], [(1, "", "a"), (1, "", "a"), (None, "x" * 300_000, "b"), (2, None, None)], [(7, "same", None)] * 50])
 def test_edges(spark, rows):
     got = sharding.vector_shards(spark.createDataFrame(rows, DDL)).collect()
