@@ -21,7 +21,7 @@ END = 1
 #: Pieces of one length are ranked in parts of about so many.
 PART_ROWS = 2000
 #: Steps of the branch and bound; states that it remembers; pieces of a filling whose subsets are all tried for dominance.
-WORK, MOST_MET, SUBSETS = 3_000_000, 200_000, 10
+WORK, MOST_MET, SUBSETS = 1_000_000, 200_000, 10
 
 
 def reachable(lengths: list[int], n: dict[int, int], room: int) -> list[int]:
