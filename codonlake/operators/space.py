@@ -142,11 +142,11 @@ class _Space:
     def sample(self, n: int | None = None):
         counted = self.counted
         if not counted.total:
-            raise ValueError("Cannot sample from an empty coding space.")
+            raise ValueError("The space is empty: nothing can be drawn.")
         if n is None:
             return counted.draw(self._rng)
         if n < 0:
-            raise ValueError("n must be non-negative.")
+            raise ValueError("The number of draws cannot be below 0.")
         return [counted.draw(self._rng) for _ in range(n)]
 
     def seed(self, seed) -> None:

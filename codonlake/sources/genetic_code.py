@@ -44,7 +44,7 @@ NCBI_CODES = {
 def ncbi_code(table_id: int) -> dict[str, str]:
     """codon -> amino acid of an NCBI code, `*` for stops (also for codons that stop only in some places)."""
     if isinstance(table_id, bool) or table_id not in NCBI_CODES:
-        raise ValueError(f"Unknown NCBI translation table ID: {table_id}.")
+        raise ValueError(f"There is no NCBI genetic code {table_id}.")
     code = {a + b + c: STANDARD[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
     code.update((change[:3], change[3]) for change in NCBI_CODES[table_id][1].split())
     return code
