@@ -5,7 +5,9 @@ import re
 
 import pytest
 
-from codonlake import CodingSpace, CodonWeights, DirectRepeats, ForbiddenMotifs, GC3Content, GCContent, Hairpins, InvertedRepeats, MaxHomopolymer, MutationDistance, RestrictionSite, TandemRepeats, TranslationTable
+from codonlake import CodingSpace, CodonWeights, DirectRepeats, ForbiddenMotifs, ForbiddenPaths, GC3Content, GCContent, Hairpins, InvertedRepeats, MaxHomopolymer, MutationDistance, RestrictionSite, TandemRepeats, TranslationTable
+from codonlake.operators.rules import from_spec as rule_of
+from codonlake.operators.rules import to_spec as spec_of
 from codonlake.operators.space import MutationSpace, _Space
 
 TABLE = TranslationTable()
@@ -216,3 +218,46 @@ def test_info():
     for part in ("Translation table: 1 (Standard)", "Molecule type: DNA", "    2: ATT", "Left context (2 nt):", "    Maximum homopolymer length: 3", "    Direct repeats: 1 constraint", "Num. valid coding sequences: "):
         assert part in text
     assert "    nts: up to 2" in CodingSpace("MIKEY").mutants("ATGATTAAAGAATAT", max_nts=2).info()
+
+
+@pytest.mark.parametrize("trial", range(12))
+def test_forbidden_paths(trial):
+    rng = random.Random(trial)
+    aa = "".join(rng.choice("SLKMG") for _ in range(4))
+    free = list(CodingSpace(aa))
+    paths = []
+    for _ in range(rng.randint(1, 6)):
+        places = sorted(rng.sample(range(1, 5), rng.randint(1, 3)))
+        word = rng.choice(free)
+        paths.append([(p, word[3 * p - 3 : 3 * p]) for p in places])
+    want = [c for c in free if not any(all(c[3 * p - 3 : 3 * p] == x for p, x in path) for path in paths)]
+    space = CodingSpace(aa, constraints=[ForbiddenPaths(paths)])
+    assert list(space) == want and space.count() == len(want)
+    assert list(CodingSpace(aa, constraints=[ForbiddenPaths([[(2, "ZZZ")], [(9, "AAA")]])])) == free
+    assert rule_of(spec_of(ForbiddenPaths(paths))) == ForbiddenPaths(paths)
+
+
+def test_forbidden_paths_found_for_a_layout():
+    class NoPairs(ForbiddenPaths):
+        """No codon twice in a row."""
+
+        def paths(self, layout):
+            return [((k, c), (k + 1, c)) for k in range(1, len(layout.codons)) for c in layout.choices[k] if c in layout.choices[k + 1]]
+
+    free = list(CodingSpace("LLSS"))
+    assert list(CodingSpace("LLSS", constraints=[NoPairs()])) == [c for c in free if c[:3] != c[3:6] and c[6:9] != c[9:]]
+
+
+REPEATED = "VPGVGVPGAGVPGVGVPGVGIPGVGVPGVG"
+
+
+@pytest.mark.parametrize(("rule", "other"), [(DirectRepeats(9, 0, 24), lambda t: repeat(t, 9, 0, 24, False)), (InvertedRepeats(6, 3, 24), lambda t: repeat(t, 6, 3, 24, True)), (Hairpins(5, 3, 20), lambda t: repeat(t, 5, 3, 20, True))])
+def test_repeats_in_a_repetitive_protein(rule, other):
+    """Draws from the space hold, and draws from the free space are members exactly if they hold."""
+    aa = REPEATED[:13]
+    space, free = CodingSpace(aa, constraints=[rule], seed=3), CodingSpace(aa, seed=4)
+    drawn = free.sample(1500)
+    inside = [c for c in drawn if not other(c)]
+    assert all(not other(c) for c in space.sample(200)) and all(space.contains(c) == (not other(c)) for c in drawn)
+    share = space.count() / free.count()
+    assert abs(share - len(inside) / len(drawn)) < 5 * math.sqrt(max(share * (1 - share), 1e-3) / len(drawn))
