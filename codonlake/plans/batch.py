@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 import random
 import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,22 +34,37 @@ def degeneracy(aa: Column | str, table: TranslationTable | None = None) -> Colum
     return F.transform(F.split(c, ""), lambda a: F.try_element_at(n, a))
 
 
+def _choices(c: Column, table: TranslationTable) -> dict[int, Column]:
+    """How many residues have so many codons, for each such number: one pass over the text for each."""
+    by: dict[int, str] = {}
+    for residue, codons in table.aa_to_codons.items():
+        by[len(codons)] = by.get(len(codons), "") + residue
+    return {n: F.length(c) - F.length(F.translate(c, residues, "")) for n, residues in by.items()}
+
+
 def log10_count(aa: Column | str, table: TranslationTable | None = None) -> Column:
     """log10 of the number of coding sequences of a protein without rules; null where a residue has no codon."""
-    table = table or TranslationTable()
     c = F.col(aa) if isinstance(aa, str) else aa
     out, known = F.lit(0.0), F.lit(0)
-    for residue, codons in table.aa_to_codons.items():
-        n = F.length(c) - F.length(F.replace(c, F.lit(residue), F.lit("")))
-        out, known = out + n * F.lit(math.log10(len(codons))), known + n
+    for n, many in _choices(c, table or TranslationTable()).items():
+        out, known = out + many * F.lit(math.log10(n)), known + many
     return F.when(known == F.length(c), out)
 
 
 def exact_count(aa: Column | str, table: TranslationTable | None = None) -> Column:
-    """The number of coding sequences as DECIMAL(38, 0); null beyond 10^37 or where a residue has no codon."""
-    one = F.lit(1).cast("decimal(38,0)")
-    product = F.aggregate(degeneracy(aa, table), one, lambda acc, n: (acc * n.cast("decimal(1,0)")).cast("decimal(38,0)"))
-    return F.when(log10_count(aa, table) < 37, product)
+    """The number of coding sequences as DECIMAL(38, 0); null beyond 10^37 or where a residue has no codon.
+
+    A product of powers, each in parts that a double and a long hold exactly.
+    """
+    table = table or TranslationTable()
+    c = F.col(aa) if isinstance(aa, str) else aa
+    out = F.lit(1).cast("decimal(38,0)")
+    for n, many in _choices(c, table).items():
+        most = int(52 / math.log2(n)) if n > 1 else 0
+        for k in range(math.ceil(37 / math.log10(n) / most) if n > 1 else 0):
+            part = F.pow(F.lit(float(n)), F.least(F.greatest(many - k * most, F.lit(0)), F.lit(most)))
+            out = (out * part.cast("long").cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.when(log10_count(c, table) < 37, out)
 
 
 def codon_positions(spaces: DataFrame, table: TranslationTable, aa: str = "aa_seq") -> DataFrame:
@@ -58,16 +74,30 @@ def codon_positions(spaces: DataFrame, table: TranslationTable, aa: str = "aa_se
     return rows.withColumn("pos", F.col("pos0") + 1).drop("pos0").join(F.broadcast(code), "aa")
 
 
-def enumerate_native(spaces: DataFrame, positions: int, table: TranslationTable | None = None, aa: str = "aa_seq", pins: dict[int, Sequence[str]] | None = None) -> DataFrame:
-    """All coding sequences of proteins of one small length: a chain of broadcast joins, no shuffle."""
+def enumerate_native(
+    spaces: DataFrame, positions: int, table: TranslationTable | None = None, aa: str = "aa_seq", pins: dict[int, Sequence[str]] | None = None,
+    near: tuple[str, int, int] | None = None, index: str | None = None,
+) -> DataFrame:
+    """All coding sequences of proteins of one small length: a chain of broadcast joins, no shuffle.
+
+    near (column of a reference, least, most) keeps those at that distance in nucleotides; each join drops
+    what is beyond it already. index names a column for the place of each sequence in the order of all
+    (as text), which follows from the places of its codons; it goes with neither pins nor near.
+    """
     table = table or TranslationTable()
-    code = table.frame(spaces.sparkSession)
-    out = spaces.withColumn("cds", F.lit(""))
+    rows = [(a, c, i, len(own)) for a, own in table.aa_to_codons.items() for i, c in enumerate(sorted(own))]
+    code = spaces.sparkSession.createDataFrame(rows, "__aa string, __codon string, __ord int, __of int")
+    out = spaces.withColumns({"cds": F.lit(""), "__off": F.lit(0), "__idx": F.lit(0)})
     for p in range(1, positions + 1):
-        own = code if not pins or p not in pins else code.where(F.col("codon").isin(*pins[p]))
-        own = own.select(F.col("aa").alias("__aa"), F.col("codon").alias("__codon"))
-        out = out.join(F.broadcast(own), F.substring(aa, p, 1) == F.col("__aa")).withColumn("cds", F.concat("cds", "__codon")).drop("__aa", "__codon")
-    return out
+        own = code if not pins or p not in pins else code.where(F.col("__codon").isin(*pins[p]))
+        out = out.join(F.broadcast(own), F.substring(aa, p, 1) == F.col("__aa")).withColumns({"cds": F.concat("cds", "__codon"), "__idx": F.col("__idx") * F.col("__of") + F.col("__ord")})
+        if near:
+            differ = sum((F.substring("__codon", k + 1, 1) != F.substring(near[0], 3 * p - 2 + k, 1)).cast("int") for k in range(3))
+            out = out.withColumn("__off", F.col("__off") + differ).where(F.col("__off") <= near[2])
+        out = out.drop("__aa", "__codon", "__ord", "__of")
+    if near:
+        out = out.where(F.col("__off") >= near[1])
+    return (out.withColumn(index, F.col("__idx")) if index else out).drop("__off", "__idx")
 
 
 def satisfies(cds: Column | str, rules: Sequence[R.Rule], context_l: str = "", context_r: str = "", rna: bool = False) -> Column:
@@ -85,7 +115,7 @@ def is_member(cds: Column | str, aa: Column | str, rules: Sequence[R.Rule] = (),
     table = table or TranslationTable()
     c = S.normalise(cds, table.rna)
     a = F.col(aa) if isinstance(aa, str) else aa
-    return F.coalesce((S.translate(c, table) == a) & satisfies(c, rules, context_l, context_r, table.rna), F.lit(False))
+    return F.coalesce(satisfies(c, rules, context_l, context_r, table.rna) & (S.translate(c, table) == a), F.lit(False))  # the cheap part first
 
 
 # --- the kernel over rows -------------------------------------------------------------------------
@@ -129,7 +159,9 @@ def from_json(column: str = "spec") -> Build:
     return lambda row: SpaceSpec.from_json(row[column])
 
 
+@lru_cache(32)
 def counted(spec: SpaceSpec) -> K.Counted:
+    """The counted graph of a space; a task that meets a space again has it still."""
     return K.count(spec.graph(), spec.logs(), dict(spec.pins))
 
 
@@ -187,17 +219,54 @@ def contains_spaces(candidates: DataFrame, build: Build, keep: Sequence[str], cd
 
 
 def edges(spaces: DataFrame, build: Build, keep: Sequence[str]) -> DataFrame:
-    """The counted graph as rows: pos, state, codon, next_state, n_desc (decimal string), log_mass. Written as Parquet it is the stored form of a compiled space."""
+    """The counted graph as rows: pos, state, ord, codon, next_state, n_desc (decimal string), log_weight, log_mass. Written as Parquet it is the stored form of a compiled space, see from_edges."""
 
     def fn(row):
         c = counted(build(row))
         for k, rows in enumerate(c.edges):
             for s, row_ in enumerate(rows):
                 if c.counts[k][s]:
-                    for codon, t in row_:
-                        yield {"pos": k + 1, "state": s, "codon": codon, "next_state": t, "n_desc": str(c.counts[k + 1][t]), "log_mass": c.logs[codon] + c.masses[k + 1][t]}
+                    for i, (codon, t) in enumerate(row_):
+                        yield {"pos": k + 1, "state": s, "ord": i, "codon": codon, "next_state": t, "n_desc": str(c.counts[k + 1][t]), "log_weight": c.logs[codon], "log_mass": c.logs[codon] + c.masses[k + 1][t]}
+
+    return _kernel(spaces, fn, keep, "pos int, state int, ord int, codon string, next_state int, n_desc string, log_weight double, log_mass double")
+
+
+def restored(rows: Iterable[dict]) -> K.Counted:
+    """The counted graph of the rows of one space that `edges` has made."""
+    rows = sorted(rows, key=lambda r: (r["pos"], r["state"], r["ord"]))
+    length = max((r["pos"] for r in rows), default=0)
+    most = [0] * (length + 1)
+    for r in rows:
+        most[r["pos"] - 1] = max(most[r["pos"] - 1], r["state"])
+        most[r["pos"]] = max(most[r["pos"]], r["next_state"])
+    graph: list[list[list[tuple[str, int]]]] = [[[] for _ in range(n + 1)] for n in most[:-1]]
+    counts = [[0] * (n + 1) for n in most]
+    masses = [[-math.inf] * (n + 1) for n in most]
+    logs = {r["codon"]: r["log_weight"] for r in rows}
+    for r in rows:
+        k, t, n = r["pos"], r["next_state"], int(r["n_desc"])
+        graph[k - 1][r["state"]].append((r["codon"], t))
+        counts[k][t] = n
+        masses[k][t] = r["log_mass"] - r["log_weight"] if r["log_weight"] > -math.inf else masses[k][t]
+    if rows:
+        counts[0][0] = sum(int(r["n_desc"]) for r in rows if r["pos"] == 1)
+    return K.Counted(graph, counts, masses, logs)
+
+
+def from_edges(stored: DataFrame, keys: Sequence[str], fn: Callable[[K.Counted], Iterable[dict]], schema: str) -> DataFrame:
+    """keys and what fn makes of each space's counted graph, from the rows of `edges` (with their keys) instead of its rules.
+
+    The rows of a space go to one task, as they came from one.
+    """
+    out = T.StructType([stored.schema[k] for k in keys] + list(T._parse_datatype_string(schema).fields))
+    arrow = to_arrow_schema(out)
+
+    def run(t: pa.Table) -> pa.Table:
+        own = {k: t.column(k)[0].as_py() for k in keys}
+        return pa.Table.from_pylist([own | x for x in fn(restored(t.to_pylist()))], schema=arrow)
 
-    return _kernel(spaces, fn, keep, "pos int, state int, codon string, next_state int, n_desc string, log_mass double")
+    return stored.groupBy(*keys).applyInArrow(run, out)
 
 
 # --- one large space ------------------------------------------------------------------------------
@@ -205,7 +274,7 @@ def edges(spaces: DataFrame, build: Build, keep: Sequence[str]) -> DataFrame:
 
 def _shared(spark: SparkSession, spec: SpaceSpec):
     c = counted(spec)
-    c._draws.clear()
+    c._wheels.clear()
     return c.total, spark.sparkContext.broadcast(c)  # the graph of one space; its states have a budget
 
 
@@ -213,7 +282,7 @@ def sample_frame(spark: SparkSession, spec: SpaceSpec, n: int, seed: int | str =
     """draw, cds: n sequences of one space, drawn in parallel; each row has its own generator."""
     total, c = _shared(spark, spec)
     if not total:
-        raise ValueError("Cannot sample from an empty coding space.")
+        raise ValueError("The space is empty: nothing can be drawn.")
     return _kernel(spark.range(n).withColumnRenamed("id", "draw"), lambda row: iter([{"cds": c.value.draw(random.Random(f"{seed}|{row['draw']}"))}]), ["draw"], "cds string")
 
 

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from codonlake import CodingSpace, MaxHomopolymer, SpaceSpec, TandemRepeats, catalogue
+from codonlake import CodingSpace, CodonWeights, ForbiddenPaths, MaxHomopolymer, SpaceSpec, TandemRepeats, catalogue
 from codonlake.functions import display as D
 from codonlake.functions import sequence as S
 from codonlake.plans import batch as B
@@ -74,6 +74,23 @@ def test_one_large_space(spark):
     assert sorted(draws) == sorted(B.sample_frame(spark, spec, 50, 3).collect())
 
 
+def test_stored_edges_are_read_again(spark, tmp_path):
+    rules = [MaxHomopolymer(3), ForbiddenPaths([[(1, "AAA"), (3, "CTG")]])]
+    df = spark.createDataFrame([(1, "KALMW"), (2, "MSSG"), (3, "WWMM")], "id int, aa_seq string")
+    B.edges(df, B.from_columns(rules, weights=CodonWeights.ecoli()), ["id"]).write.parquet(str(tmp_path / "edges"))
+
+    def fn(c):
+        rng = random.Random(5)
+        yield {"n": c.total, "last": c.at(c.total - 1), "rank": c.rank(c.at(c.total // 2)), "drawn": [c.draw(rng) for _ in range(20)]}
+
+    got = {r["id"]: r for r in B.from_edges(spark.read.parquet(str(tmp_path / "edges")), ["id"], fn, "n long, last string, rank long, drawn array<string>").collect()}
+    for r in df.collect():
+        space = CodingSpace(r["aa_seq"], constraints=rules, codon_weights=CodonWeights.ecoli(), seed=5)
+        n = space.count()
+        assert (got[r["id"]]["n"], got[r["id"]]["last"], got[r["id"]]["rank"]) == (n, space[n - 1], n // 2)
+        assert got[r["id"]]["drawn"] == space.sample(20)
+
+
 def test_specs_as_rows(spark):
     specs = [SpaceSpec.make("MIKEY"), SpaceSpec.make("SALLY", rules=[MaxHomopolymer(2)], context_l="AA")]
     df = spark.createDataFrame([(i, s.to_json()) for i, s in enumerate(specs)], "id int, spec string")
