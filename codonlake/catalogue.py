@@ -132,8 +132,7 @@ _add("count_unconstrained", lambda s, d: order_cds(s, d).select("o_orderkey", B.
 _add("log10_count", lambda s, d: proteins(s, d).select("doc_id", F.round(B.log10_count("aa_seq"), 4).alias("log10_valid"), F.length("aa_seq").alias("n_residues")), f"WITH {CODE}, {DEG}, x AS (SELECT doc_id, upper(regexp_replace(text, '[^{RESIDUES}{RESIDUES.lower()}]', '', 'g')) AS aa_seq FROM documents) SELECT doc_id, round(0.0 + " + " + ".join(f"(length(aa_seq) - length(replace(aa_seq, '{a}', ''))) * (SELECT log10(k) FROM deg WHERE aa = '{a}')" for a in RESIDUES) + ", 4) AS log10_valid, length(aa_seq)::INT AS n_residues FROM x")
 _add("codon_options", lambda s, d: B.codon_positions(peptides(s, d), _T).groupBy("p_partkey", "pos").agg(F.array_join(F.sort_array(F.collect_list("codon")), " ").alias("codons")), f"WITH {CODE}, {PEP} SELECT p_partkey, (i + 1)::INT AS pos, string_agg(codon, ' ' ORDER BY codon) AS codons FROM p, range({PEPTIDE}) t(i) JOIN code ON aa = substr(aa_seq, (i + 1)::INT, 1) GROUP BY p_partkey, i")
 _add("enumerate_small", lambda s, d: variants(s, d).select("p_partkey", "cds"), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, cds FROM e")
-_rank = lambda: F.row_number().over(Window.partitionBy("p_partkey").orderBy("cds")) - 1
-_add("slice_small", lambda s, d: variants(s, d).select("p_partkey", _rank().alias("idx"), "cds").where("idx BETWEEN 2 AND 6"), f"WITH {CODE}, {PEP}, {ENUM} SELECT * FROM (SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY cds) - 1)::INT AS idx, cds FROM e) WHERE idx BETWEEN 2 AND 6")
+_add("slice_small", lambda s, d: B.enumerate_native(peptides(s, d), PEPTIDE, index="idx").select("p_partkey", "idx", "cds").where("idx BETWEEN 2 AND 6"), f"WITH {CODE}, {PEP}, {ENUM} SELECT * FROM (SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY cds) - 1)::INT AS idx, cds FROM e) WHERE idx BETWEEN 2 AND 6")
 _add("enumerate_range", lambda s, d: B.enumerate_spaces(peptides(s, d), B.from_columns(), ["p_partkey"], 2, 7).withColumn("idx", F.col("idx").cast("int")), _SQL["slice_small"])
 _add("fixed_codons", lambda s, d: B.count_spaces(peptides(s, d), lambda row: SpaceSpec.make(row["aa_seq"], _T, None, {2: row["ref"][3:6]}), ["p_partkey"]).select("p_partkey", F.col("n_valid").cast("long").alias("n_valid")), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, count(*) AS n_valid FROM e WHERE substr(cds, 4, 3) = substr(ref, 4, 3) GROUP BY p_partkey")
 
@@ -146,7 +145,7 @@ def _pinned(row):
 
 
 _add("pinned_codons", lambda s, d: B.enumerate_spaces(peptides(s, d), _pinned, ["p_partkey"]).select("p_partkey", "cds"), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, cds FROM e WHERE substr(cds, 1, 3) = substr(ref, 1, 3) AND substr(cds, 7, 3) = substr(ref, 7, 3)")
-_add("restriction_sites_screen", lambda s, d: order_dna(s, d).join(F.broadcast(sites.sites_frame(s).select("name", F.explode("motifs").alias("motif"))), F.contains(F.col("dna"), F.col("motif"))).select("o_orderkey", "name", "motif").distinct(), f"WITH {ORDERS}, s AS (SELECT name, forward AS motif FROM " + _values((x.name, x.value) for x in sites.RestrictionSite) + " t(name, forward) UNION SELECT name, reverse(translate(forward, 'ACGT', 'TGCA')) FROM " + _values((x.name, x.value) for x in sites.RestrictionSite) + " t(name, forward)) SELECT DISTINCT o_orderkey, name, motif FROM o JOIN s ON contains(dna, substr(motif, 1, 4))")
+_add("restriction_sites_screen", lambda s, d: _found_sites(s, d), f"WITH {ORDERS}, s AS (SELECT name, forward AS motif FROM " + _values((x.name, x.value) for x in sites.RestrictionSite) + " t(name, forward) UNION SELECT name, reverse(translate(forward, 'ACGT', 'TGCA')) FROM " + _values((x.name, x.value) for x in sites.RestrictionSite) + " t(name, forward)) SELECT o_orderkey, name, motif FROM o JOIN s ON contains(dna, motif)")
 for _name, (_rule, _sql) in SCREENS.items():
     _add(f"{_name}_screen", lambda s, d, r=_rule: order_dna(s, d).select("o_orderkey", (~B.satisfies("dna", [r])).alias("found")), f"WITH {ORDERS} SELECT o_orderkey, {_sql('dna')} AS found FROM o")
 for _name, (_rule, _sql) in RULES.items():
@@ -170,7 +169,7 @@ def _near(free=None, **bounds):
     return build
 
 
-_add("mutants_nt", lambda s, d: variants(s, d).where(S.nt_distance("cds", "ref").between(1, 2)).select("p_partkey", "cds"), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, cds FROM e WHERE {NT} BETWEEN 1 AND 2")
+_add("mutants_nt", lambda s, d: B.enumerate_native(peptides(s, d), PEPTIDE, near=("ref", 1, 2)).select("p_partkey", "cds"), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, cds FROM e WHERE {NT} BETWEEN 1 AND 2")
 _add("kernel_mutants_nt", lambda s, d: B.enumerate_spaces(B.spread(peptides(s, d)), _near(min_nts=1, max_nts=2), ["p_partkey"]).select("p_partkey", "cds"), _SQL["mutants_nt"])
 _add("mutants_codon", lambda s, d: variants(s, d).where(S.codon_distance("cds", "ref") == 2).groupBy("p_partkey").agg(F.count("*").alias("n_valid")), f"WITH {CODE}, {PEP}, {ENUM} SELECT p_partkey, count(*) AS n_valid FROM e WHERE {CODONS} = 2 GROUP BY p_partkey")
 _add("kernel_mutants_codon", lambda s, d: B.count_spaces(B.spread(peptides(s, d)), _near(min_codons=2, max_codons=2), ["p_partkey"]).select("p_partkey", F.col("n_valid").cast("long").alias("n_valid")).where("n_valid > 0"), _SQL["mutants_codon"])
@@ -201,7 +200,7 @@ _add("weights_restrict", lambda s, d: usage.thresholded(usage.usage_frame(s).dro
 _add("codon_usage", lambda s, d: order_cds(s, d).select(F.explode(S.codons("cds")).alias("codon")).groupBy("codon").agg(F.count("*").alias("n")), f"WITH {ORDERS} SELECT substr(cds, (3 * i + 1)::INT, 3) AS codon, count(*) AS n FROM c, range({LONG}) t(i) GROUP BY 1")
 _add("library_adaptation", lambda s, d: _adaptation(s, d), f"WITH {_counts}, {_norm}, {ORDERS} SELECT o_orderkey, round(avg(ln(weight)), 6) AS mean_log_weight FROM c, range({LONG}) t(i) JOIN n ON organism = 'ecoli' AND codon = substr(cds, (3 * i + 1)::INT, 3) GROUP BY o_orderkey")
 _add("nt_masks", lambda s, d: B.codon_positions(peptides(s, d), _T).groupBy("p_partkey", "pos").agg(F.array_join(S.choice_masks(F.sort_array(F.collect_list("codon"))).cast("array<string>"), ",").alias("masks")), f"WITH {CODE}, {PEP}, m AS (SELECT p_partkey, (i + 1)::INT AS pos, j, bit_or(CASE substr(codon, (j + 1)::INT, 1) WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END) AS mask FROM p, range({PEPTIDE}) t(i) JOIN code ON aa = substr(aa_seq, (i + 1)::INT, 1), range(3) u(j) GROUP BY ALL) SELECT p_partkey, pos, string_agg(mask::VARCHAR, ',' ORDER BY j) AS masks FROM m GROUP BY p_partkey, pos")
-_add("format_count", lambda s, d: table(s, d, "orders").select("o_orderkey", S.format_count(F.col("o_orderkey") * F.col("o_orderkey")).alias("shown")), "SELECT o_orderkey, format('{:,}', o_orderkey * o_orderkey) AS shown FROM orders WHERE o_orderkey * o_orderkey < 1000000000")
+_add("format_count", lambda s, d: table(s, d, "orders").select("o_orderkey", S.format_count(F.col("o_orderkey") * F.col("o_orderkey")).alias("shown")), "WITH x AS (SELECT o_orderkey, o_orderkey * o_orderkey AS n, length((o_orderkey * o_orderkey)::VARCHAR) - 1 AS k FROM orders) SELECT o_orderkey, CASE WHEN n < 1000000000 THEN format('{:,}', n) ELSE regexp_replace(format('{:.2f}', n / pow(10, k)), '[.]?0+$', '') || ' × 10^' || k END AS shown FROM x")
 _add("format_positions", lambda s, d: _islands(s, d), "WITH m AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), g AS (SELECT *, l_suppkey - row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS island FROM m), r AS (SELECT l_partkey, min(l_suppkey) AS a, max(l_suppkey) AS b FROM g GROUP BY l_partkey, island) SELECT l_partkey, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a::VARCHAR || '-' || b::VARCHAR END, ', ' ORDER BY a) AS positions FROM r GROUP BY l_partkey")
 
 
@@ -227,6 +226,13 @@ _add("whole_edges", lambda s, d: B.edges(_whole(s, d), B.from_columns(_STACK), [
 _add("whole_sample", lambda s, d: B.sample_spaces(_whole(s, d), B.from_columns([R.MaxHomopolymer(3)], weights=CodonWeights.ecoli()), ["p_partkey"], 3, 7), None)
 
 
+def _found_sites(s, d):
+    """Each order's dna with each recognition site in it, on either strand; a site is named once for each of its motifs."""
+    motifs = [(x.name, m) for x in sites.RestrictionSite for m in sorted(set(x.motifs))]
+    found = F.array(*[F.when(F.contains(F.col("dna"), F.lit(m)), F.struct(F.lit(name).alias("name"), F.lit(m).alias("motif"))) for name, m in motifs])
+    return order_dna(s, d).select("o_orderkey", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("site")).select("o_orderkey", "site.name", "site.motif")
+
+
 def _adaptation(s, d):
     w = usage.usage_frame(s, ("ecoli",)).select("codon", "weight")
     rows = order_cds(s, d).select("o_orderkey", F.explode(S.codons("cds")).alias("codon"))

@@ -73,8 +73,9 @@ def has_tandem(seq, unit: int, copies: int = 2) -> Column:
 
 
 def has_direct_repeat(seq, length: int, min_distance: int = 0, max_distance: int | None = None) -> Column:
-    """Some `length` letters occur again at the distance: for each start the next occurrences are looked up by place."""
-    return _repeat(_dna(seq), length, min_distance, max_distance, lambda w: w)
+    """Some `length` letters occur again at the distance: one expression that refers back to what it has met."""
+    most = "" if max_distance is None else max_distance
+    return F.regexp_like(_dna(seq), F.lit(f"(?s)(.{{{length}}}).{{{min_distance},{most}}}?\\1"))
 
 
 def has_inverted_repeat(seq, length: int, min_distance: int = 0, max_distance: int | None = None) -> Column:
