@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,9 @@ from .tokens import word_bpe
 END = 1
 #: Pieces of one length are ranked in parts of about so many.
 PART_ROWS = 2000
-#: Steps of the branch and bound; states that it remembers; pieces of a filling whose subsets are all tried for dominance.
-WORK, MOST_MET, SUBSETS = 1_000_000, 200_000, 10
+#: Steps of the branch and bound; states of at most FEW lengths that it remembers; pieces of a filling whose subsets are
+#: all tried for dominance; places of the search that keep their enumeration open (others begin it anew and skip).
+WORK, MOST_MET, FEW, SUBSETS, KEPT_OPEN = 400_000, 100_000, 64, 10, 32
 
 
 def reachable(lengths: list[int], n: dict[int, int], room: int) -> list[int]:
@@ -82,16 +83,32 @@ def dominated(filling: tuple[int, ...], waste: int, lengths: list[int], n: dict[
     return False
 
 
+def exact_fit(n: dict[int, int], room: int, lengths: list[int]) -> tuple[int, ...] | None:
+    """One or two left pieces that fill the room, if there are any: nothing dominates them."""
+    if not room or n.get(room):
+        return (room,) if room else ()
+    for k in reversed(lengths):
+        if 2 * k < room:
+            return None
+        if n.get(room - k, 0) > (2 * k == room):
+            return k, room - k
+    return None
+
+
 def fillings(n: dict[int, int], room: int, most_waste: int, spent: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
     """(waste, filling) of all undominated fillings of the room with left pieces, least waste first, found as they are asked for."""
     lengths = sorted(k for k, v in n.items() if v and k <= room)
+    spent[0] += 1 + len(lengths) // 64
+    first = exact_fit(n, room, lengths)
+    if first is not None:
+        yield 0, first
     reach = reachable(lengths, n, room)
-    spent[0] += len(lengths) + 1
+    spent[0] += len(lengths)
     for waste in range(min(room, most_waste) + 1):
         if reach[-1] >> (room - waste) & 1:
             for filling in sums_to(room - waste, lengths, n, reach):
                 spent[0] += 1 + len(filling)
-                if not dominated(filling, waste, lengths, n):
+                if filling != first and not dominated(filling, waste, lengths, n):
                     yield waste, filling
 
 
@@ -141,18 +158,18 @@ def plan_bins(counts: dict[int, int], capacity: int, work: int = WORK) -> tuple[
     filling is repeated as often as it can be, then tried once. A branch ends when its waste exceeds
     what a solution of one bin fewer than the incumbent may have, or at a state met before with no more
     bins. The first descent is the best-fit completion. The search ends with the proof that nothing is
-    better, at the lower bound, or after `work` steps (lengths looked at), whatever the machine; the
-    steps do not depend on the number of pieces.
+    better, at the lower bound, or, once the first descent is over, after `work` steps (lengths looked at),
+    whatever the machine; what a step costs does not depend on the number of pieces.
     """
-    counts = {k: v for k, v in counts.items() if v > 0}
-    bound = lower_bound(counts, capacity)
-    total = sum(k * v for k, v in counts.items())
-    runs = best_fit(counts, capacity)
+    n = {k: v for k, v in counts.items() if v > 0}
+    bound = lower_bound(n, capacity)
+    total = sum(k * v for k, v in n.items())
+    runs = best_fit(n, capacity)
     bins = sum(t for t, _ in runs)
-    spent, met = [0], {}
+    spent, met, used, waste = [0], {}, 0, 0
 
-    def options(n: dict[int, int], waste: int) -> Iterator[tuple[int, int, dict[int, int]]]:
-        """(times, waste of a bin, filling) of the bin of the longest piece."""
+    def options() -> Iterator[tuple[int, int, dict[int, int]]]:
+        """(times, waste of a bin, filling) of the bin of the longest piece that is left."""
         big = max(n)
         left = n | {big: n[big] - 1}
         for lost, chosen in fillings(left, capacity - big, (bins - 1) * capacity - total - waste, spent):
@@ -164,33 +181,48 @@ def plan_bins(counts: dict[int, int], capacity: int, work: int = WORK) -> tuple[
             if most > 1:
                 yield 1, lost, filling
 
-    path: list[tuple[int, dict[int, int]]] = []
-    stack = [(counts, 0, 0, options(counts, 0))] if bins > bound else []
-    while stack and bins > bound and spent[0] < work:
-        n, used, waste, more = stack[-1]
-        step = next(more, None)
+    # [options or None, how many of them have been taken, the one that holds]; only the last KEPT_OPEN keep their options open
+    frames: list[list] = [[options(), 0, None]] if bins > bound else []
+    first = True  # the first descent has no limit: each step of it takes pieces for good
+    while frames and bins > bound and (first or spent[0] < work):
+        frame = frames[-1]
+        if frame[2]:
+            times, lost, filling = frame[2]
+            for k, v in filling.items():
+                n[k] = n.get(k, 0) + times * v
+            used, waste, frame[2] = used - times, waste - times * lost, None
+        if frame[0] is None:
+            frame[0] = islice(options(), frame[1], None)
+        step = next(frame[0], None)
         if step is None:
-            stack.pop()
-            if path:
-                path.pop()
+            frames.pop()
+            first = False
             continue
+        frame[1] += 1
         times, lost, filling = step
         if waste + times * lost > (bins - 1) * capacity - total:
+            first = False
             continue
-        left = {k: m for k, v in n.items() if (m := v - times * filling.get(k, 0))}
-        now = used + times
+        for k, v in filling.items():
+            n[k] -= times * v
+            if not n[k]:
+                del n[k]
+        used, waste, frame[2] = used + times, waste + times * lost, step
         spent[0] += 1
-        if not left:
-            if now < bins:
-                runs, bins = [*path, (times, filling)], now
-            continue
-        key = hash(frozenset(left.items()))
-        if met.get(key, now + 1) <= now:
+        if not n:
+            first = False
+            if used < bins:
+                runs, bins = [(f[2][0], f[2][2]) for f in frames], used
             continue
-        if len(met) < MOST_MET:
-            met[key] = now
-        path.append((times, filling))
-        stack.append((left, now, waste + times * lost, options(left, waste + times * lost)))
+        if len(n) <= FEW:
+            key = hash(frozenset(n.items()))
+            if met.get(key, used + 1) <= used:
+                continue
+            if len(met) < MOST_MET:
+                met[key] = used
+        frames.append([options(), 0, None])
+        if len(frames) > KEPT_OPEN:
+            frames[-KEPT_OPEN - 1][0] = None
     return runs, bins, bound
 
 
