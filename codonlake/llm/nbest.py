@@ -26,6 +26,8 @@ class Lattice:
 
     #: Segments whose segmentations are kept at once, and the longest that are kept. They bound memory only.
     KEEP, LONGEST_KEPT = 250_000, 64
+    #: Segments whose lattices are searched together.
+    TOGETHER = 20_000
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -47,12 +49,20 @@ class Lattice:
         # no piece goes on over a space after a letter, nor over a line's end: the lattice falls apart there
         assert not any(SPACE in n.lstrip(SPACE) or "\n" in n for n in self.pieces)
         self.segments = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
+        # the beginnings of pieces as a tree: the node after each node and character
+        node = {"": 0} | {t: k for k, t in enumerate(sorted(self.starts, key=len), 1)}
+        edges = np.array([(node[t[:-1]] << 21 | ord(t[-1]), node[t]) for t in self.starts], dtype=np.int64)
+        self.edge, self.to = edges[np.argsort(edges[:, 0])].T.copy()
+        self.node_score, self.node_id = np.full(len(node), np.nan), np.full(len(node), -1, dtype=np.int64)
+        for t, known in self.starts.items():
+            if known:
+                self.node_score[node[t]], self.node_id[node[t]] = known[0], known[1][0]
         self.forget()
 
     def forget(self) -> None:
         """Empties what is kept: a number for each segment, its segmentations, ids of the best, and what the second loses."""
         self.number: dict[str, int] = {}
-        self.options: list[list[tuple[float, tuple[int, ...]]]] = []
+        self.found: list[tuple[tuple, int, int]] = []
         self.ids: list[bytes] = []
         self.facts = np.zeros((1024, 3))  # best score, loss of the second, ids of the best
 
@@ -103,51 +113,168 @@ class Lattice:
             del heap[n - len(out) :]
         return out
 
-    def learn(self, s: str, n: int) -> int:
-        """Keeps the n best segmentations of a segment; its number."""
-        found = self.segment(s, n)
-        k = len(self.options)
-        if k == len(self.facts):
+    def arcs(self, cp: np.ndarray, seg: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start and end place, score and id (-1: the bytes of a character) of the lattice's arcs, by end place, longest first.
+
+        cp are the characters of all segments, seg the segment of each, ends where each segment ends. A
+        segment has a place more than characters.
+        """
+        found, at, node = [], np.arange(len(cp)), np.zeros(len(cp), dtype=np.int64)
+        alone = np.ones(len(cp), dtype=bool)
+        for k in range(self.longest):
+            inside = at + k < ends[seg[at]]
+            at, node = at[inside], node[inside]
+            key = node << 21 | cp[at + k]
+            i = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            known = self.edge[i] == key
+            at, node = at[known], self.to[i[known]]
+            piece = self.node_id[node] >= 0
+            found.append((at[piece], np.full(int(piece.sum()), k + 1), self.node_score[node[piece]], self.node_id[node[piece]]))
+            if not k:
+                alone[at[piece]] = False
+        rest = np.flatnonzero(alone)
+        found.append((rest, np.ones(len(rest), dtype=np.int64), np.full(len(rest), self.floor), np.full(len(rest), -1)))
+        start, size, score, ids = (np.concatenate(x) for x in zip(*found))
+        start = start + seg[start]
+        order = np.lexsort((ids < 0, start, start + size))
+        return start[order], (start + size)[order], score[order], ids[order]
+
+    def learn_all(self, segments: list[str], n: int) -> None:
+        """Keeps the n best segmentations of new segments: what `segment` does, step by step for all of them at once.
+
+        Hypotheses stand by segment and score; the first of each segment is completed or goes on over all
+        arcs that end where it begins, and of what a segment then has the best stay that are still wanted.
+        """
+        sizes = np.array([len(s) for s in segments])
+        cp = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        seg, ends = np.repeat(np.arange(len(sizes)), sizes), sizes.cumsum()
+        base = ends - sizes + np.arange(len(sizes))  # the first place of each segment
+        start, end, score, ids = self.arcs(cp, seg, ends)
+        first = np.searchsorted(end, np.arange(len(cp) + len(sizes) + 1))
+        best = np.full(len(cp) + len(sizes), -np.inf)
+        best[base] = 0.0
+        place = end - base[seg[end - np.repeat(np.arange(len(sizes)), sizes + 1)[end] - 1]]  # how far into its segment each arc ends
+        by_place = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[by_place], np.arange(1, sizes.max() + 2))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            k = by_place[lo:hi]
+            np.maximum.at(best, end[k], best[start[k]] + score[k])
+
+        own, at = np.arange(len(sizes)), base + sizes
+        done, f, log = np.zeros(len(sizes)), best[base + sizes], np.full(len(sizes), -1)
+        out = np.zeros(len(sizes), dtype=np.int64)
+        parent, arc, results = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+        while len(own):
+            head = np.concatenate([[True], own[1:] != own[:-1]])
+            complete = head & (at == base[own])
+            results.append((own[complete], out[own[complete]], done[complete], log[complete]))
+            out[own[complete]] += 1
+            top = np.flatnonzero(head & ~complete)
+            many = first[at[top] + 1] - first[at[top]]
+            k = np.repeat(first[at[top]] - many.cumsum() + many, many) + np.arange(many.sum())
+            top = np.repeat(top, many)
+            old = np.flatnonzero(~head)
+            fresh_f = best[start[k]] + score[k] + done[top]
+            columns = [(own[old], own[top]), (at[old], start[k]), (done[old], score[k] + done[top]), (f[old], fresh_f), (log[old], log[top]), (np.full(len(old), -1), k)]
+            own, at, done, f, log, new = (np.concatenate(x) for x in columns)
+            order = np.lexsort((-f, own))  # of equal ones the earlier leads
+            begins = np.searchsorted(own[order], own[order])
+            order = order[np.arange(len(order)) - begins < (n - out)[own[order]]]
+            own, at, done, f, log, new = (x[order] for x in (own, at, done, f, log, new))
+            grown = np.flatnonzero(new >= 0)
+            parent, arc, log[grown] = np.concatenate([parent, log[grown]]), np.concatenate([arc, new[grown]]), len(parent) + np.arange(len(grown))
+        own, rank, done, log = (np.concatenate(x) for x in zip(*results))
+        order = np.lexsort((rank, own))
+        own, done, log = own[order], done[order], log[order]
+        live, steps = np.arange(len(own)), []
+        while len(live := live[log[live] >= 0]):  # a step of each path, from its beginning
+            steps.append((live, arc[log[live]]))
+            log[live] = parent[log[live]]
+        of, k = (np.concatenate(x) for x in zip(*steps))
+        order = np.argsort(of, kind="stable")
+        of, k = of[order], k[order]
+        piece, many = ids[k], np.ones(len(k), dtype=np.int64)
+        spelled = {i: [self.bytes[x] for x in segments[w][c - base[w]].encode("utf-8", "surrogatepass")] for i, w, c in ((i, own[of[i]], start[k[i]]) for i in np.flatnonzero(piece < 0).tolist())}
+        for i, codes in spelled.items():
+            many[i] = len(codes)
+        flat, ahead = np.repeat(piece, many).astype(np.int32), many.cumsum() - many
+        for i, codes in spelled.items():
+            flat[ahead[i] : ahead[i] + many[i]] = codes
+        sizes_of = np.bincount(of, weights=many, minlength=len(own)).astype(np.int64)
+        self.note(segments, np.bincount(own, minlength=len(segments)), done, sizes_of, flat)
+
+    def note(self, segments: list[str], counts: np.ndarray, scores: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Keeps new segments: how many segmentations each has, and of these, one after the other, scores, numbers of ids and ids."""
+        lo = len(self.ids)
+        while len(self.facts) < lo + len(segments):
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-        self.options.append(found)
-        self.ids.append(np.array(found[0][1], dtype=np.int32).tobytes())
-        self.facts[k] = found[0][0], found[0][0] - found[1][0] if len(found) > 1 else math.inf, len(found[0][1])
-        self.number[s] = k
-        return k
+        first = counts.cumsum() - counts
+        several = counts > 1
+        facts = self.facts[lo : lo + len(segments)]
+        facts[:, 0], facts[:, 1], facts[:, 2] = scores[first], math.inf, sizes[first]
+        facts[several, 1] = scores[first[several]] - scores[first[several] + 1]
+        at = np.append(0, sizes.cumsum())
+        raw, chunk = flat.tobytes(), (scores, at, flat)
+        self.ids += [raw[4 * x : 4 * y] for x, y in zip(at[first].tolist(), at[first + 1].tolist())]
+        self.found += [(chunk, x, n) for x, n in zip(first.tolist(), counts.tolist())]
+        self.number.update(zip(segments, range(lo, lo + len(segments))))
 
-    def segmentations(self, text: str | None, n: int) -> list[tuple[float, np.ndarray]]:
+    def options(self, k: int) -> list[tuple[float, np.ndarray]]:
+        """The segmentations of a kept segment by its number."""
+        (scores, at, flat), first, n = self.found[k]
+        return [(float(scores[i]), flat[at[i] : at[i + 1]]) for i in range(first, first + n)]
+
+    def keep(self, segments: list[str], n: int) -> None:
+        """Learns segments that are new."""
+        number = self.number
+        new = [s for s in dict.fromkeys(segments) if s not in number]
+        if self.kept_for != n or len(self.ids) + len(new) > self.KEEP:
+            if self.ids:
+                self.forget()
+                self.kept_for = n
+                return self.keep(segments, n)
+            self.kept_for = n
+        short = [s for s in new if len(s) <= self.LONGEST_KEPT]
+        for at in range(0, len(short), self.TOGETHER):
+            self.learn_all(short[at : at + self.TOGETHER], n)
+        for s in new:
+            if len(s) > self.LONGEST_KEPT:
+                own = self.segment(s, n)
+                flat = [np.array(ids, dtype=np.int32) for _, ids in own]
+                self.note([s], np.array([len(own)]), np.array([x for x, _ in own]), np.array([len(x) for x in flat]), np.concatenate(flat))
+
+    def parts(self, text: str) -> list[str]:
+        """The segments of a text, which gets a space before it; spaces are ▁."""
+        return self.segments((" " + text).replace(" ", SPACE))
+
+    def segmentations(self, text: str | None, n: int, parts: list[str] | None = None) -> list[tuple[float, np.ndarray]]:
         """The n best (score, ids) of a whole text; fewer if it has fewer segmentations, none if it is null or empty.
 
-        The text gets a space before it, spaces are ▁. The lattice is a chain of segments, so the n best
+        parts are its segments, if they are kept already. The lattice is a chain of segments, so the n best
         differ from the best in few segments: any of them deviates in at most n - 1, and those with the
         least first loss suffice.
         """
         if not text:
             return []
-        if len(self.options) > self.KEEP or self.kept_for != n:
-            self.forget()
-            self.kept_for = n
-        number = self.number
-        parts = self.segments((" " + text).replace(" ", SPACE))
-        own = [k if (k := number.get(s)) is not None else self.learn(s, n) for s in parts]
+        if parts is None:
+            parts = self.parts(text)
+            self.keep(parts, n)
+        own = list(map(self.number.__getitem__, parts))
         score, loss, size = self.facts[own].T
         total, ends = score.sum(), size.astype(np.int64).cumsum()
         best = np.frombuffer(b"".join(map(self.ids.__getitem__, own)), dtype=np.int32)
         near = np.argsort(loss, kind="stable")[: n - 1]
         combos: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         for i in near[np.isfinite(loss[near])].tolist():
-            options = self.options[own[i]]
+            options = self.options(own[i])
             combos = sorted(((lost + options[0][0] - o[0], (*chosen, (i, k)) if k else chosen) for lost, chosen in combos for k, o in enumerate(options)), key=lambda c: c[0])[:n]
         out = []
         for lost, chosen in combos:
             pieces, at = [], 0
             for i, k in sorted(chosen):
-                pieces += [best[at : ends[i] - int(size[i])], np.array(self.options[own[i]][k][1], dtype=np.int32)]
+                pieces += [best[at : ends[i] - int(size[i])], self.options(own[i])[k][1]]
                 at = ends[i]
             out.append((float(total - lost), np.concatenate([*pieces, best[at:]])))
-        for s in parts if max(map(len, parts)) > self.LONGEST_KEPT else ():
-            if len(s) > self.LONGEST_KEPT and (k := number.pop(s, None)) is not None:
-                self.options[k], self.ids[k] = [], b""
         return out
 
     kept_for = 0
@@ -189,19 +316,24 @@ def nbest(df: DataFrame, model_file: str, n: int = 3, keep: list[str] | None = N
     def run(batches):
         for b in batches:
             lat = lattice(model_file)
-            rows, out, seen = [], [], 0
-            for i, text in enumerate(b.column(whole)):
-                text = text.as_py()
-                for k, (score, ids) in enumerate(lat.segmentations(text, n), 1):
-                    rows.append(i)
-                    out.append((k, score, ids, lat.decode(ids)))
-                seen += len(text or "")
-                if seen > HAND_ON or i == b.num_rows - 1:
-                    at = pa.array(rows, type=pa.int64())
-                    ends = np.cumsum([0, *(len(x[2]) for x in out)], dtype=np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *(x[2] for x in out)])))
-                    yield {c: b.column(c).take(at) for c in keep} | {rank: [x[0] for x in out], scored: [x[1] for x in out], listed: ids, shown: [x[3] for x in out]}
-                    rows, out, seen = [], [], 0
+            texts, lo = b.column(whole).to_pylist(), 0
+            while lo < b.num_rows:  # as many texts as HAND_ON allows, one at least
+                hi, seen = lo, 0
+                while hi < b.num_rows and (hi == lo or seen + len(texts[hi] or "") <= HAND_ON):
+                    seen += len(texts[hi] or "")
+                    hi += 1
+                parts = [lat.parts(t) if t else [] for t in texts[lo:hi]]
+                lat.keep([x for own in parts for x in own], n)
+                rows, out = [], []
+                for i, own in enumerate(parts, lo):
+                    for k, (score, ids) in enumerate(lat.segmentations(texts[i], n, own), 1):
+                        rows.append(i)
+                        out.append((k, score, ids, lat.decode(ids)))
+                at = pa.array(rows, type=pa.int64())
+                ends = np.cumsum([0, *(len(x[2]) for x in out)], dtype=np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *(x[2] for x in out)])))
+                yield {c: b.column(c).take(at) for c in keep} | {rank: [x[0] for x in out], scored: [x[1] for x in out], listed: flat, shown: [x[3] for x in out]}
+                lo = hi
 
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return map_batches(df.select(*keep, F.col(text_col).alias(whole)), run, f"{ddl}, `{rank}` int, `{scored}` double, `{listed}` array<int>, `{shown}` string")

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import random
 
 import numpy as np
 import public_tokenizers
@@ -169,6 +170,17 @@ def test_nbest_against_all_segmentations(lat, text):
     assert all(lat.decode(i) == text for _, i in got)
 
 
+def test_segments_together_as_one_by_one(lat):
+    rng = random.Random(4)
+    letters = "etaoinshr▁ieß漢ü\U0001f600Q7_."
+    segments = sorted({"▁" * rng.randint(0, 2) + "".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(1500)} | {"a", "▁the", "\n", "漢" * 60})
+    for n in (1, 3, 5):
+        lat.forget()
+        lat.keep(segments, n)
+        for s in segments:
+            assert [(x, tuple(ids.tolist())) for x, ids in lat.options(lat.number[s])] == lat.segment(s, n)
+
+
 def test_nbest_frame(spark, lat):
     rows = [(1, "hello world", "a"), (1, "hello world", "a"), (2, None, "b"), (3, "", "c"), (None, "z" * 3000, None)]
     clash = nbest.nbest(spark.createDataFrame([(*r, 0.5, "d") for r in rows], "id long, text string, rank string, Score double, decoded string"), MODEL, 3)
