@@ -42,20 +42,32 @@ def reachable(lengths: list[int], n: dict[int, int], room: int) -> list[int]:
 
 def sums_to(target: int, lengths: list[int], n: dict[int, int], reach: list[int]) -> Iterator[tuple[int, ...]]:
     """The multisets of left lengths that add up to the target, long lengths first; none of the walk leads nowhere."""
-    stack = [(len(lengths), target, ())]
-    while stack:
-        i, rest, chosen = stack.pop()
-        if not rest:
-            yield chosen
-            continue
-        more = []
+
+    def steps(i: int, rest: int) -> Iterator[tuple[int, int, int]]:
         while i and reach[i] >> rest & 1:
             i -= 1
             k = lengths[i]
             for copies in range(min(n[k], rest // k), 0, -1):
                 if reach[i] >> (rest - k * copies) & 1:
-                    more.append((i, rest - k * copies, chosen + (k,) * copies))
-        stack += reversed(more)
+                    yield i, k, copies
+
+    if not target:
+        yield ()
+        return
+    open_, chosen, rest = [steps(len(lengths), target)], [()], target
+    while open_:
+        step = next(open_[-1], None)
+        if step is None:
+            open_.pop()
+            rest += sum(chosen.pop())
+            continue
+        i, k, copies = step
+        if rest == k * copies:
+            yield (*(x for part in chosen for x in part), *(k,) * copies)
+        else:
+            rest -= k * copies
+            chosen.append((k,) * copies)
+            open_.append(steps(i, rest))
 
 
 def dominated(filling: tuple[int, ...], waste: int, lengths: list[int], n: dict[int, int]) -> bool:
