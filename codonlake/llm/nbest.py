@@ -25,7 +25,7 @@ class Lattice:
     """Segmentations of texts into the pieces of a SentencePiece model, by the sum of the pieces' scores."""
 
     #: Segments whose segmentations are kept at once, and the longest that are kept. They bound memory only.
-    KEEP, LONGEST_KEPT = 250_000, 64
+    KEEP, LONGEST_KEPT = 450_000, 64
     #: Segments whose lattices are searched together.
     TOGETHER = 20_000
 
