@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,21 @@ BYTE_PENALTY = 10.0
 NEVER = -1e8
 
 
+def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each entry, so many, one entry after the other."""
+    ends = many.cumsum()
+    return np.repeat(first - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def room(x: np.ndarray, size: int) -> np.ndarray:
+    """x with place for so many rows at least."""
+    if len(x) >= size:
+        return x
+    out = np.zeros((max(size, len(x) * 3 // 2), *x.shape[1:]), dtype=x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Lattice:
     """Segmentations of texts into the pieces of a SentencePiece model, by the sum of the pieces' scores."""
 
@@ -52,19 +68,56 @@ class Lattice:
         # the beginnings of pieces as a tree: the node after each node and character
         node = {"": 0} | {t: k for k, t in enumerate(sorted(self.starts, key=len), 1)}
         edges = np.array([(node[t[:-1]] << 21 | ord(t[-1]), node[t]) for t in self.starts], dtype=np.int64)
-        self.edge, self.to = edges[np.argsort(edges[:, 0])].T.copy()
+        self.slots(*edges.T)
         self.node_score, self.node_id = np.full(len(node), np.nan), np.full(len(node), -1, dtype=np.int64)
         for t, known in self.starts.items():
             if known:
                 self.node_score[node[t]], self.node_id[node[t]] = known[0], known[1][0]
         self.forget()
 
+    def slots(self, edge: np.ndarray, to: np.ndarray) -> None:
+        """A hash table of the tree's edges: each lies at most `probes` slots behind the one of its hash."""
+        bits = int(4 * len(edge)).bit_length()
+        self.shift, self.probes = np.uint64(64 - bits), 1
+        free, left = np.ones((1 << bits) + 64, dtype=bool), np.arange(len(edge))
+        self.edge, self.to = np.full(len(free), -1, dtype=np.int64), np.zeros(len(free), dtype=np.int64)
+        at = self.slot(edge)
+        while True:
+            left = left[np.argsort(at[left], kind="stable")]
+            mine = free[at[left]] & np.concatenate([[True], at[left[1:]] != at[left[:-1]]])
+            taken = at[left[mine]]
+            free[taken], self.edge[taken], self.to[taken] = False, edge[left[mine]], to[left[mine]]
+            left = left[~mine]
+            if not len(left):
+                return
+            at[left] += 1
+            self.probes += 1
+
+    def slot(self, edge: np.ndarray) -> np.ndarray:
+        return ((edge.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def forget(self) -> None:
-        """Empties what is kept: a number for each segment, its segmentations, ids of the best, and what the second loses."""
+        """Empties what is kept: a number for each segment; by number its facts, its first option and whether it was met again; by option score and ids."""
         self.number: dict[str, int] = {}
-        self.found: list[tuple[tuple, int, int]] = []
-        self.ids: list[bytes] = []
         self.facts = np.zeros((1024, 3))  # best score, loss of the second, ids of the best
+        self.first = np.zeros(1025, dtype=np.int64)  # and where the last one's options end
+        self.again = np.zeros(1024, dtype=bool)
+        self.scores, self.at = np.zeros(1024), np.zeros(1025, dtype=np.int64)
+        self.flat = np.zeros(1024, dtype=np.int32)
+
+    def forget_rare(self) -> None:
+        """Drops the segments not met again since the last time, or all if the others are more than half of what may be kept."""
+        often = np.flatnonzero(self.again[: len(self.number)])
+        names = list(self.number)
+        facts, first, scores, at, flat = self.facts, self.first, self.scores, self.at, self.flat
+        self.forget()
+        if len(often) > self.KEEP // 2:
+            return
+        for lo in range(0, len(often), self.TOGETHER):
+            k = often[lo : lo + self.TOGETHER]
+            options = spread(first[k], first[k + 1] - first[k])
+            ids = spread(at[options], at[options + 1] - at[options])
+            self.note([names[i] for i in k.tolist()], first[k + 1] - first[k], scores[options], at[options + 1] - at[options], flat[ids])
 
     def forward(self, s: str) -> np.ndarray | list[float]:
         """The Viterbi score of each place: the best of all segmentations of what stands before it."""
@@ -120,120 +173,170 @@ class Lattice:
         segment has a place more than characters.
         """
         found, at, node = [], np.arange(len(cp)), np.zeros(len(cp), dtype=np.int64)
-        alone = np.ones(len(cp), dtype=bool)
+        alone, last = np.ones(len(cp), dtype=bool), ends[seg]
         for k in range(self.longest):
-            inside = at + k < ends[seg[at]]
+            inside = at + k < last[at]
             at, node = at[inside], node[inside]
             key = node << 21 | cp[at + k]
-            i = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
-            known = self.edge[i] == key
-            at, node = at[known], self.to[i[known]]
-            piece = self.node_id[node] >= 0
-            found.append((at[piece], np.full(int(piece.sum()), k + 1), self.node_score[node[piece]], self.node_id[node[piece]]))
+            slot = self.slot(key)
+            known = self.edge[slot] == key
+            open_ = np.flatnonzero(~known)
+            for step in range(1, self.probes):
+                open_ = open_[self.edge[slot[open_] + step - 1] >= 0]  # an empty slot ends the search
+                right = self.edge[slot[open_] + step] == key[open_]
+                hit = open_[right]
+                slot[hit], known[hit] = slot[hit] + step, True
+                open_ = open_[~right]
+            at, node = at[known], self.to[slot[known]]
+            own = self.node_id[node]
+            piece = own >= 0
+            here = at[piece]
+            found.append((here, self.node_score[node[piece]], own[piece]))
             if not k:
-                alone[at[piece]] = False
+                alone[here] = False
         rest = np.flatnonzero(alone)
-        found.append((rest, np.ones(len(rest), dtype=np.int64), np.full(len(rest), self.floor), np.full(len(rest), -1)))
-        start, size, score, ids = (np.concatenate(x) for x in zip(*found))
-        start = start + seg[start]
-        order = np.lexsort((ids < 0, start, start + size))
-        return start[order], (start + size)[order], score[order], ids[order]
+        # of one length, no two arcs end at the same place: each length, longest first, takes the next free one
+        many = np.zeros(len(cp) + len(ends) + 1, dtype=np.int64)
+        ways = [(at + seg[at], k, score, ids) for k, (at, score, ids) in enumerate(found, 1)]
+        ways.insert(0, (rest + seg[rest], 1, np.full(len(rest), self.floor), np.full(len(rest), -1)))
+        for at, k, _, _ in ways:
+            many[at + k + 1] += 1
+        free = many.cumsum()
+        total = int(free[-1])
+        start, end, score, ids = np.empty(total, dtype=np.int64), np.empty(total, dtype=np.int64), np.empty(total), np.empty(total, dtype=np.int64)
+        for at, k, own, names in reversed(ways):
+            to = free[at + k]
+            start[to], end[to], score[to], ids[to] = at, at + k, own, names
+            free[at + k] += 1
+        return start, end, score, ids
 
     def learn_all(self, segments: list[str], n: int) -> None:
         """Keeps the n best segmentations of new segments: what `segment` does, step by step for all of them at once.
 
-        Hypotheses stand by segment and score; the first of each segment is completed or goes on over all
-        arcs that end where it begins, and of what a segment then has the best stay that are still wanted.
+        A segment has n rows for hypotheses, best first. The first is completed or goes on over all arcs that
+        end where it begins, and what those lead to takes its place among the others, behind equal ones; as
+        many stay as are still wanted.
         """
-        sizes = np.array([len(s) for s in segments])
+        sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
         cp = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-        seg, ends = np.repeat(np.arange(len(sizes)), sizes), sizes.cumsum()
-        base = ends - sizes + np.arange(len(sizes))  # the first place of each segment
-        start, end, score, ids = self.arcs(cp, seg, ends)
-        first = np.searchsorted(end, np.arange(len(cp) + len(sizes) + 1))
+        of, ends = np.arange(len(sizes)), sizes.cumsum()
+        base = ends - sizes + of  # the first place of each segment
+        start, end, score, ids = self.arcs(cp, np.repeat(of, sizes), ends)
+        first = np.append(0, np.bincount(end, minlength=len(cp) + len(sizes)).cumsum())
         best = np.full(len(cp) + len(sizes), -np.inf)
         best[base] = 0.0
-        place = end - base[seg[end - np.repeat(np.arange(len(sizes)), sizes + 1)[end] - 1]]  # how far into its segment each arc ends
+        place = (np.arange(len(best)) - np.repeat(base, sizes + 1)).astype(np.int16)  # how far into its segment
         by_place = np.argsort(place, kind="stable")
-        cuts = np.searchsorted(place[by_place], np.arange(1, sizes.max() + 2))
+        cuts = np.bincount(place).cumsum()
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            k = by_place[lo:hi]
-            np.maximum.at(best, end[k], best[start[k]] + score[k])
-
-        own, at = np.arange(len(sizes)), base + sizes
-        done, f, log = np.zeros(len(sizes)), best[base + sizes], np.full(len(sizes), -1)
-        out = np.zeros(len(sizes), dtype=np.int64)
-        parent, arc, results = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+            to = by_place[lo:hi]
+            many = first[to + 1] - first[to]
+            k = spread(first[to], many)
+            best[to] = np.maximum.reduceat(best[start[k]] + score[k], many.cumsum() - many)
+
+        # hypotheses by number: where they begin, score, last arc, and the one that they go on from
+        begins, paid, arc, parent = (room(x, 16 * len(sizes)) for x in (base + sizes, np.zeros(len(sizes)), np.full(len(sizes), -1), np.full(len(sizes), -1)))
+        own, out, count = of, np.zeros(len(sizes), dtype=np.int64), len(sizes)
+        results = np.full((len(sizes), n), -1)
+        f, ref = np.full((n, len(own)), -np.inf), np.zeros((n, len(own)), dtype=np.int64)
+        f[0], ref[0] = best[base + sizes], of
         while len(own):
-            head = np.concatenate([[True], own[1:] != own[:-1]])
-            complete = head & (at == base[own])
-            results.append((own[complete], out[own[complete]], done[complete], log[complete]))
-            out[own[complete]] += 1
-            top = np.flatnonzero(head & ~complete)
-            many = first[at[top] + 1] - first[at[top]]
-            k = np.repeat(first[at[top]] - many.cumsum() + many, many) + np.arange(many.sum())
-            top = np.repeat(top, many)
-            old = np.flatnonzero(~head)
-            fresh_f = best[start[k]] + score[k] + done[top]
-            columns = [(own[old], own[top]), (at[old], start[k]), (done[old], score[k] + done[top]), (f[old], fresh_f), (log[old], log[top]), (np.full(len(old), -1), k)]
-            own, at, done, f, log, new = (np.concatenate(x) for x in columns)
-            order = np.lexsort((-f, own))  # of equal ones the earlier leads
-            begins = np.searchsorted(own[order], own[order])
-            order = order[np.arange(len(order)) - begins < (n - out)[own[order]]]
-            own, at, done, f, log, new = (x[order] for x in (own, at, done, f, log, new))
-            grown = np.flatnonzero(new >= 0)
-            parent, arc, log[grown] = np.concatenate([parent, log[grown]]), np.concatenate([arc, new[grown]]), len(parent) + np.arange(len(grown))
-        own, rank, done, log = (np.concatenate(x) for x in zip(*results))
-        order = np.lexsort((rank, own))
-        own, done, log = own[order], done[order], log[order]
+            path = ref[0].copy()
+            reached = begins[path]
+            complete = reached == base[own]
+            to = own[complete]
+            results[to, out[to]] = path[complete]
+            out[to] += 1
+            f[:-1], ref[:-1], f[-1] = f[1:].copy(), ref[1:].copy(), -np.inf
+            wanted = n - out[own]
+            top = np.flatnonzero(~complete)
+            path, last, begin = path[top], wanted[top] - 1, first[reached[top]]
+            many = first[reached[top] + 1] - begin
+            for j in range(int(many.max(initial=0))):
+                if j:
+                    more = np.flatnonzero(many > j)
+                    if len(more) < len(many):
+                        top, path, last, begin, many = top[more], path[more], last[more], begin[more], many[more]
+                k = begin + j
+                # the sums are taken as `segment` takes them, so that equal scores are equal here
+                at, more, done = start[k], score[k], paid[path]
+                hope = best[at] + more + done
+                good = np.flatnonzero(hope > f[last, top])
+                x, hope, ids_of = top[good], hope[good], count + np.arange(len(good))
+                count += len(good)
+                if count > len(paid):
+                    begins, paid, arc, parent = (room(y, count) for y in (begins, paid, arc, parent))
+                new = slice(count - len(good), count)
+                begins[new], paid[new], arc[new], parent[new] = at[good], more[good] + done[good], k[good], path[good]
+                less = np.zeros(len(x), dtype=bool)
+                for q in range(n):  # the new one stands before the first that is less; that one and the rest move on
+                    now, there = f[q, x], ref[q, x]
+                    less |= now < hope
+                    f[q, x], ref[q, x] = np.where(less, hope, now), np.where(less, ids_of, there)
+                    hope, ids_of = np.where(less, now, hope), np.where(less, there, ids_of)
+            for q in range(int(wanted.min()), n):
+                f[q, wanted <= q] = -np.inf
+            live = f[0] > -np.inf
+            if not live.all():
+                own, f, ref = own[live], f[:, live], ref[:, live]
+        held = np.arange(n) < out[:, None]
+        own, log = np.repeat(of, out), results[held]
+        done = paid[log]
         live, steps = np.arange(len(own)), []
-        while len(live := live[log[live] >= 0]):  # a step of each path, from its beginning
+        while len(live := live[arc[log[live]] >= 0]):  # a step of each path, from its beginning
             steps.append((live, arc[log[live]]))
             log[live] = parent[log[live]]
-        of, k = (np.concatenate(x) for x in zip(*steps))
-        order = np.argsort(of, kind="stable")
-        of, k = of[order], k[order]
-        piece, many = ids[k], np.ones(len(k), dtype=np.int64)
-        spelled = {i: [self.bytes[x] for x in segments[w][c - base[w]].encode("utf-8", "surrogatepass")] for i, w, c in ((i, own[of[i]], start[k[i]]) for i in np.flatnonzero(piece < 0).tolist())}
+        long = np.bincount(np.concatenate([x for x, _ in steps]), minlength=len(own))
+        k, ahead = np.empty(int(long.sum()), dtype=np.int64), long.cumsum() - long
+        for step, (live, arcs) in enumerate(steps):
+            k[ahead[live] + step] = arcs
+        piece, many, line = ids[k], np.ones(len(k), dtype=np.int64), np.repeat(np.arange(len(own)), long)
+        spelled = {i: [self.bytes[x] for x in segments[w][c - base[w]].encode("utf-8", "surrogatepass")] for i, w, c in ((i, own[line[i]], start[k[i]]) for i in np.flatnonzero(piece < 0).tolist())}
         for i, codes in spelled.items():
             many[i] = len(codes)
-        flat, ahead = np.repeat(piece, many).astype(np.int32), many.cumsum() - many
+        flat, before = np.repeat(piece, many).astype(np.int32), many.cumsum() - many
         for i, codes in spelled.items():
-            flat[ahead[i] : ahead[i] + many[i]] = codes
-        sizes_of = np.bincount(of, weights=many, minlength=len(own)).astype(np.int64)
-        self.note(segments, np.bincount(own, minlength=len(segments)), done, sizes_of, flat)
+            flat[before[i] : before[i] + many[i]] = codes
+        self.note(segments, out, done, np.add.reduceat(many, ahead), flat)
 
     def note(self, segments: list[str], counts: np.ndarray, scores: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         """Keeps new segments: how many segmentations each has, and of these, one after the other, scores, numbers of ids and ids."""
-        lo = len(self.ids)
-        while len(self.facts) < lo + len(segments):
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        lo = len(self.number)
+        hi, options = lo + len(segments), self.first[lo]
+        used = self.at[options]
+        self.facts, self.again = room(self.facts, hi), room(self.again, hi)
+        self.first, self.at = room(self.first, hi + 1), room(self.at, options + len(scores) + 1)
+        self.scores, self.flat = room(self.scores, options + len(scores)), room(self.flat, used + len(flat))
         first = counts.cumsum() - counts
         several = counts > 1
-        facts = self.facts[lo : lo + len(segments)]
+        facts = self.facts[lo:hi]
         facts[:, 0], facts[:, 1], facts[:, 2] = scores[first], math.inf, sizes[first]
         facts[several, 1] = scores[first[several]] - scores[first[several] + 1]
-        at = np.append(0, sizes.cumsum())
-        raw, chunk = flat.tobytes(), (scores, at, flat)
-        self.ids += [raw[4 * x : 4 * y] for x, y in zip(at[first].tolist(), at[first + 1].tolist())]
-        self.found += [(chunk, x, n) for x, n in zip(first.tolist(), counts.tolist())]
-        self.number.update(zip(segments, range(lo, lo + len(segments))))
+        self.first[lo + 1 : hi + 1] = options + counts.cumsum()
+        self.scores[options : options + len(scores)] = scores
+        self.at[options + 1 : options + len(scores) + 1] = used + sizes.cumsum()
+        self.flat[used : used + len(flat)] = flat
+        self.number.update(zip(segments, range(lo, hi)))
 
     def options(self, k: int) -> list[tuple[float, np.ndarray]]:
         """The segmentations of a kept segment by its number."""
-        (scores, at, flat), first, n = self.found[k]
-        return [(float(scores[i]), flat[at[i] : at[i + 1]]) for i in range(first, first + n)]
-
-    def keep(self, segments: list[str], n: int) -> None:
-        """Learns segments that are new."""
-        number = self.number
-        new = [s for s in dict.fromkeys(segments) if s not in number]
-        if self.kept_for != n or len(self.ids) + len(new) > self.KEEP:
-            if self.ids:
-                self.forget()
-                self.kept_for = n
-                return self.keep(segments, n)
+        return [(float(self.scores[i]), self.flat[self.at[i] : self.at[i + 1]]) for i in range(self.first[k], self.first[k + 1])]
+
+    def keep(self, segments: list[str], n: int) -> np.ndarray:
+        """The numbers of segments; learns those that are new."""
+        if self.kept_for != n:
+            self.forget()
             self.kept_for = n
+        numbers = np.fromiter(map(self.number.get, segments, repeat(-1)), dtype=np.int64, count=len(segments))
+        self.again[numbers[numbers >= 0]] = True
+        missing = np.flatnonzero(numbers < 0)
+        names = [segments[i] for i in missing.tolist()]
+        new = list(dict.fromkeys(names))
+        if self.number and len(self.number) + len(new) > self.KEEP:
+            self.forget_rare()
+            if self.number and len(self.number) + len(new) > self.KEEP:
+                self.forget()
+            return self.keep(segments, n)
         short = [s for s in new if len(s) <= self.LONGEST_KEPT]
         for at in range(0, len(short), self.TOGETHER):
             self.learn_all(short[at : at + self.TOGETHER], n)
@@ -242,27 +345,28 @@ class Lattice:
                 own = self.segment(s, n)
                 flat = [np.array(ids, dtype=np.int32) for _, ids in own]
                 self.note([s], np.array([len(own)]), np.array([x for x, _ in own]), np.array([len(x) for x in flat]), np.concatenate(flat))
+        numbers[missing] = np.fromiter(map(self.number.__getitem__, names), dtype=np.int64, count=len(names))
+        return numbers
 
     def parts(self, text: str) -> list[str]:
         """The segments of a text, which gets a space before it; spaces are ▁."""
         return self.segments((" " + text).replace(" ", SPACE))
 
-    def segmentations(self, text: str | None, n: int, parts: list[str] | None = None) -> list[tuple[float, np.ndarray]]:
+    def segmentations(self, text: str | None, n: int, own: np.ndarray | None = None) -> list[tuple[float, np.ndarray]]:
         """The n best (score, ids) of a whole text; fewer if it has fewer segmentations, none if it is null or empty.
 
-        parts are its segments, if they are kept already. The lattice is a chain of segments, so the n best
-        differ from the best in few segments: any of them deviates in at most n - 1, and those with the
-        least first loss suffice.
+        own are the numbers of its segments, if they are kept already. The lattice is a chain of segments, so
+        the n best differ from the best in few segments: any of them deviates in at most n - 1, and those with
+        the least first loss suffice.
         """
         if not text:
             return []
-        if parts is None:
-            parts = self.parts(text)
-            self.keep(parts, n)
-        own = list(map(self.number.__getitem__, parts))
+        if own is None:
+            own = self.keep(self.parts(text), n)
         score, loss, size = self.facts[own].T
-        total, ends = score.sum(), size.astype(np.int64).cumsum()
-        best = np.frombuffer(b"".join(map(self.ids.__getitem__, own)), dtype=np.int32)
+        size = size.astype(np.int64)
+        total, ends = score.sum(), size.cumsum()
+        best = self.flat[spread(self.at[self.first[own]], size)]
         near = np.argsort(loss, kind="stable")[: n - 1]
         combos: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         for i in near[np.isfinite(loss[near])].tolist():
@@ -272,7 +376,7 @@ class Lattice:
         for lost, chosen in combos:
             pieces, at = [], 0
             for i, k in sorted(chosen):
-                pieces += [best[at : ends[i] - int(size[i])], self.options(own[i])[k][1]]
+                pieces += [best[at : ends[i] - size[i]], self.options(own[i])[k][1]]
                 at = ends[i]
             out.append((float(total - lost), np.concatenate([*pieces, best[at:]])))
         return out
@@ -323,9 +427,10 @@ def nbest(df: DataFrame, model_file: str, n: int = 3, keep: list[str] | None = N
                     seen += len(texts[hi] or "")
                     hi += 1
                 parts = [lat.parts(t) if t else [] for t in texts[lo:hi]]
-                lat.keep([x for own in parts for x in own], n)
+                numbers = lat.keep(list(chain.from_iterable(parts)), n)
+                numbers = np.split(numbers, np.cumsum([len(x) for x in parts])[:-1])
                 rows, out = [], []
-                for i, own in enumerate(parts, lo):
+                for i, own in enumerate(numbers, lo):
                     for k, (score, ids) in enumerate(lat.segmentations(texts[i], n, own), 1):
                         rows.append(i)
                         out.append((k, score, ids, lat.decode(ids)))

@@ -181,6 +181,22 @@ def test_segments_together_as_one_by_one(lat):
             assert [(x, tuple(ids.tolist())) for x, ids in lat.options(lat.number[s])] == lat.segment(s, n)
 
 
+def test_segments_met_again_stay_kept(lat, monkeypatch):
+    monkeypatch.setattr(lat, "KEEP", 50)
+    learned, learn_all = [], lat.learn_all
+    monkeypatch.setattr(lat, "learn_all", lambda segments, n: (learned.extend(segments), learn_all(segments, n)))
+    lat.forget()
+    often = [f"▁often{i}" for i in range(10)]
+    for k in range(8):
+        segments = often + [f"▁rare{k}x{i}" for i in range(20)]
+        numbers = lat.keep(segments, 3)
+        assert [[(x, tuple(ids.tolist())) for x, ids in lat.options(i)] for i in numbers] == [lat.segment(s, 3) for s in segments]
+        assert len(lat.number) <= 50
+    assert len(learned) == len(set(learned)) == 10 + 8 * 20
+    assert len(lat.keep([f"▁new{i}" for i in range(60)], 3)) == len(lat.number) == 60  # more than may be kept: all at once, without the old
+    lat.forget()
+
+
 def test_nbest_frame(spark, lat):
     rows = [(1, "hello world", "a"), (1, "hello world", "a"), (2, None, "b"), (3, "", "c"), (None, "z" * 3000, None)]
     clash = nbest.nbest(spark.createDataFrame([(*r, 0.5, "d") for r in rows], "id long, text string, rank string, Score double, decoded string"), MODEL, 3)
