@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: So many links at most are settled by one task.
 LAST = 1_000_000
+#: Rows for each file of a table that is dealt to few.
+FILE_ROWS = 50_000
 #: Rows and bytes of an Arrow batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
@@ -33,6 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """df, a table of about so many rows, in few partitions where adaptive execution does not merge small ones; tasks before are as they are.
+
+    Each task that writes has a file, and each file in a folder that Hadoop reaches as a local one costs two
+    processes that the executor starts.
+    """
+    conf = df.sparkSession.conf
+    if all(conf.get(f"spark.sql.adaptive.{k}", "true") == "true" for k in ("enabled", "coalescePartitions.enabled")):
+        return df
+    return df.repartition(max(1, -(-rows // FILE_ROWS)))
+
+
 def written(df: DataFrame, name: str, scratch: Scratch | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, is read again after the loss of an executor, and is compressed."""
     spark = df.sparkSession
@@ -122,17 +136,19 @@ def reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = nxt
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node, root for the links (a, b) of longs: nodes with the same root are connected.
 
     Rounds of contraction while there are more than LAST links: each node moves to the neighbour of least
     hash (twice along the chain), links between moved nodes remain. Hashes differ by round, so chains are
     short and the links shrink by a constant factor. A node with very many links is only summed up and
-    joined to, never gathered. One task, not the driver, settles the last links, at most LAST.
+    joined to, never gathered. One task, not the driver, settles the last links, at most LAST. If about how
+    many links there are is known, rows says it, see dealt.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark)
-    left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links", scratch)
+    left = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    left = written(left if rows is None else dealt(left, rows), "links", scratch)
     moves = []
     while (n := left.count()) > LAST:
         both = left.union(left.select("b", "a"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, components, fresh, map_batches, mix, written
+from .common import Scratch, components, dealt, fresh, map_batches, mix, written
 from .words import shingle_sets
 
 #: A group has at most about so many shingles and sets; a larger one is dealt to parts.
@@ -492,7 +492,7 @@ def across(tiles: DataFrame, percent: int) -> DataFrame:
     return map_batches(sides.select("left", "right"), run, "a long, b long")
 
 
-def parted(settled: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def parted(settled: DataFrame, groups: DataFrame, percent: int, many: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) and pairs (g1, g2) of parts of one kid.
 
     The largest component of each part is compared with that of the kid's first part. Parts that are whole
@@ -510,7 +510,7 @@ def parted(settled: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFra
             yield {c: b.column(c) for c in ("kid", "grp", "rep", "to", "whole")} | {"linked": ok}
 
     star = map_batches(reps.join(first, "kid"), run, "kid long, grp long, rep long, to long, whole boolean, linked boolean")
-    star = written(star, "parts")
+    star = written(dealt(star, many), "parts")
     loose = star.where("not (linked and whole)").select("kid", F.col("grp").alias("x"))
     pairs = loose.join(star.select("kid", F.col("grp").alias("y")), "kid").where("x <> y").select(F.least("x", "y").alias("g1"), F.greatest("x", "y").alias("g2")).distinct()
     return star.where("linked and rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")), pairs
@@ -520,22 +520,23 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, sets_of_texts: S
     """a, b: links between classes of equal sets that connect all classes that are connected."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    total = int(classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0)
+    total, many = classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.count("*")).first()
+    total = int(total or 0)
     leads = rows.where("lead").select(F.col("rid").alias("cid"), F.col("n_shingles").cast("int").alias("n"), "prefix").join(classes.select("cid"), "cid")
-    posted = written(postings(leads, total, percent), "postings", scratch)
-    groups = written(grouped(posted, classes, rows), "groups", scratch)
-    meets = written(qualifying(group_pairs(posted, groups, percent), groups, percent), "meets", scratch)
+    posted = written(dealt(postings(leads, total, percent), many), "postings", scratch)
+    groups = written(dealt(grouped(posted, classes, rows), many), "groups", scratch)
+    meets = written(dealt(qualifying(group_pairs(posted, groups, percent), groups, percent), many), "meets", scratch)
 
     several = groups.where("parts > 1").select("grp", "cid")
-    inside = written(inside_groups(groups, percent).union(several).distinct(), "inside", scratch)
+    inside = written(dealt(inside_groups(groups, percent).union(several).distinct(), many), "inside", scratch)
     wanted = inside.select("cid").union(meets.select("cid")).distinct()
     sets = written(sets_of(docs, groups.select("cid", "rep", "sig_a", "sig_b").join(wanted, "cid"), sets_of_texts), "sets", scratch)
-    settled = written(settle(inside.join(sets, "cid"), percent), "settled", scratch)
-    star, apart = parted(settled, groups, percent)
+    settled = written(dealt(settle(inside.join(sets, "cid"), percent), many), "settled", scratch)
+    star, apart = parted(settled, groups, percent, many)
     sides = apart.select("g1", "g2", F.lit(True).alias("first"), F.col("g1").alias("grp")).union(apart.select("g1", "g2", F.lit(False), "g2")).join(several, "grp").select("g1", "g2", "first", "cid")
     found = across(meets.union(sides).join(sets, "cid"), percent)
     within = settled.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b")
-    out = written(found.union(within).union(star), "found")
+    out = written(dealt(found.union(within).union(star), many), "found")
     scratch.drop()
     return out
 
@@ -553,22 +554,29 @@ def jaccard_rows(docs: DataFrame, n: int = 3, percent: int = 90, sets_of_texts:
     goes to the row read first. A text of any length is taken whole, its set is one row; sets above
     GROUP_TOKENS are groups of few. An empty table gives no rows.
     """
-    sets_of_texts = sets_of_texts or partial(shingle_sets, n=n)
+    return _rows(docs, sets_of_texts or partial(shingle_sets, n=n), percent)[0]
+
+
+def _rows(docs: DataFrame, sets_of_texts: Sets, percent: int) -> tuple[DataFrame, int]:
+    """What jaccard_rows gives, and how many rows it has."""
     rows = described(docs, sets_of_texts, percent)
+    many = rows.count()
     by_sig = rows.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("rep"), F.min("rid").alias("cid"), F.min("n_shingles").alias("n"))
-    classes = written(by_sig.select("cid", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rep_rid"), "n", "sig_a", "sig_b"), "classes")
-    roots = components(links(docs, rows, classes, sets_of_texts, percent))
+    classes = written(dealt(by_sig.select("cid", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rep_rid"), "n", "sig_a", "sig_b"), many), "classes")
+    roots = components(links(docs, rows, classes, sets_of_texts, percent), many)
     known = classes.select("cid", "doc_id", "rep_rid", "sig_a", "sig_b").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("component_id"), F.col("rep_rid").alias("kept_rid"))).alias("m"))
     named = known.join(least, "root").select("sig_a", "sig_b", "m.component_id", "m.kept_rid")
     joined = rows.drop("prefix", "bits", "lead").join(named, ["sig_a", "sig_b"], "left")
     alone = F.col("n_shingles") == 0
-    return joined.select("rid", "doc_id", "row_a", "row_b", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("rid") == F.col("kept_rid"))).alias("kept"))
+    out = joined.select("rid", "doc_id", "row_a", "row_b", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("rid") == F.col("kept_rid"))).alias("kept"))
+    return out, many
 
 
 def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; see jaccard_rows."""
-    return jaccard_rows(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+    out, many = _rows(docs, partial(shingle_sets, n=n), percent)
+    return dealt(out.select("doc_id", "n_shingles", "component_id"), many)
 
 
 def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -577,7 +585,8 @@ def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     Rows that repeat doc_id and text are one another's copies: as many of them stay as are kept.
     """
     a, b, stay, rank = fresh(docs, "row_a", "row_b", "stay", "rank")
-    kept = jaccard_rows(docs, n, percent).where("kept").groupBy(F.col("row_a").alias(a), F.col("row_b").alias(b)).agg(F.count("*").alias(stay))
-    keyed = docs.withColumns({name: c for name, c in zip((a, b), row_key())}).join(written(kept, "kept"), [a, b])
+    found, many = _rows(docs, partial(shingle_sets, n=n), percent)
+    kept = found.where("kept").groupBy(F.col("row_a").alias(a), F.col("row_b").alias(b)).agg(F.count("*").alias(stay))
+    keyed = docs.withColumns({name: c for name, c in zip((a, b), row_key())}).join(written(dealt(kept, many), "kept"), [a, b])
     keyed = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(1))))
     return keyed.where(F.col(rank) <= F.col(stay)).select(*docs.columns)

@@ -124,6 +124,33 @@ def test_sf_documents(spark):
     assert sorted(map(tuple, jaccard.jaccard_join(docs).collect()), key=repr) == brute(rows, 3, 90)[0]
 
 
+def test_few_files_without_adaptive_merging(spark, monkeypatch):
+    """Small tables made in many partitions are not written as as many files, and nothing of the result changes."""
+    files, write = {}, jaccard.written
+
+    def counted(df, name, scratch=None):
+        out = write(df, name, scratch)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    monkeypatch.setattr(common, "written", counted)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = made(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = jaccard.jaccard_join(docs)
+        assert out.rdd.getNumPartitions() == 1 and sorted(map(tuple, out.collect()), key=repr) == brute(rows, 3, 90)[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"classes", "postings", "groups", "settled", "found", "links"} <= set(files)
+    assert {k: n for k, n in files.items() if n > 1 and k != "sets"} == {}
+
+
 @pytest.mark.parametrize("last", [0, 50, 10**6])
 def test_components(spark, last, monkeypatch):
     monkeypatch.setattr(common, "LAST", last)
