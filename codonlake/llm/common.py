@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 #: So many links at most are settled by one task.
 LAST = 1_000_000
-#: Rows for each file of a table that is dealt to few.
-FILE_ROWS = 50_000
+#: Rows for each file of a table that is dealt to few, and of one that has texts.
+FILE_ROWS, FILE_TEXTS = 50_000, 2000
 #: Rows and bytes of an Arrow batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
@@ -35,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def dealt(df: DataFrame, rows: int) -> DataFrame:
-    """df, a table of about so many rows, in few partitions where adaptive execution does not merge small ones; tasks before are as they are.
+def dealt(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """df, a table of about so many rows made by a shuffle, in few partitions where adaptive execution does not merge small ones; tasks before are as they are.
 
     Each task that writes has a file, and each file in a folder that Hadoop reaches as a local one costs two
     processes that the executor starts.
@@ -44,7 +44,8 @@ def dealt(df: DataFrame, rows: int) -> DataFrame:
     conf = df.sparkSession.conf
     if all(conf.get(f"spark.sql.adaptive.{k}", "true") == "true" for k in ("enabled", "coalescePartitions.enabled")):
         return df
-    return df.repartition(max(1, -(-rows // FILE_ROWS)))
+    files = max(1, -(-rows // each))
+    return df.repartition(files) if files < int(conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def written(df: DataFrame, name: str, scratch: Scratch | None = None) -> DataFrame:

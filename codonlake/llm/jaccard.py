@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, components, dealt, fresh, map_batches, mix, written
+from .common import FILE_TEXTS, Scratch, components, dealt, fresh, map_batches, mix, written
 from .words import shingle_sets
 
 #: A group has at most about so many shingles and sets; a larger one is dealt to parts.
@@ -589,4 +589,4 @@ def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     kept = found.where("kept").groupBy(F.col("row_a").alias(a), F.col("row_b").alias(b)).agg(F.count("*").alias(stay))
     keyed = docs.withColumns({name: c for name, c in zip((a, b), row_key())}).join(written(dealt(kept, many), "kept"), [a, b])
     keyed = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(1))))
-    return keyed.where(F.col(rank) <= F.col(stay)).select(*docs.columns)
+    return dealt(keyed.where(F.col(rank) <= F.col(stay)).select(*docs.columns), many, FILE_TEXTS)

@@ -144,6 +144,8 @@ def test_few_files_without_adaptive_merging(spark, monkeypatch):
             spark.conf.set(k, v)
         out = jaccard.jaccard_join(docs)
         assert out.rdd.getNumPartitions() == 1 and sorted(map(tuple, out.collect()), key=repr) == brute(rows, 3, 90)[0]
+        kept = jaccard.keep_one(docs)
+        assert kept.rdd.getNumPartitions() == 1 and kept.count() == brute(rows, 3, 90)[1]
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
