@@ -38,6 +38,24 @@ def test_samples_are_valid(spark):
     assert rows and all("AAAA" not in r["cds"] for r in rows)
 
 
+def test_counts_list_a_protein_once(spark, monkeypatch):
+    rows = [(k, aa) for k, aa in enumerate(["MKLW", "SSRL", "MKLW"] * 40)] + [(0, "SSRL")]
+    df = spark.createDataFrame(rows, "id long, aa_seq string")
+    listed = []
+    real = B.enumerate_native
+    monkeypatch.setattr(B, "enumerate_native", lambda spaces, *a, **b: (listed.append(spaces.count()), real(spaces, *a, **b))[1])
+    rule = catalogue.RULES["hairpin"][0]
+    got = {r["id"]: r["n_valid"] for r in B.count_native(df, 4, [rule], ["id"], "AAGGA", "TTCCT").collect()}
+    want = {aa: CodingSpace(aa, constraints=[rule], context_l="AAGGA", context_r="TTCCT").count() for aa in ("MKLW", "SSRL")}
+    assert listed == [2]
+    assert got == {k: want[aa] for k, aa in rows[1:-1]} | {0: want["MKLW"] + want["SSRL"]}
+
+
+@pytest.mark.parametrize("name", ["enumerate_small", "slice_small", "enumerate_range", "fixed_codons", "pinned_codons", "mutants_nt", "unrank_index", "whole_gc"])
+def test_parts_are_dealt_to_all_tasks(spark, name):
+    assert catalogue.queries()[name](spark, SF).rdd.getNumPartitions() == 4
+
+
 def test_whole_proteins_by_the_kernel(spark):
     q = catalogue.queries()
     whole = catalogue.whole_peptides(spark, SF)
