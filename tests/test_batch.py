@@ -157,6 +157,16 @@ def test_format_count_query_keeps_large_counts(spark, tmp_path):
     assert got == {k: D.format_count(k * k) for k in keys}
 
 
+def test_format_count_rounds_halves_as_sql(spark, duck, tmp_path):
+    keys = [45_000, 45_001, 55_000, 65_000, 99_990, 99_999, 335_000, 450_000, 750_000, 3_016_621, 3_037_000_499]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    want = duck.sql(f"WITH orders AS (FROM '{tmp_path}/orders.parquet/*.parquet') " + catalogue.oracle_sql()["format_count"].replace("WITH x AS", ", x AS", 1)).fetchall()
+    assert sorted(want) == sorted(map(tuple, catalogue.queries()["format_count"](spark, str(tmp_path)).collect()))
+    rows = [10**9 * k // 8 for k in range(8, 80)] + [int(f"1{k}5{'0' * 30}") for k in range(10, 100)]
+    df = spark.createDataFrame([(str(n),) for n in rows], "n string")
+    assert [r[0] for r in df.select(S.format_count("n")).collect()] == [D.format_count(n) for n in rows]
+
+
 def test_restriction_sites_screen_wants_whole_sites(spark, monkeypatch):
     rows = [(1, "CCGAATCC"), (2, "CCGAATTCCC"), (3, "GAGACCAA"), (4, "GCGGCCGC"), (5, "GCGGCC")]
     df = spark.createDataFrame(rows, "o_orderkey long, dna string")
