@@ -51,6 +51,17 @@ def test_counts_list_a_protein_once(spark, monkeypatch):
     assert got == {k: want[aa] for k, aa in rows[1:-1]} | {0: want["MKLW"] + want["SSRL"]}
 
 
+def test_codon_changes_are_counted_without_a_list(spark):
+    ref = {"MKLW": "ATGAAACTGTGG", "SSRL": "AGCTCTCGACTT", "MWMW": "ATGTGGATGTGG"}
+    df = spark.createDataFrame([(x,) for x in [*ref, "MBK", None]], "aa_seq string")
+    for n in range(6):
+        got = {r[0]: r[1] for r in df.select("aa_seq", B.exact_changes("aa_seq", n)).collect()}
+        want = {aa: CodingSpace(aa).mutants(cds, min_codons=n, max_codons=n).count() for aa, cds in ref.items()}
+        assert got == want | {"MBK": None, None: None}
+    plan = catalogue.queries()["mutants_codon"](spark, SF)._jdf.queryExecution().toString()
+    assert "HashJoin" not in plan and "Join Inner" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 @pytest.mark.parametrize("name", ["enumerate_small", "slice_small", "enumerate_range", "fixed_codons", "pinned_codons", "mutants_nt", "unrank_index", "whole_gc"])
 def test_parts_are_dealt_to_all_tasks(spark, name):
     assert catalogue.queries()[name](spark, SF).rdd.getNumPartitions() == 4
