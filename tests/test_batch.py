@@ -67,6 +67,13 @@ def test_parts_are_dealt_to_all_tasks(spark, name):
     assert catalogue.queries()[name](spark, SF).rdd.getNumPartitions() == 4
 
 
+def test_counts_make_no_graph(monkeypatch):
+    spec = SpaceSpec.make("MKTLEFQNGS", rules=[catalogue.RULES[k][0] for k in ("motifs", "homopolymer", "direct")])
+    want = spec.graph()
+    monkeypatch.setattr("codonlake.plans.kernel.compile_graph", lambda *a, **b: pytest.fail("a graph was made"))
+    assert B.total(spec) == B.K.count(want, spec.logs()).total > 0
+
+
 def test_whole_proteins_by_the_kernel(spark):
     q = catalogue.queries()
     whole = catalogue.whole_peptides(spark, SF)

@@ -6,9 +6,11 @@ import re
 import pytest
 
 from codonlake import CodingSpace, CodonWeights, DirectRepeats, ForbiddenMotifs, ForbiddenPaths, GC3Content, GCContent, Hairpins, InvertedRepeats, MaxHomopolymer, MutationDistance, RestrictionSite, TandemRepeats, TranslationTable
+from codonlake.operators import rules
 from codonlake.operators.rules import from_spec as rule_of
 from codonlake.operators.rules import to_spec as spec_of
-from codonlake.operators.space import MutationSpace, _Space
+from codonlake.operators.space import MutationSpace, SpaceSpec, _Space
+from codonlake.plans import kernel as K
 
 TABLE = TranslationTable()
 
@@ -261,3 +263,37 @@ def test_repeats_in_a_repetitive_protein(rule, other):
     assert all(not other(c) for c in space.sample(200)) and all(space.contains(c) == (not other(c)) for c in drawn)
     share = space.count() / free.count()
     assert abs(share - len(inside) / len(drawn)) < 5 * math.sqrt(max(share * (1 - share), 1e-3) / len(drawn))
+
+
+def test_counting_and_storing_automata_agree():
+    rng = random.Random(11)
+    for _ in range(150):
+        aa = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY*") for _ in range(rng.randint(1, 8)))
+        lo = rng.randint(0, 5)
+        rule = rng.choice((DirectRepeats, InvertedRepeats))(rng.choice((3, 3, 4)), lo, rng.choice((None, lo, lo + rng.randint(1, 9))))
+        sides = ["".join(rng.choice("ACGT") for _ in range(rng.choice((0, 1, 2, 5)))) for _ in range(2)]
+        spec = SpaceSpec.make(aa, rng.choice((None, TranslationTable(1, True))), None, None, [rule, *([ForbiddenMotifs("GAA")] if rng.random() < 0.3 else [])], *sides)
+        stored, listed = (K.count(spec.graph(way), spec.logs()) for way in (False, True))
+        assert stored.total == listed.total == spec.total()
+        n = min(40, stored.total)
+        assert list(stored.between(0, n)) == list(listed.between(0, n)) == [x for block in listed.blocks(0, n, 7) for x in block]
+
+
+def test_blocks_are_the_places_in_order():
+    counted = CodingSpace("MLSRK", constraints=[MaxHomopolymer(2)]).counted
+    want = [counted.at(i) for i in range(counted.total)]
+    for start, stop, most in ((0, counted.total, 4096), (3, 50, 5), (7, 7, 9), (counted.total - 1, counted.total, 1)):
+        blocks = list(counted.blocks(start, stop, most))
+        assert [x for b in blocks for x in b] == want[start:stop] and all(0 < len(b) <= most for b in blocks)
+
+
+def test_windows_met_again_are_not_made_again(monkeypatch):
+    rules._stocks.clear()
+    made = []
+    real = rules._Stock.start
+    monkeypatch.setattr(rules._Stock, "start", lambda self, *a: (made.append(1), real(self, *a))[1])
+    SpaceSpec.make("MKTLEFQNGS", rules=[DirectRepeats(3, 0, 6)]).graph()
+    first = len(made)
+    SpaceSpec.make("MKTLEFQNGSMKTLEFQNGS", rules=[DirectRepeats(3, 0, 6)]).graph()
+    again = len(made) - first
+    assert first and again < first
