@@ -279,6 +279,21 @@ def test_counting_and_storing_automata_agree():
         assert list(stored.between(0, n)) == list(listed.between(0, n)) == [x for block in listed.blocks(0, n, 7) for x in block]
 
 
+def test_the_first_few_need_no_graph():
+    rng = random.Random(12)
+    for k in range(150):
+        aa = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY*") for _ in range(rng.randint(1, 8)))
+        given = [ForbiddenMotifs(["GAAT", "TCT"]), MaxHomopolymer(2), DirectRepeats(3, 0, 6), TandemRepeats(2, 2), GCContent(min_perc=40, max_perc=60), InvertedRepeats(3, 1, 8)]
+        spec = SpaceSpec.make(aa, rules=rng.sample(given, k % 4), context_l=rng.choice(("", "AAGGA")), context_r=rng.choice(("", "TTCCT")))
+        pins = {1: spec.options(1)[-1:]} if k % 3 == 0 else {}
+        try:
+            want = list(K.count(spec.graph(), spec.logs(), pins).between(0, 7)) if (total := K.count(spec.graph(), spec.logs(), pins).total) > 7 else [K.count(spec.graph(), spec.logs(), pins).at(i) for i in range(total)]
+        except ValueError:  # no sequence can have such GC content
+            continue
+        assert K.foremost(spec.layout, spec.rules, 7, pins) == want
+    assert K.foremost(SpaceSpec.make("LLLLLLLL").layout, [DirectRepeats(6)], 7) is None
+
+
 def test_blocks_are_the_places_in_order():
     counted = CodingSpace("MLSRK", constraints=[MaxHomopolymer(2)]).counted
     want = [counted.at(i) for i in range(counted.total)]
